@@ -24,23 +24,25 @@ def byte_slice(data: Column, offset: ColOrInt, length: ColOrInt) -> Column:
     return F.when(F.octet_length(data) >= off + ln, data.substr(off + 1, ln))
 
 
-def _unsigned(data: Column, offset: ColOrInt, width: int, cast: str) -> Column:
-    raw = byte_slice(data, offset, width)
+def _unsigned(data: Column, offset: ColOrInt, width: int, cast: str, checked: bool) -> Column:
+    raw = byte_slice(data, offset, width) if checked else data.substr(_c(offset) + 1, F.lit(width))
     return F.conv(F.hex(raw), 16, 10).cast(cast)
 
 
-def u8(data: Column, offset: ColOrInt) -> Column:
-    return _unsigned(data, offset, 1, "int")
+def u8(data: Column, offset: ColOrInt, checked: bool = True) -> Column:
+    """Unsigned byte. ``checked=False`` skips the length guard: use it only
+    where the caller has already checked the length (smaller generated code)."""
+    return _unsigned(data, offset, 1, "int", checked)
 
 
-def u16(data: Column, offset: ColOrInt) -> Column:
+def u16(data: Column, offset: ColOrInt, checked: bool = True) -> Column:
     """Big-endian unsigned 16-bit value."""
-    return _unsigned(data, offset, 2, "int")
+    return _unsigned(data, offset, 2, "int", checked)
 
 
-def u32(data: Column, offset: ColOrInt) -> Column:
+def u32(data: Column, offset: ColOrInt, checked: bool = True) -> Column:
     """Big-endian unsigned 32-bit value (bigint)."""
-    return _unsigned(data, offset, 4, "bigint")
+    return _unsigned(data, offset, 4, "bigint", checked)
 
 
 def mac_text(data: Column, offset: ColOrInt) -> Column:

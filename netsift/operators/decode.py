@@ -30,14 +30,15 @@ def decode(raw: DataFrame, keep_data: bool = True) -> DataFrame:
     # Stage 3: validity flags, each a flat formula over those primitive
     # columns (never over other flags), so that pushing a filter through the
     # stages re-expands only two shallow levels.
+    # Reads are unguarded: every use is behind an explicit length test.
     df = raw.withColumns({
         "frame_length": F.octet_length(d).cast("int"),
-        "_et": u16(d, 12),
-        "_vihl": u8(d, ETH_LEN),
-        "_proto": u8(d, ETH_LEN + 9),
+        "_et": u16(d, 12, checked=False),
+        "_vihl": u8(d, ETH_LEN, checked=False),
+        "_proto": u8(d, ETH_LEN + 9, checked=False),
     })
     df = df.withColumn("_l4", F.lit(ETH_LEN) + c("_vihl").bitwiseAND(15) * 4)
-    df = df.withColumn("_doff", F.shiftright(u8(d, c("_l4") + 12), 4) * 4)
+    df = df.withColumn("_doff", F.shiftright(u8(d, c("_l4") + 12, checked=False), 4) * 4)
     n, et, vihl, proto, l4, doff = (c(x) for x in ("frame_length", "_et", "_vihl", "_proto", "_l4", "_doff"))
     eth_ok = n >= ETH_LEN
     is_ipv4 = eth_ok & (et == ETHERTYPE_IPV4)
@@ -48,9 +49,14 @@ def decode(raw: DataFrame, keep_data: bool = True) -> DataFrame:
     tcp_ok = is_tcp & (n >= l4 + TCP_MIN) & (doff >= TCP_MIN) & (n >= l4 + doff)
     udp_ok = is_udp & (n >= l4 + UDP_LEN)
     decode_ok = eth_ok & (~is_ipv4 | (ip_ok & (~is_tcp | tcp_ok) & (~is_udp | udp_ok)))
+    # Admission (C1) written so each test appears once: it is what gets
+    # pushed down to the scan, and its size is the size of the scan's code.
+    admitted = ip_ok & (((proto == PROTO_TCP) & (n >= l4 + TCP_MIN) & (doff >= TCP_MIN) & (n >= l4 + doff))
+                        | ((proto == PROTO_UDP) & (n >= l4 + UDP_LEN)))
     offset = (F.when(~is_ipv4, F.lit(ETH_LEN)).when(is_tcp, l4 + doff).when(is_udp, l4 + UDP_LEN).otherwise(l4))
     df = df.withColumns({
         "decode_ok": F.coalesce(decode_ok, F.lit(False)),
+        "admitted": admitted,
         "_eth_ok": F.coalesce(eth_ok, F.lit(False)),
         "_ip_ok": F.coalesce(ip_ok, F.lit(False)),
         "_tcp_ok": F.coalesce(tcp_ok, F.lit(False)),
@@ -67,6 +73,7 @@ def decode(raw: DataFrame, keep_data: bool = True) -> DataFrame:
         (c("ts_sec") * 1_000_000 + c("ts_usec")).alias("ts_us"),
         c("incl_len"), c("orig_len"), n.alias("frame_length"),
         ok.alias("decode_ok"),
+        F.coalesce(c("admitted"), F.lit(False)).alias("admitted"),
         F.when(c("_eth_ok"), mac_text(d, 6)).alias("src_mac"),
         F.when(c("_eth_ok"), mac_text(d, 0)).alias("dest_mac"),
         F.when(c("_eth_ok"), et).alias("ether_type"),
@@ -95,7 +102,7 @@ def decode(raw: DataFrame, keep_data: bool = True) -> DataFrame:
 
 def admit(packets: DataFrame) -> DataFrame:
     """Keep decoded frames carrying IPv4 and TCP or UDP."""
-    return packets.where(F.col("has_ip") & (F.col("has_tcp") | F.col("has_udp")))
+    return packets.where(F.col("admitted"))
 
 
 def flow_keys(packets: DataFrame) -> DataFrame:

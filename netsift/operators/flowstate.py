@@ -65,6 +65,7 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
         F.coalesce(s_, F.lit(False)).alias("_S"), F.coalesce(a_, F.lit(False)).alias("_A"),
         F.coalesce(r_, F.lit(False)).alias("_R"),
         hc.alias("_hc"),
+        (F.col("ip_hit") | F.col("port_hit")).alias("_const"),
         F.row_number().over(w).alias("_rn"),
         F.max(F.coalesce(s_ & ~a_, F.lit(False))).over(run).alias("syn_seen"),
         F.max(F.coalesce(s_ & a_, F.lit(False))).over(run).alias("syn_ack_seen"),
@@ -90,19 +91,21 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     df = df.withColumn("_chain", F.sum((F.col("_eff") & F.col("_start")).cast("int")).over(run))
     # Layer 4: label in force. Within a chain (segment opened by a candidate on
     # a start packet) the first blocked effective candidate sticks, else the
-    # latest effective candidate; before any, the initial label.
+    # latest effective candidate; before any, the initial label. "Blocked"
+    # includes the flow-constant rules (source address, destination port):
+    # such a flow is blocked under any label, so its first label sticks.
     cand_label = _label(F.col("cand_app"), F.col("cand_sni"), F.col("cand_route"),
                         F.col("cand_blk"), F.col("cand_reason"))
     init_reason = F.when(F.lit(unknown_blocked), F.struct(F.lit("APP").alias("type"), F.lit(INIT_APP).alias("detail")))
     init_label = _label(F.lit(INIT_APP), F.lit(INIT_SNI), F.lit(None).cast("string"),
                         F.lit(unknown_blocked), init_reason)
-    first_blocked = F.max(F.when(F.col("_eff") & F.col("cand_blk"),
+    first_blocked = F.max(F.when(F.col("_eff") & (F.col("cand_blk") | F.col("_const")),
                                  F.struct(F.col("_chain").alias("chain"), (-F.col("packet_no")).alias("neg_no"),
                                           cand_label.alias("label")))).over(run)
     last_eff = F.last(F.when(F.col("_eff"), cand_label), ignorenulls=True).over(run)
     df = df.select("*", first_blocked.alias("_fb"), last_eff.alias("_le"))
     carry = F.coalesce(
-        F.when((F.col("_chain") == 0) & F.lit(unknown_blocked), init_label),
+        F.when((F.col("_chain") == 0) & (F.lit(unknown_blocked) | F.col("_const")), init_label),
         F.when(F.col("_fb.chain") == F.col("_chain"), F.col("_fb.label")),
         F.col("_le"),
         init_label,

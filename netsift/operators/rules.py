@@ -48,6 +48,13 @@ class RuleTables:
 
 
 def rule_tables(rules: DataFrame) -> RuleTables:
+    """Lookup tables of a rules table.
+
+    The rules are checkpointed once (to the shared checkpoint folder), so the
+    five lookup tables and their broadcasts read a stored copy instead of
+    re-running the rules-file parse each.
+    """
+    rules = rules.checkpoint(eager=True)
     t = F.col("rule_type")
     ips = rules.where(t == "IP").select(F.col("value").alias("rule_ip")).distinct()
     ports = rules.where(t == "PORT").select(F.col("value").cast("int").alias("rule_port")).distinct()

@@ -132,7 +132,7 @@ def encode_frames(pk: DataFrame, capture_id: str = CAPTURE_ID) -> DataFrame:
 
 
 # Bump when the encoding changes, so stored captures are rebuilt.
-ENCODER_VERSION = "1"
+ENCODER_VERSION = "2"
 
 
 def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,4 +144,10 @@ def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events_path = f"{sf_dir}/events.parquet"
     key = cache_key(events_path, file_signature(spark, events_path), FIXTURE_SQL, ENCODER_VERSION)
-    return materialized(spark, lambda: encode_frames(synthetic_packets(spark, sf_dir)), "fixture-frames", key)
+    parts = max(spark.sparkContext.defaultParallelism, 1)
+
+    def build() -> DataFrame:
+        # A capture stored as ordered chunks: ranges of packet_no, one file each.
+        return encode_frames(synthetic_packets(spark, sf_dir)).repartitionByRange(parts, "packet_no")
+
+    return materialized(spark, build, "fixture-frames", key)

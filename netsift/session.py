@@ -22,6 +22,9 @@ def local_session(app: str = "netsift", cores: str = "*", partitions: int = 8) -
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             # Frame decoding compiles to large methods; let the JIT compile them.
+             .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+             .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_shared_dir(spark)
@@ -43,8 +46,10 @@ def ensure_shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    base = ensure_shared_dir(spark).rstrip("/")
-    return "/".join([base, *parts])
+    """A path under the configured shared folder (stable across applications;
+    Spark's own checkpoint subfolder is per application)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_shared_dir(spark)
+    return "/".join([base.rstrip("/"), *parts])
 
 
 def _fs(spark: SparkSession, path: str):
