@@ -17,6 +17,7 @@ from netsift.operators.candidates import with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.plans.fixture import CAPTURE_ID, FIXTURE_RULES_TEXT, fixture_frames
 from netsift.plans.inspect import Inspection
+from netsift.sources.pcap import read_capture_headers, read_captures, write_captures
 from netsift.sources.rules import load_rules, rules_from_text, save_rules
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
@@ -258,6 +259,24 @@ def forwarded_packets(spark, sf_dir):
     return fwd.select("packet_no", F.octet_length("data").cast("int").alias("frame_length"))
 
 
+def _forwarded_capture(spark, sf_dir) -> str:
+    """Write the forwarded packets as capture files; returns the folder."""
+    path = scratch_path(spark, "forwarded")
+    write_captures(inspection(spark, sf_dir).forwarded(), path)
+    return path
+
+
+def capture_roundtrip(spark, sf_dir):
+    """Forwarded packets written as capture files (A4), scanned back (A1) and decoded."""
+    p = admit(decode(read_captures(spark, _forwarded_capture(spark, sf_dir))))
+    return p.select("ts_us", *KEY5, "tcp_flags", "frame_length")
+
+
+def capture_headers(spark, sf_dir):
+    """Global headers of the written capture files (A2)."""
+    return read_capture_headers(spark, _forwarded_capture(spark, sf_dir)).drop("capture_id")
+
+
 # --- flows by key ------------------------------------------------------------------
 
 def reverse_lookup(spark, sf_dir):
@@ -328,7 +347,8 @@ QUERIES = {
     "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
     "app_breakdown": app_breakdown, "top_domains": top_domains, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "merged_captures": merged_captures,
-    "forwarded_packets": forwarded_packets, "reverse_lookup": reverse_lookup,
+    "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
+    "capture_headers": capture_headers, "reverse_lookup": reverse_lookup,
     "bidirectional_flows": bidirectional_flows, "flow_sessions": flow_sessions,
     "rule_counts": rule_counts, "rules_add": rules_add, "rules_remove": rules_remove, "rules_list": rules_list,
     "rules_roundtrip": rules_roundtrip,
