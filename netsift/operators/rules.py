@@ -47,14 +47,17 @@ class RuleTables:
         return F.broadcast(df) if self.small else df
 
 
-def rule_tables(rules: DataFrame) -> RuleTables:
+def rule_tables(rules: DataFrame, materialize: bool = True) -> RuleTables:
     """Lookup tables of a rules table.
 
-    The rules are checkpointed once (to the shared checkpoint folder), so the
-    five lookup tables and their broadcasts read a stored copy instead of
-    re-running the rules-file parse each.
+    With ``materialize`` the rules are checkpointed once (to the shared
+    checkpoint folder), so the five lookup tables and their broadcasts read a
+    stored copy instead of re-running the rules-file parse each. Streaming
+    passes ``False``: the lookup tables are then re-derived from the rules
+    source in every micro-batch, so rule edits reach the next batch.
     """
-    rules = rules.checkpoint(eager=True)
+    if materialize:
+        rules = rules.checkpoint(eager=True)
     t = F.col("rule_type")
     ips = rules.where(t == "IP").select(F.col("value").alias("rule_ip")).distinct()
     ports = rules.where(t == "PORT").select(F.col("value").cast("int").alias("rule_port")).distinct()

@@ -277,6 +277,38 @@ def capture_headers(spark, sf_dir):
     return read_capture_headers(spark, _forwarded_capture(spark, sf_dir)).drop("capture_id")
 
 
+# --- streaming ------------------------------------------------------------------
+
+def _capture_stream(spark, sf_dir):
+    """The fixture capture as rotated capture files, read as a stream."""
+    from netsift.sources.pcap import register
+    path = scratch_path(spark, "stream-in")
+    write_captures(fixture_frames(spark, sf_dir), path)
+    register(spark)
+    return (spark.readStream.format("pcap").option("captureId", CAPTURE_ID)
+            .option("maxFilesPerTrigger", "3").load(path))
+
+
+def stream_verdicts(spark, sf_dir):
+    """Verdicts from the streaming operator (J1): keyed state over micro-batches."""
+    from netsift.streaming.stateful import stream_verdicts as verdict_stream
+    v = verdict_stream(_capture_stream(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT))
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    q = (v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause",
+                                          "reason_type", "reason_detail")
+
+
+def stream_totals(spark, sf_dir):
+    """Packet totals accumulated over micro-batches."""
+    from netsift.streaming.stateful import running_totals, stream_totals as totals_stream
+    out, ck = scratch_path(spark, "totals-out"), scratch_path(spark, "totals-ck")
+    totals_stream(_capture_stream(spark, sf_dir), out, ck).awaitTermination()
+    return running_totals(spark, out)
+
+
 # --- flows by key ------------------------------------------------------------------
 
 def reverse_lookup(spark, sf_dir):
@@ -348,7 +380,8 @@ QUERIES = {
     "app_breakdown": app_breakdown, "top_domains": top_domains, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
-    "capture_headers": capture_headers, "reverse_lookup": reverse_lookup,
+    "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,
+    "reverse_lookup": reverse_lookup,
     "bidirectional_flows": bidirectional_flows, "flow_sessions": flow_sessions,
     "rule_counts": rule_counts, "rules_add": rules_add, "rules_remove": rules_remove, "rules_list": rules_list,
     "rules_roundtrip": rules_roundtrip,

@@ -114,12 +114,16 @@ def iter_records(stream, header: Header):
 
 
 class CapturePartition(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, index: int | None = None, capture_id: str | None = None):
         super().__init__(path)
-        self.path = path
+        self.path, self.index, self.capture_id = path, index, capture_id
 
 
-def _read_file(path: str, headers_only: bool):
+def _read_file(path: str, headers_only: bool, index: int | None = None, capture_id: str | None = None):
+    """Rows of one file. With ``index`` (streaming over rotated files) packet
+    numbers continue across files: ``index * 2**32 + record``."""
+    base = 0 if index is None else index << 32
+    cap = capture_id or path
     filesystem, p = _fs_path(path)
     with filesystem.open_input_stream(p) as stream:
         hb = stream.read(PCAP_GLOBAL_HEADER_LEN)
@@ -138,7 +142,7 @@ def _read_file(path: str, headers_only: bool):
             return
         cols: list[list] = [[] for _ in range(7)]
         for i, (ts_sec, ts_usec, incl, orig, data) in enumerate(iter_records(stream, header)):
-            for c, v in zip(cols, (path, i, ts_sec, ts_usec, incl, orig, data)):
+            for c, v in zip(cols, (cap, base + i, ts_sec, ts_usec, incl, orig, data)):
                 c.append(v)
             if len(cols[0]) >= BATCH_ROWS:
                 yield _batch(cols)
@@ -173,11 +177,17 @@ class PcapReader(DataSourceReader):
 
 
 class PcapStreamReader(DataSourceStreamReader):
-    """Offsets are counts of files in sorted order; new rotated files are appended."""
+    """Offsets are counts of files in sorted name order; rotated files are appended.
+
+    Option ``captureId`` names the logical capture the rotated files belong
+    to (default: each file is its own capture); packet numbers then continue
+    across files in name order.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.max_files = int(options.get("maxFilesPerTrigger", "0")) or None
+        self.capture_id = options.get("captureId")
 
     def initialOffset(self) -> dict:
         return {"files": 0}
@@ -190,10 +200,10 @@ class PcapStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         files = list_captures(self.path)[start["files"]:end["files"]]
-        return [CapturePartition(p) for p in files]
+        return [CapturePartition(p, start["files"] + i, self.capture_id) for i, p in enumerate(files)]
 
     def read(self, partition: CapturePartition):
-        yield from _read_file(partition.path, False)
+        yield from _read_file(partition.path, False, partition.index, partition.capture_id)
 
     def commit(self, end: dict) -> None:
         pass

@@ -23,6 +23,8 @@ class FlowState:
     state: str = "NEW"
     app: str = "Unknown"
     sni: str = ""
+    label_blk: bool = False          # does the label hit an APP / DOMAIN rule?
+    label_reason: tuple | None = None
     syn: bool = False
     syn_ack: bool = False
     fin: bool = False
@@ -79,12 +81,32 @@ def rules_from_rows(rows) -> Rules:
 
 
 def step(st: FlowState, pkt: dict, rules: Rules) -> dict:
-    """Advance ``st`` by one packet; return the packet's verdict.
+    """Advance ``st`` by one packet using rule sets; return the packet's verdict.
 
     ``pkt`` holds src_ip, dest_port, protocol, tcp_flags, payload_length,
     frame_length, ts_us, and the candidate (cand_app, cand_sni, cand_route;
     cand_route None when the packet yields no label).
     """
+    flags = dict(pkt)
+    ip_or_port = rules.reason(pkt["src_ip"], pkt["dest_port"], "\0", "")
+    flags["const_reason"] = ip_or_port
+    if pkt.get("cand_route") is not None:
+        r = rules.reason("\0", -1, pkt["cand_app"], pkt["cand_sni"])
+        flags["cand_reason"] = r
+    if st.packets == 0:
+        init = rules.reason("\0", -1, st.app, st.sni)
+        st.label_blk, st.label_reason = init is not None, init
+    return step_flags(st, flags)
+
+
+def step_flags(st: FlowState, pkt: dict) -> dict:
+    """Advance ``st`` by one packet whose rule hits are given as flags.
+
+    ``const_reason`` is the (type, detail) of a source-address or destination
+    port rule hit, or None; ``cand_reason`` the APP / DOMAIN hit of the
+    packet's candidate label, or None. The label in force keeps its own
+    reason, so every packet is checked against its flow's current label.
+    """
     st.packets += 1
     st.bytes += pkt["frame_length"]
     ts = pkt.get("ts_us")
@@ -106,16 +128,18 @@ def step(st: FlowState, pkt: dict, rules: Rules) -> dict:
         if st.fin and f & ACK:
             st.state = "CLOSED"
     out = {"assigned": False, "rule_block": False, "inspected": False, "route": None}
+    const = pkt.get("const_reason")
     if st.state == "BLOCKED":
-        reason = rules.reason(pkt["src_ip"], pkt["dest_port"], st.app, st.sni)
-        out.update(state="BLOCKED", action="DROP", drop_cause="STATE", reason=reason)
+        out.update(state="BLOCKED", action="DROP", drop_cause="STATE", reason=const or st.label_reason)
     else:
         if st.state != "CLASSIFIED" and pkt["payload_length"] > 0:
             out["inspected"] = True
             if pkt.get("cand_route") is not None:
                 st.app, st.sni, st.state = pkt["cand_app"], pkt["cand_sni"], "CLASSIFIED"
+                st.label_reason = pkt.get("cand_reason")
+                st.label_blk = st.label_reason is not None
                 out["assigned"], out["route"] = True, pkt["cand_route"]
-        reason = rules.reason(pkt["src_ip"], pkt["dest_port"], st.app, st.sni)
+        reason = const or (st.label_reason if st.label_blk else None)
         if reason is not None:
             st.state = "BLOCKED"
             out.update(state="BLOCKED", action="DROP", drop_cause="RULE", reason=reason, rule_block=True)

@@ -268,6 +268,9 @@ def oracle() -> dict[str, str]:
         f"WHERE cand_route IS NOT NULL AND ({_RV_T}) IS NOT NULL")
     q["packet_verdicts"] = with_walk(
         f"SELECT packet_no, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v")
+    q["stream_verdicts"] = with_walk(
+        f"SELECT ts_us, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v")
+    q["stream_totals"] = q["packet_totals"]
     q["tcp_states"] = with_walk("SELECT state, count(*) AS packets FROM v GROUP BY state")
     q["block_events"] = with_walk(
         f"SELECT packet_no, {K5}, reason_type, reason_detail FROM v WHERE drop_cause = 'RULE'")
