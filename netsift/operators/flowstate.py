@@ -280,3 +280,12 @@ def flow_sessions(packets: DataFrame, gap_seconds: int, key: list[str] | None =
     return agg.select(*key, "first_seen_us", "last_seen_us",
                       (F.col("last_seen_us") + gap_seconds * 1_000_000).alias("session_end_us"),
                       "packets", "bytes")
+
+
+def visit_flows(flows: DataFrame, fn) -> None:
+    """Call ``fn(row)`` for every flow, on the executors holding it (K2).
+
+    Runs where the flow rows live (no collection to the driver); ``fn`` must
+    be serialisable and should write its effects to an external sink.
+    """
+    flows.foreach(fn)
