@@ -18,6 +18,7 @@ flow key, ``packet_no``, ``ts``, ``ts_us``, ``frame_length``,
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,101 @@ from netsift.schema import ACK, FIN, FLOW_KEY, RST, SYN
 INIT_APP, INIT_SNI = "Unknown", ""
 
 
-def _windows(key: list[str]):
-    w = Window.partitionBy(*key).orderBy("packet_no")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return w, run, before
+class _Scan:
+    """Running aggregates over each flow in packet order.
+
+    Plain mode: window functions over one spec (flow, ordered by packet_no).
+    Chunked mode (``chunk_size``): rows are partitioned by (flow, chunk of
+    packet numbers) so a hot flow spreads over many tasks; each running value
+    is computed inside the chunk, the chunk totals are combined into an
+    exclusive prefix per flow (one small row per chunk), and the prefix is
+    joined back and combined with the in-chunk value. Every operator used
+    here is associative (sum, max, last non-null, previous row), so the
+    result is exact.
+    """
+
+    def __init__(self, key: list[str], chunk_size: int | None):
+        self.key, self.chunk = key, chunk_size
+        self.persisted: list[DataFrame] = []
+        part = key + (["_chunk"] if chunk_size else [])
+        self.w = Window.partitionBy(*part).orderBy("packet_no")
+        self.run = self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.before = self.w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        if self.chunk:
+            return df.withColumn("_chunk", F.floor(F.col("packet_no") / self.chunk))
+        return df
+
+    def _local(self, op: str, e: Column) -> Column:
+        if op == "sum":
+            return F.sum(e).over(self.run)
+        if op == "max":
+            return F.max(e).over(self.run)
+        if op == "last":
+            return F.last(e, ignorenulls=True).over(self.run)
+        if op == "last_before":
+            return F.last(e, ignorenulls=True).over(self.before)
+        if op == "lag":
+            return F.lag(e, 1).over(self.w)
+        if op == "is_last":
+            return F.lead(F.col("packet_no"), 1).over(self.w).isNull()
+        raise ValueError(op)
+
+    def apply(self, df: DataFrame, specs: dict) -> DataFrame:
+        """Add one column per ``name: (op, expr)``, the running value over the flow."""
+        if not self.chunk:
+            return df.select("*", *[self._local(op, e).alias(n) for n, (op, e) in specs.items()])
+        key, ck = self.key, self.key + ["_chunk"]
+        df = df.select("*", *[e.alias(f"_e_{n}") for n, (op, e) in specs.items() if op != "is_last"])
+        df = df.select("*", *[self._local(op, F.col(f"_e_{n}") if op != "is_last" else None).alias(f"_l_{n}")
+                              for n, (op, e) in specs.items()])
+        # The rows feed both the chunk totals and the join back: keep them
+        # (memory, spilling to disk; recomputed from lineage if lost) so the
+        # upstream layers are not evaluated twice.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.persisted.append(df)
+        totals = []
+        for n, (op, _) in specs.items():
+            v = F.col(f"_e_{n}")
+            if op == "sum":
+                totals.append(F.sum(v).alias(f"_t_{n}"))
+            elif op == "max":
+                totals.append(F.max(v).alias(f"_t_{n}"))
+            elif op in ("last", "last_before"):
+                totals.append(F.max_by(v, F.when(v.isNotNull(), F.col("packet_no"))).alias(f"_t_{n}"))
+            elif op == "lag":
+                totals.append(F.max_by(v, F.col("packet_no")).alias(f"_t_{n}"))
+        chunks = df.groupBy(*ck).agg(F.count(F.lit(1)).alias("_rows"), *totals)
+        wc = Window.partitionBy(*key).orderBy("_chunk")
+        prior = wc.rowsBetween(Window.unboundedPreceding, -1)
+        prefix = []
+        for n, (op, _) in specs.items():
+            t = F.col(f"_t_{n}") if op != "is_last" else None
+            if op == "sum":
+                prefix.append(F.sum(t).over(prior).alias(f"_p_{n}"))
+            elif op == "max":
+                prefix.append(F.max(t).over(prior).alias(f"_p_{n}"))
+            elif op in ("last", "last_before"):
+                prefix.append(F.last(t, ignorenulls=True).over(prior).alias(f"_p_{n}"))
+            elif op == "lag":
+                prefix.append(F.lag(t, 1).over(wc).alias(f"_p_{n}"))
+            elif op == "is_last":
+                prefix.append(F.lead(F.col("_chunk"), 1).over(wc).isNull().alias(f"_p_{n}"))
+        joined = df.join(chunks.select(*ck, *prefix), ck, "left")
+        out = []
+        for n, (op, _) in specs.items():
+            lv, pv = F.col(f"_l_{n}"), F.col(f"_p_{n}")
+            if op == "sum":
+                out.append((F.coalesce(pv, F.lit(0)) + lv).alias(n))
+            elif op == "max":
+                out.append(F.greatest(pv, lv).alias(n))
+            elif op in ("last", "last_before", "lag"):
+                out.append(F.coalesce(lv, pv).alias(n))
+            elif op == "is_last":
+                out.append((lv & pv).alias(n))
+        drop = [c for n in specs for c in (f"_e_{n}", f"_l_{n}", f"_p_{n}")]
+        return joined.select("*", *out).drop(*[c for c in drop if c in joined.columns])
 
 
 def _label(app: Column, sni: Column, route: Column, blk: Column, reason: Column) -> Column:
@@ -40,7 +131,8 @@ def _label(app: Column, sni: Column, route: Column, blk: Column, reason: Column)
                     blk.alias("blk"), reason.alias("reason"))
 
 
-def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None = None) -> DataFrame:
+def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None = None,
+                    chunk_size: int | None = None) -> DataFrame:
     """Verdict of every packet (G1-G6, G9): state, action, label, reason.
 
     Output columns: flow key, ``packet_no``, ``ts``, ``ts_us``,
@@ -50,45 +142,50 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     blocked), ``assigned`` (label assigned here), ``rule_block``,
     ``inspected``, ``sni_extraction``, ``classification_hit``,
     ``flow_packets``/``flow_bytes`` (running counters), ``syn_seen``,
-    ``syn_ack_seen``, ``fin_seen``.
+    ``syn_ack_seen``, ``fin_seen``, ``last_in_flow``.
+
+    Default plan: one exchange on the flow key, one sort, stacked windows.
+    With ``chunk_size`` a flow is split into chunks of that many packet
+    numbers (see :class:`_Scan`): use it when single flows may hold a large
+    share of all packets; it costs a small exchange and a join per layer.
     """
     key = list(key or FLOW_KEY)
-    w, run, before = _windows(key)
+    sc = _Scan(key, chunk_size)
     tcp = F.col("protocol") == 6
     flags = F.col("tcp_flags")
     s_, a_, f_, r_ = (tcp & has_flag(flags, b) for b in (SYN, ACK, FIN, RST))
     hc = F.col("cand_route").isNotNull()
+    no = F.lit(False)
 
     # Layer 1: row values and flow-wide running values.
-    df = pk.select(
+    df = sc.prepare(pk).select(
         "*",
-        F.coalesce(s_, F.lit(False)).alias("_S"), F.coalesce(a_, F.lit(False)).alias("_A"),
-        F.coalesce(r_, F.lit(False)).alias("_R"),
-        hc.alias("_hc"),
+        F.coalesce(a_, no).alias("_A"), F.coalesce(r_, no).alias("_R"), hc.alias("_hc"),
         (F.col("ip_hit") | F.col("port_hit")).alias("_const"),
-        F.row_number().over(w).alias("_rn"),
-        F.max(F.coalesce(s_ & ~a_, F.lit(False))).over(run).alias("syn_seen"),
-        F.max(F.coalesce(s_ & a_, F.lit(False))).over(run).alias("syn_ack_seen"),
-        F.max(F.coalesce(f_, F.lit(False))).over(run).alias("fin_seen"),
-        F.sum(hc.cast("int")).over(run).alias("_ccount"),
-        F.count(F.lit(1)).over(run).alias("flow_packets"),
-        F.sum("frame_length").over(run).alias("flow_bytes"),
     )
+    df = sc.apply(df, {
+        "_rn": ("sum", F.lit(1).cast("bigint")),
+        "syn_seen": ("max", F.coalesce(s_ & ~a_, no)),
+        "syn_ack_seen": ("max", F.coalesce(s_ & a_, no)),
+        "fin_seen": ("max", F.coalesce(f_, no)),
+        "_ccount": ("sum", hc.cast("bigint")),
+        "flow_bytes": ("sum", F.col("frame_length").cast("bigint")),
+    })
+    df = df.withColumn("flow_packets", F.col("_rn"))
     # Layer 2: closes open epochs; candidates counted from the epoch start.
     close = F.col("_R") | (F.col("fin_seen") & F.col("_A"))
     df = df.withColumn("_close", close).withColumn("_start", close | (F.col("_rn") == 1))
     est_flag = F.col("syn_seen") & F.col("syn_ack_seen") & F.col("_A")
-    cands_before = F.col("_ccount") - F.col("_hc").cast("int")
-    df = df.select(
-        "*",
-        F.sum(F.col("_close").cast("int")).over(run).alias("_epoch"),
-        F.max(est_flag).over(run).alias("_est"),
-        F.last(F.when(F.col("_start"), cands_before), ignorenulls=True).over(run).alias("_epoch_base"),
-    )
+    cands_before = F.col("_ccount") - F.col("_hc").cast("bigint")
+    df = sc.apply(df, {
+        "_epoch": ("sum", F.col("_close").cast("bigint")),
+        "_est": ("max", est_flag),
+        "_epoch_base": ("last", F.when(F.col("_start"), cands_before)),
+    })
     # Layer 3: the first candidate of each epoch is the only one that can label.
     eff = F.col("_hc") & ((F.col("_ccount") - F.col("_epoch_base")) == 1)
     df = df.withColumn("_eff", eff)
-    df = df.withColumn("_chain", F.sum((F.col("_eff") & F.col("_start")).cast("int")).over(run))
+    df = sc.apply(df, {"_chain": ("sum", (F.col("_eff") & F.col("_start")).cast("bigint"))})
     # Layer 4: label in force. Within a chain (segment opened by a candidate on
     # a start packet) the first blocked effective candidate sticks, else the
     # latest effective candidate; before any, the initial label. "Blocked"
@@ -99,11 +196,12 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     init_reason = F.when(F.lit(unknown_blocked), F.struct(F.lit("APP").alias("type"), F.lit(INIT_APP).alias("detail")))
     init_label = _label(F.lit(INIT_APP), F.lit(INIT_SNI), F.lit(None).cast("string"),
                         F.lit(unknown_blocked), init_reason)
-    first_blocked = F.max(F.when(F.col("_eff") & (F.col("cand_blk") | F.col("_const")),
-                                 F.struct(F.col("_chain").alias("chain"), (-F.col("packet_no")).alias("neg_no"),
-                                          cand_label.alias("label")))).over(run)
-    last_eff = F.last(F.when(F.col("_eff"), cand_label), ignorenulls=True).over(run)
-    df = df.select("*", first_blocked.alias("_fb"), last_eff.alias("_le"))
+    df = sc.apply(df, {
+        "_fb": ("max", F.when(F.col("_eff") & (F.col("cand_blk") | F.col("_const")),
+                              F.struct(F.col("_chain").alias("chain"), (-F.col("packet_no")).alias("neg_no"),
+                                       cand_label.alias("label")))),
+        "_le": ("last", F.when(F.col("_eff"), cand_label)),
+    })
     carry = F.coalesce(
         F.when((F.col("_chain") == 0) & (F.lit(unknown_blocked) | F.col("_const")), init_label),
         F.when(F.col("_fb.chain") == F.col("_chain"), F.col("_fb.label")),
@@ -113,26 +211,27 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     df = df.withColumn("_carry", carry)
     # Layer 5: drop decision and the transitions it implies.
     creason = const_reason(F.col("ip_hit"), F.col("port_hit"), F.col("src_ip"), F.col("dest_port"))
-    drop = creason.isNotNull() | F.col("_carry.blk")
-    df = df.withColumn("_drop", drop)
-    df = df.withColumn("_prev", F.coalesce(F.lag("_drop", 1).over(w), F.lit(False)))
+    df = df.withColumn("_drop", creason.isNotNull() | F.col("_carry.blk"))
+    df = sc.apply(df, {"_prev0": ("lag", F.col("_drop"))})
+    df = df.withColumn("_prev", F.coalesce(F.col("_prev0"), no))
     fresh = F.col("_start") | ~F.col("_prev")
     df = df.withColumn("rule_block", F.col("_drop") & fresh).withColumn("assigned", F.col("_eff") & fresh)
-    # Layer 6: classification within the current epoch, inspection.
-    df = df.select(
-        "*",
-        F.last(F.when(F.col("assigned"), F.col("_epoch")), ignorenulls=True).over(run).alias("_cls_epoch"),
-        F.last(F.when(F.col("assigned"), F.col("_epoch")), ignorenulls=True).over(before).alias("_cls_before"),
-    )
-    classified = F.coalesce(F.col("_cls_epoch") == F.col("_epoch"), F.lit(False))
-    assigned_before = F.coalesce(F.col("_cls_before") == F.col("_epoch"), F.lit(False))
+    # Layer 6: classification within the current epoch, inspection, flow end.
+    assigned_epoch = F.when(F.col("assigned"), F.col("_epoch"))
+    df = sc.apply(df, {
+        "_cls_epoch": ("last", assigned_epoch),
+        "_cls_before": ("last_before", assigned_epoch),
+        "last_in_flow": ("is_last", None),
+    })
+    classified = F.coalesce(F.col("_cls_epoch") == F.col("_epoch"), no)
+    assigned_before = F.coalesce(F.col("_cls_before") == F.col("_epoch"), no)
     state = (F.when(F.col("_drop"), "BLOCKED").when(classified, "CLASSIFIED")
              .when(F.col("_epoch") > 0, "CLOSED").when(F.col("_est"), "ESTABLISHED").otherwise("NEW"))
     inspected = (F.col("payload_length") > 0) & (F.col("_start") | (~F.col("_prev") & ~assigned_before))
     route, app = F.col("cand_route"), F.col("cand_app")
     hit = F.col("assigned") & (((route == "TLS") & ~app.isin("Unknown", "HTTPS"))
                                | ((route == "HTTP") & ~app.isin("Unknown", "HTTP")))
-    out = df.select(
+    return df.select(
         *key, *[c for c in ("packet_no", "ts", "ts_us", "frame_length", "payload_length", "tcp_flags",
                             "has_tcp", "has_udp") if c not in key],
         state.alias("state"),
@@ -144,12 +243,10 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
         "assigned", "rule_block",
         inspected.alias("inspected"),
         (F.col("assigned") & (route == "TLS")).alias("sni_extraction"),
-        F.coalesce(hit, F.lit(False)).alias("classification_hit"),
+        F.coalesce(hit, no).alias("classification_hit"),
         F.col("_hc").alias("has_candidate"),
-        "flow_packets", "flow_bytes", "syn_seen", "syn_ack_seen", "fin_seen",
-        F.lead("packet_no", 1).over(w).isNull().alias("last_in_flow"),
+        "flow_packets", "flow_bytes", "syn_seen", "syn_ack_seen", "fin_seen", "last_in_flow",
     )
-    return out
 
 
 def final_flows(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:

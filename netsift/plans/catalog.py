@@ -47,14 +47,15 @@ _CACHE: dict = {}
 
 
 def inspection(spark: SparkSession, sf_dir: str, rules_text: str = FIXTURE_RULES_TEXT,
-               idle_timeout_s: int | None = None, split_captures: bool = False) -> Inspection:
+               idle_timeout_s: int | None = None, split_captures: bool = False,
+               hot_flow_chunk: int | None = None) -> Inspection:
     """One lazily built inspection per (session, data, rules, options)."""
-    key = (id(spark), sf_dir, rules_text, idle_timeout_s, split_captures)
+    key = (id(spark), sf_dir, rules_text, idle_timeout_s, split_captures, hot_flow_chunk)
     if key not in _CACHE:
         raw = fixture_frames(spark, sf_dir)
         if split_captures:
             raw = raw.withColumn("capture_id", F.concat(F.lit(CAPTURE_ID + "-"), (F.col("packet_no") % 2).cast("string")))
-        _CACHE[key] = Inspection(raw, rules_from_text(spark, rules_text), idle_timeout_s)
+        _CACHE[key] = Inspection(raw, rules_from_text(spark, rules_text), idle_timeout_s, hot_flow_chunk)
     return _CACHE[key]
 
 
@@ -203,6 +204,15 @@ def packet_verdicts(spark, sf_dir):
                     F.col("block_reason.detail").alias("reason_detail"))
 
 
+def split_flow_verdicts(spark, sf_dir):
+    """Packet verdicts from the hot-flow plan: every flow split into chunks of
+    500 packet numbers (about 20 per fixture flow), prefixes combined."""
+    v = inspection(spark, sf_dir, hot_flow_chunk=500).verdicts
+    return v.select("packet_no", *KEY5, "state", "action", "app_type", "sni", "drop_cause",
+                    F.col("block_reason.type").alias("reason_type"),
+                    F.col("block_reason.detail").alias("reason_detail"), "flow_packets", "flow_bytes")
+
+
 def tcp_states(spark, sf_dir):
     v = inspection(spark, sf_dir).verdicts
     return v.groupBy("state").agg(F.count(F.lit(1)).alias("packets"))
@@ -375,7 +385,7 @@ QUERIES = {
     "quic_sni": quic_sni,
     "blocked_by_ip": blocked_by_ip, "blocked_by_port": blocked_by_port, "blocked_by_app": blocked_by_app,
     "blocked_by_domain": blocked_by_domain, "rule_verdict": rule_verdict,
-    "packet_verdicts": packet_verdicts, "tcp_states": tcp_states, "block_events": block_events,
+    "packet_verdicts": packet_verdicts, "split_flow_verdicts": split_flow_verdicts, "tcp_states": tcp_states, "block_events": block_events,
     "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
     "app_breakdown": app_breakdown, "top_domains": top_domains, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "merged_captures": merged_captures,

@@ -34,6 +34,8 @@ class Inspection:
     raw: DataFrame
     rules: DataFrame
     idle_timeout_s: int | None = None
+    # Split flows into chunks of this many packet numbers (hot-flow plan).
+    hot_flow_chunk: int | None = None
 
     @cached_property
     def tables(self) -> RuleTables:
@@ -60,7 +62,7 @@ class Inspection:
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return packet_verdicts(self.labelled, self.tables.unknown_blocked, self.key)
+        return packet_verdicts(self.labelled, self.tables.unknown_blocked, self.key, self.hot_flow_chunk)
 
     @cached_property
     def flows(self) -> DataFrame:

@@ -272,6 +272,9 @@ def oracle() -> dict[str, str]:
         f"SELECT ts_us, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v")
     q["stream_totals"] = q["packet_totals"]
     q["tcp_states"] = with_walk("SELECT state, count(*) AS packets FROM v GROUP BY state")
+    q["split_flow_verdicts"] = with_walk(
+        f"SELECT packet_no, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail, "
+        "pos AS flow_packets, flow_bytes FROM v")
     q["block_events"] = with_walk(
         f"SELECT packet_no, {K5}, reason_type, reason_detail FROM v WHERE drop_cause = 'RULE'")
     q["final_flows"] = with_walk(f", {_final()}\nSELECT {K5}, state, app_type, sni, packets_out, bytes_out FROM f")

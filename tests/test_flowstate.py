@@ -63,14 +63,14 @@ def _sequential(rows, rules):
     return out
 
 
-def _check(spark, seed, unknown_blocked):
+def _check(spark, seed, unknown_blocked, chunk_size=None):
     rng = random.Random(seed)
     apps = {"GitHub"} | ({"Unknown"} if unknown_blocked else set())
     rules = Rules(ips=frozenset({"10.0.0.5"}), ports=frozenset({22}), apps=frozenset(apps),
                   domains=frozenset({"www.youtube.com"}), pattern_rests=("example.org",))
     rows = _flows(rng, rules, 120)
     expected = _sequential(rows, rules)
-    got = packet_verdicts(spark.createDataFrame(rows, SCHEMA), unknown_blocked).collect()
+    got = packet_verdicts(spark.createDataFrame(rows, SCHEMA), unknown_blocked, chunk_size=chunk_size).collect()
     assert len(got) == len(expected)
     bad = []
     for g in got:
@@ -80,7 +80,8 @@ def _check(spark, seed, unknown_blocked):
                  ("app", g["app_type"], e["app_type"]), ("sni", g["sni"], e["sni"]),
                  ("cause", g["drop_cause"], e["drop_cause"]), ("reason", reason, e["reason"]),
                  ("assigned", g["assigned"], e["assigned"]), ("rule_block", g["rule_block"], e["rule_block"]),
-                 ("inspected", g["inspected"], e["inspected"]), ("packets", g["flow_packets"], e["flow_packets"])]
+                 ("inspected", g["inspected"], e["inspected"]), ("packets", g["flow_packets"], e["flow_packets"]),
+                 ("bytes", g["flow_bytes"], e["flow_bytes"])]
         bad += [(g["packet_no"], n, a, b) for n, a, b in pairs if a != b]
     assert not bad, bad[:10]
 
@@ -92,3 +93,10 @@ def test_window_form_matches_sequential(spark):
 
 def test_window_form_matches_sequential_unknown_blocked(spark):
     _check(spark, 7, unknown_blocked=True)
+
+
+def test_chunked_form_matches_sequential(spark):
+    """Hot-flow plan: flows split into chunks of packet numbers, prefixes combined."""
+    for seed, chunk in ((4, 3), (5, 7)):
+        _check(spark, seed, unknown_blocked=False, chunk_size=chunk)
+    _check(spark, 6, unknown_blocked=True, chunk_size=5)
