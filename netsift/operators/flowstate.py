@@ -181,6 +181,7 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
         "_epoch": ("sum", F.col("_close").cast("bigint")),
         "_est": ("max", est_flag),
         "_epoch_base": ("last", F.when(F.col("_start"), cands_before)),
+        "_first_ts_us": ("last", F.when(F.col("_rn") == 1, F.col("ts_us"))),
     })
     # Layer 3: the first candidate of each epoch is the only one that can label.
     eff = F.col("_hc") & ((F.col("_ccount") - F.col("_epoch_base")) == 1)
@@ -246,31 +247,26 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
         F.coalesce(hit, no).alias("classification_hit"),
         F.col("_hc").alias("has_candidate"),
         "flow_packets", "flow_bytes", "syn_seen", "syn_ack_seen", "fin_seen", "last_in_flow",
+        F.col("_first_ts_us").alias("first_ts_us"),
     )
 
 
 def final_flows(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Flow table (T6): counters (F4) and the state after the last packet.
 
-    Grouping keys equal the verdicts' partitioning, so no new exchange.
+    The last verdict row of each flow already holds the running totals and
+    the final state, so this is a filter on ``last_in_flow`` (no aggregation,
+    no exchange). ``first_seen``/``last_seen`` are the times of the flow's
+    first and last packet in capture order.
     """
     key = list(key or FLOW_KEY)
-    last = F.max_by(F.struct("state", "app_type", "sni", "action", "syn_seen", "syn_ack_seen", "fin_seen"),
-                    "packet_no")
-    return (verdicts.groupBy(*key)
-            .agg(F.count(F.lit(1)).alias("packets_out"),
-                 F.sum("frame_length").cast("bigint").alias("bytes_out"),
-                 F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-                 F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
-                 F.min("packet_no").alias("first_packet_no"),
-                 last.alias("_last"))
-            .select(*key, "packets_out", "bytes_out",
-                    F.lit(0).cast("bigint").alias("packets_in"), F.lit(0).cast("bigint").alias("bytes_in"),
-                    "first_seen", "last_seen", "first_seen_us", "last_seen_us", "first_packet_no",
-                    F.col("_last.state").alias("state"), F.col("_last.app_type").alias("app_type"),
-                    F.col("_last.sni").alias("sni"), F.col("_last.action").alias("action"),
-                    F.col("_last.syn_seen").alias("syn_seen"), F.col("_last.syn_ack_seen").alias("syn_ack_seen"),
-                    F.col("_last.fin_seen").alias("fin_seen")))
+    last = verdicts.where(F.col("last_in_flow"))
+    return last.select(
+        *key, F.col("flow_packets").alias("packets_out"), F.col("flow_bytes").cast("bigint").alias("bytes_out"),
+        F.lit(0).cast("bigint").alias("packets_in"), F.lit(0).cast("bigint").alias("bytes_in"),
+        F.timestamp_micros(F.col("first_ts_us")).alias("first_seen"), F.col("ts").alias("last_seen"),
+        F.col("first_ts_us").alias("first_seen_us"), F.col("ts_us").alias("last_seen_us"),
+        "state", "app_type", "sni", "action", "syn_seen", "syn_ack_seen", "fin_seen")
 
 
 def flow_counters(packets: DataFrame, key: list[str] | None = None) -> DataFrame:

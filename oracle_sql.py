@@ -176,7 +176,7 @@ LAST_ROW = "row_number() OVER (PARTITION BY {k} ORDER BY pos DESC) = 1"
 def _final(key: str = K5) -> str:
     return f"""fl AS (SELECT {key}, state, app_type, sni, count(*) OVER w AS packets_out,
                  CAST(sum(frame_length) OVER w AS BIGINT) AS bytes_out,
-                 max(ts_us) OVER w AS last_seen_us, pos, max(pos) OVER w AS last_pos
+                 ts_us AS last_seen_us, pos, max(pos) OVER w AS last_pos
                FROM v WINDOW w AS (PARTITION BY {key})),
 f AS (SELECT * FROM fl WHERE pos = last_pos)"""
 
