@@ -245,6 +245,15 @@ def top_domains(spark, sf_dir):
     return inspection(spark, sf_dir).top_domains()
 
 
+def top_domains_pages(spark, sf_dir):
+    """Top-20 domains over the capture derived from ``pages`` (more than 20 names, ties)."""
+    from netsift.plans.fixture import pages_frames
+    key = (id(spark), sf_dir, "pages")
+    if key not in _CACHE:
+        _CACHE[key] = Inspection(pages_frames(spark, sf_dir), rules_from_text(spark, "[BLOCKED_IPS]\n"))
+    return _CACHE[key].top_domains()
+
+
 def inspection_metrics(spark, sf_dir):
     return reports.inspection_metrics(inspection(spark, sf_dir).verdicts)
 
@@ -387,7 +396,7 @@ QUERIES = {
     "blocked_by_domain": blocked_by_domain, "rule_verdict": rule_verdict,
     "packet_verdicts": packet_verdicts, "split_flow_verdicts": split_flow_verdicts, "tcp_states": tcp_states, "block_events": block_events,
     "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
-    "app_breakdown": app_breakdown, "top_domains": top_domains, "inspection_metrics": inspection_metrics,
+    "app_breakdown": app_breakdown, "top_domains": top_domains, "top_domains_pages": top_domains_pages, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
     "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,

@@ -151,3 +151,33 @@ def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return encode_frames(synthetic_packets(spark, sf_dir)).repartitionByRange(parts, "packet_no")
 
     return materialized(spark, build, "fixture-frames", key)
+
+
+# Host of a page URL, the same expression on both engines.
+URL_HOST_RX = "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+PAGES_CAPTURE_ID = "pages"
+
+
+def pages_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second capture, derived from ``pages``: one TLS ClientHello per page,
+    naming the host of the page URL, one flow per page (stored like
+    :func:`fixture_frames`)."""
+    pages_path = f"{sf_dir}/pages.parquet"
+    key = cache_key(pages_path, file_signature(spark, pages_path), URL_HOST_RX, ENCODER_VERSION)
+
+    def build() -> DataFrame:
+        pg = spark.read.parquet(pages_path).select("page_id", "url")
+        pid = F.col("page_id")
+        pk = pg.select(
+            pid.alias("packet_no"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+            F.concat_ws(".", F.lit("10"), F.lit("2"), (pid / 250).cast("bigint").cast("string"),
+                        (pid % 250 + 1).cast("string")).alias("src_ip"),
+            F.lit("93.184.9.9").alias("dest_ip"),
+            F.lit(40443).alias("src_port"), F.lit(443).alias("dest_port"), F.lit(6).alias("protocol"),
+            F.lit(24).alias("tcp_flags"), F.lit("tls").alias("payload_kind"),
+            F.regexp_extract("url", URL_HOST_RX, 1).alias("host"))
+        parts = max(spark.sparkContext.defaultParallelism, 1)
+        return encode_frames(pk, PAGES_CAPTURE_ID).repartitionByRange(parts, "packet_no")
+
+    return materialized(spark, build, "pages-frames", key)

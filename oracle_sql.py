@@ -8,7 +8,7 @@ the window form the Spark side uses.
 
 from __future__ import annotations
 
-from netsift.plans.fixture import FIXTURE_SQL
+from netsift.plans.fixture import FIXTURE_SQL, URL_HOST_RX
 from netsift.schema import HOST_KEYWORDS
 
 # Rules of the fixture (same text as FIXTURE_RULES_TEXT), as SQL predicates.
@@ -289,6 +289,10 @@ def oracle() -> dict[str, str]:
         f", {_final()}\nSELECT sni, CASE WHEN length(sni) > 35 THEN substr(sni, 1, 32) || '...' ELSE sni END "
         "AS label, count(*) AS flows FROM f WHERE state <> 'CLOSED' AND sni <> '' GROUP BY sni "
         "ORDER BY flows DESC, sni LIMIT 20")
+    q["top_domains_pages"] = (
+        "WITH h AS (SELECT regexp_extract(url, '" + URL_HOST_RX + "', 1) AS sni FROM pages) "
+        "SELECT sni, CASE WHEN length(sni) > 35 THEN substr(sni, 1, 32) || '...' ELSE sni END AS label, "
+        "count(*) AS flows FROM h WHERE sni <> '' GROUP BY sni ORDER BY flows DESC, sni LIMIT 20")
     q["inspection_metrics"] = with_walk(
         "SELECT count(*) AS processed, count_if(action = 'FORWARD') AS forwarded, "
         "count_if(action = 'DROP') AS dropped, count_if(assigned AND route = 'TLS') AS sni_extractions, "
