@@ -114,9 +114,94 @@ def iter_records(stream, header: Header):
 
 
 class CapturePartition(InputPartition):
-    def __init__(self, path: str, index: int | None = None, capture_id: str | None = None):
+    def __init__(self, path: str, index: int | None = None, capture_id: str | None = None,
+                 start: int | None = None, end: int | None = None):
         super().__init__(path)
         self.path, self.index, self.capture_id = path, index, capture_id
+        self.start, self.end = start, end
+
+
+# Record headers that must chain, one after the other, before a byte position
+# inside a file is taken as a record boundary (split reads).
+SYNC_CHAIN = 16
+
+
+def _plausible(header: Header, buf: bytes, at: int, limit: int) -> int | None:
+    """Length of the record starting at ``at`` in ``buf`` if its header is sane."""
+    if at + PCAP_RECORD_HEADER_LEN > len(buf):
+        return None
+    ts_sec, ts_usec, incl, orig = struct.unpack_from(header.order + "IIII", buf, at)
+    if incl > limit or orig < incl or ts_usec >= 1_000_000:
+        return None
+    return PCAP_RECORD_HEADER_LEN + incl
+
+
+def find_sync(header: Header, buf: bytes, file_tail: bool) -> int | None:
+    """First offset in ``buf`` where SYNC_CHAIN record headers chain.
+
+    ``file_tail``: ``buf`` reaches the end of the file, so a chain may also end
+    exactly there.
+    """
+    limit = min(header.snaplen, PCAP_MAX_RECORD_LEN)
+    for o in range(0, max(len(buf) - PCAP_RECORD_HEADER_LEN, 0) + 1):
+        at, ok = o, 0
+        first_ts = None
+        while ok < SYNC_CHAIN:
+            if file_tail and at == len(buf):
+                break
+            n = _plausible(header, buf, at, limit)
+            if n is None:
+                break
+            ts = struct.unpack_from(header.order + "I", buf, at)[0]
+            if first_ts is None:
+                first_ts = ts
+            elif abs(ts - first_ts) > 86_400:
+                break
+            at, ok = at + n, ok + 1
+        if ok == SYNC_CHAIN or (file_tail and at == len(buf) and ok > 0):
+            return o
+    return None
+
+
+def _read_range(path: str, start: int, end: int, capture_id: str | None):
+    """Records that start in [start, end) of a split file; packet_no = byte offset."""
+    filesystem, p = _fs_path(path)
+    cap = capture_id or path
+    with filesystem.open_input_file(p) as f:
+        size = f.size()
+        header = parse_header(f.read_at(PCAP_GLOBAL_HEADER_LEN, 0))
+        if header is None:
+            return
+        pos = start
+        if start > PCAP_GLOBAL_HEADER_LEN:
+            window = SYNC_CHAIN * (PCAP_RECORD_HEADER_LEN + PCAP_MAX_RECORD_LEN) + PCAP_MAX_RECORD_LEN
+            buf = f.read_at(min(window, size - start), start)
+            o = find_sync(header, buf, start + len(buf) >= size)
+            if o is None:
+                return
+            pos = start + o
+        f.seek(pos)
+        rec = struct.Struct(header.order + "IIII")
+        limit = min(header.snaplen, PCAP_MAX_RECORD_LEN)
+        cols: list[list] = [[] for _ in range(7)]
+        while pos < end:
+            hb = f.read(PCAP_RECORD_HEADER_LEN)
+            if len(hb) < PCAP_RECORD_HEADER_LEN:
+                break
+            ts_sec, ts_usec, incl, orig = rec.unpack(hb)
+            if incl > limit:
+                break
+            data = f.read(incl)
+            if len(data) < incl:
+                break
+            for c, v in zip(cols, (cap, pos, ts_sec, ts_usec, incl, orig, data)):
+                c.append(v)
+            pos += PCAP_RECORD_HEADER_LEN + incl
+            if len(cols[0]) >= BATCH_ROWS:
+                yield _batch(cols)
+                cols = [[] for _ in range(7)]
+        if cols[0]:
+            yield _batch(cols)
 
 
 def _read_file(path: str, headers_only: bool, index: int | None = None, capture_id: str | None = None):
@@ -165,15 +250,38 @@ def _batch(cols) -> pa.RecordBatch:
 
 
 class PcapReader(DataSourceReader):
+    """Batch reader. Option ``splitSize`` (bytes, off by default): files larger
+    than it are read as byte ranges in parallel; a range after the first finds
+    its first record by a chain of SYNC_CHAIN plausible headers, and
+    ``packet_no`` is then the record's byte offset in the file (unique and in
+    capture order). Without it a file is one partition and ``packet_no`` is
+    the record index."""
+
     def __init__(self, options: dict):
         self.path = options.get("path") or options.get("paths")
         self.headers_only = options.get("mode", "packets") == "headers"
+        self.split = int(options.get("splitSize", "0")) or None
+        self.capture_id = options.get("captureId")
 
     def partitions(self):
-        return [CapturePartition(p) for p in list_captures(self.path)]
+        parts = []
+        for p in list_captures(self.path):
+            size = None
+            if self.split and not self.headers_only:
+                filesystem, fp = _fs_path(p)
+                size = filesystem.get_file_info(fp).size
+            if size is None or size <= self.split:
+                parts.append(CapturePartition(p, capture_id=self.capture_id))
+                continue
+            for s in range(PCAP_GLOBAL_HEADER_LEN, size, self.split):
+                parts.append(CapturePartition(p, capture_id=self.capture_id, start=s, end=min(s + self.split, size)))
+        return parts
 
     def read(self, partition: CapturePartition):
-        yield from _read_file(partition.path, self.headers_only)
+        if partition.start is not None:
+            yield from _read_range(partition.path, partition.start, partition.end, partition.capture_id)
+        else:
+            yield from _read_file(partition.path, self.headers_only, None, partition.capture_id)
 
 
 class PcapStreamReader(DataSourceStreamReader):
@@ -295,10 +403,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
-def read_captures(spark: SparkSession, path: str):
-    """``raw_packets`` of every capture file under ``path`` (A1)."""
+def read_captures(spark: SparkSession, path: str, split_size: int | None = None):
+    """``raw_packets`` of every capture file under ``path`` (A1).
+
+    ``split_size`` (bytes) reads files larger than it as parallel byte ranges
+    (see :class:`PcapReader`)."""
     register(spark)
-    return spark.read.format("pcap").load(path)
+    r = spark.read.format("pcap")
+    if split_size:
+        r = r.option("splitSize", str(split_size))
+    return r.load(path)
 
 
 def read_capture_headers(spark: SparkSession, path: str):
