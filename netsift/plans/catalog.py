@@ -356,32 +356,61 @@ def flow_sessions(spark, sf_dir):
 
 # --- rules tables ------------------------------------------------------------------
 
-def _rules(spark):
-    return rules_from_text(spark, FIXTURE_RULES_TEXT)
+def data_rules_values(spark, sf_dir) -> DataFrame:
+    """Rule values derived from the data, plus the fixture rules: every page
+    host (exact), a wildcard for every third page's host, the address of every
+    ninth user, and ports 1000-1039 from event ids."""
+    from netsift.plans.fixture import URL_HOST_RX, synthetic_packets
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.regexp_extract("url", URL_HOST_RX, 1)
+    exact = pages.select(F.lit("DOMAIN").alias("rule_type"), host.alias("value")).where(F.col("value") != "")
+    wild = (pages.where(F.col("page_id") % 3 == 0)
+            .select(F.lit("DOMAIN").alias("rule_type"), F.concat(F.lit("*."), host).alias("value"))
+            .where(F.col("value") != "*."))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pk = synthetic_packets(spark, sf_dir)
+    ips = (pk.join(ev.where(F.col("user_id") % 9 == 0).select(F.col("event_id").alias("packet_no")), "packet_no",
+                   "left_semi").select(F.lit("IP").alias("rule_type"), F.col("src_ip").alias("value")))
+    ports = ev.select(F.lit("PORT").alias("rule_type"), (F.col("event_id") % 40 + 1000).cast("string").alias("value"))
+    fixed = rules_from_text(spark, FIXTURE_RULES_TEXT).select("rule_type", "value")
+    return fixed.unionByName(exact).unionByName(wild).unionByName(ips).unionByName(ports).distinct()
+
+
+def data_rules(spark, sf_dir) -> DataFrame:
+    """The data-derived rules written as a rules file (A5) and scanned back (A3)."""
+    values = data_rules_values(spark, sf_dir).withColumn("is_pattern", F.col("value").contains("*"))
+    path = scratch_path(spark, "data-rules")
+    save_rules(values, path)
+    return load_rules(spark, path)
 
 
 def rule_counts(spark, sf_dir):
-    return R.rule_counts(_rules(spark))
+    return R.rule_counts(data_rules(spark, sf_dir))
 
 
 def rules_add(spark, sf_dir):
     new = spark.createDataFrame([("IP", "10.0.0.9"), ("DOMAIN", "*.example.net"), ("DOMAIN", "www.youtube.com")],
                                 "rule_type string, value string")
-    return R.add_rules(_rules(spark), new)
+    return R.add_rules(data_rules(spark, sf_dir), new)
 
 
 def rules_remove(spark, sf_dir):
-    gone = spark.createDataFrame([("DOMAIN", "www.facebook.com")], "rule_type string, value string")
-    return R.remove_rules(_rules(spark), gone)
+    """Remove the fixture's facebook rule and the exact rule of every fifth page host."""
+    from netsift.plans.fixture import URL_HOST_RX
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("page_id") % 5 == 0)
+    gone = pages.select(F.lit("DOMAIN").alias("rule_type"), F.regexp_extract("url", URL_HOST_RX, 1).alias("value"))
+    gone = gone.unionByName(spark.createDataFrame([("DOMAIN", "www.facebook.com")], "rule_type string, value string"))
+    return R.remove_rules(data_rules(spark, sf_dir), gone)
 
 
 def rules_list(spark, sf_dir):
-    return R.list_rules(_rules(spark), "DOMAIN")
+    return R.list_rules(data_rules(spark, sf_dir), "DOMAIN")
 
 
 def rules_roundtrip(spark, sf_dir):
+    """Data-derived rules saved and loaded a second time: the same table."""
     path = scratch_path(spark, "rules")
-    save_rules(_rules(spark), path)
+    save_rules(data_rules(spark, sf_dir), path)
     return load_rules(spark, path)
 
 

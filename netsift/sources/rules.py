@@ -78,27 +78,26 @@ def rule_rejects(parsed: DataFrame) -> DataFrame:
 
 
 def rules_text(rules: DataFrame) -> DataFrame:
-    """One row per section, in file order, holding that section's text (A5).
+    """One row per line of the rules file, with its position (A5).
 
-    Values are sorted within a section; each section after the first starts
-    with a blank line, as the rules file format expects.
+    Sections come in file order, each after the first preceded by a blank
+    line; values are sorted within a section (ports numerically). Lines stay
+    separate rows, so no section is ever gathered into one value.
     """
+    spark = rules.sparkSession
     order = F.create_map(*[x for i, (_, kind) in enumerate(RULE_SECTIONS) for x in (F.lit(kind), F.lit(i))])
-    header = F.create_map(*[x for h, kind in RULE_SECTIONS for x in (F.lit(kind), F.lit(h))])
-    kinds = rules.sparkSession.createDataFrame([(k,) for _, k in RULE_SECTIONS], "rule_type string")
-    # Ports sort numerically, other values as text.
-    key = F.struct(F.when(F.col("rule_type") == "PORT", F.col("value").try_cast("bigint")).alias("n"),
-                   F.col("value").alias("v"))
-    grouped = (kinds.join(rules, "rule_type", "left")
-               .groupBy("rule_type")
-               .agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), key))).alias("vals")))
-    body = F.concat_ws("\n", F.concat(F.array(header[F.col("rule_type")]), F.transform("vals", lambda x: x["v"])))
-    no = order[F.col("rule_type")]
-    return grouped.select(no.alias("section_no"),
-                          F.when(no > 0, F.concat(F.lit("\n"), body)).otherwise(body).alias("value"))
+    heads = spark.createDataFrame(
+        [(i, 0, None, None, ("" if i == 0 else "\n") + h) for i, (h, _) in enumerate(RULE_SECTIONS)],
+        "section_no int, part int, n bigint, v string, value string")
+    lines = rules.select(
+        order[F.col("rule_type")].alias("section_no"), F.lit(1).alias("part"),
+        F.when(F.col("rule_type") == "PORT", F.col("value").try_cast("bigint")).alias("n"),
+        F.col("value").alias("v"), F.col("value").alias("value"))
+    return heads.unionByName(lines)
 
 
 def save_rules(rules: DataFrame, path: str) -> None:
-    """Write a re-loadable rules file (one text file, sections in order)."""
-    (rules_text(rules).coalesce(1).sortWithinPartitions("section_no")
+    """Write a re-loadable rules file: lines globally sorted, then streamed by
+    a single writer into one file."""
+    (rules_text(rules).orderBy("section_no", "part", "n", "v").coalesce(1)
      .select("value").write.mode("overwrite").text(path))

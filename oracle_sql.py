@@ -324,12 +324,22 @@ def oracle() -> dict[str, str]:
         "AND CURRENT ROW) AS sid FROM g) "
         f"SELECT {K5}, min(ts_us) AS first_seen_us, max(ts_us) + 300000000 AS session_end_us, count(*) AS packets, "
         f"CAST(sum(frame_length) AS BIGINT) AS bytes FROM s GROUP BY {K5}, sid")
-    q["rule_counts"] = ("SELECT * FROM (VALUES ('IP', 1), ('APP', 1), ('DOMAIN', 3), ('PORT', 0)) "
-                        "AS t(rule_type, rule_count)")
-    q["rule_counts"] = f"SELECT rule_type, CAST(rule_count AS BIGINT) AS rule_count FROM ({q['rule_counts']})"
-    q["rules_add"] = _rules_values(FIXTURE_RULE_ROWS + [("IP", "10.0.0.9", False), ("DOMAIN", "*.example.net", True)])
-    q["rules_remove"] = _rules_values([r for r in FIXTURE_RULE_ROWS if r[1] != "www.facebook.com"])
-    q["rules_list"] = ("SELECT value, is_pattern FROM (" + _rules_values(FIXTURE_RULE_ROWS)
-                       + ") WHERE rule_type = 'DOMAIN'")
-    q["rules_roundtrip"] = _rules_values(FIXTURE_RULE_ROWS)
+    dr = with_packets(
+        ", ev AS (SELECT * FROM events), pg AS (SELECT page_id, regexp_extract(url, '" + URL_HOST_RX + "', 1) AS h "
+        "FROM pages), dr0 AS (" + _rules_values(FIXTURE_RULE_ROWS) + " UNION "
+        "SELECT 'DOMAIN', h, FALSE FROM pg WHERE h <> '' UNION "
+        "SELECT 'DOMAIN', '*.' || h, TRUE FROM pg WHERE page_id % 3 = 0 AND h <> '' UNION "
+        "SELECT 'IP', pk.src_ip, FALSE FROM pk JOIN ev ON ev.event_id = pk.packet_no WHERE ev.user_id % 9 = 0 UNION "
+        "SELECT 'PORT', CAST(event_id % 40 + 1000 AS VARCHAR), FALSE FROM ev) "
+        "SELECT rule_type, value, is_pattern FROM dr0")
+    q["rule_counts"] = (f"WITH d AS ({dr}), k AS (SELECT * FROM (VALUES ('IP'), ('APP'), ('DOMAIN'), ('PORT')) "
+                        "AS t(rule_type)) SELECT k.rule_type, CAST(count(d.value) AS BIGINT) AS rule_count "
+                        "FROM k LEFT JOIN d USING (rule_type) GROUP BY k.rule_type")
+    q["rules_add"] = (f"SELECT * FROM ({dr}) UNION SELECT * FROM (VALUES ('IP', '10.0.0.9', FALSE), "
+                      "('DOMAIN', '*.example.net', TRUE), ('DOMAIN', 'www.youtube.com', FALSE)) AS t(rule_type, value, is_pattern)")
+    q["rules_remove"] = (f"SELECT * FROM ({dr}) d WHERE NOT (d.rule_type = 'DOMAIN' AND (d.value = 'www.facebook.com' "
+                         "OR d.value IN (SELECT regexp_extract(url, '" + URL_HOST_RX + "', 1) FROM pages "
+                         "WHERE page_id % 5 = 0)))")
+    q["rules_list"] = f"SELECT value, is_pattern FROM ({dr}) WHERE rule_type = 'DOMAIN'"
+    q["rules_roundtrip"] = dr
     return q
