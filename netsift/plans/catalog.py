@@ -17,7 +17,7 @@ from netsift.operators.candidates import with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.plans.fixture import CAPTURE_ID, FIXTURE_RULES_TEXT, fixture_frames
 from netsift.plans.inspect import Inspection
-from netsift.sources.pcap import read_capture_headers, read_captures, write_captures
+from netsift.sources.pcap import read_capture_headers, read_captures, write_captures, write_forwarded
 from netsift.sources.rules import load_rules, rules_from_text, save_rules
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
@@ -281,7 +281,8 @@ def forwarded_packets(spark, sf_dir):
 def _forwarded_capture(spark, sf_dir) -> str:
     """Write the forwarded packets as capture files; returns the folder."""
     path = scratch_path(spark, "forwarded")
-    write_captures(inspection(spark, sf_dir).forwarded(), path)
+    ins = inspection(spark, sf_dir)
+    write_forwarded(ins.raw, ins.verdicts, path)
     return path
 
 
@@ -302,7 +303,9 @@ def _capture_stream(spark, sf_dir):
     """The fixture capture as rotated capture files, read as a stream."""
     from netsift.sources.pcap import register
     path = scratch_path(spark, "stream-in")
-    write_captures(fixture_frames(spark, sf_dir), path)
+    frames = fixture_frames(spark, sf_dir)
+    # About six rotated files, so the stream runs several micro-batches.
+    write_captures(frames, path, chunk_packets=max(1, frames.count() // 6 + 1))
     register(spark)
     return (spark.readStream.format("pcap").option("captureId", CAPTURE_ID)
             .option("maxFilesPerTrigger", "3").load(path))
@@ -314,8 +317,9 @@ def stream_verdicts(spark, sf_dir):
     v = verdict_stream(_capture_stream(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT))
     out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     q = (v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+         .outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
     return spark.read.parquet(out).select("ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause",
                                           "reason_type", "reason_detail")
 
@@ -324,7 +328,9 @@ def stream_totals(spark, sf_dir):
     """Packet totals accumulated over micro-batches."""
     from netsift.streaming.stateful import running_totals, stream_totals as totals_stream
     out, ck = scratch_path(spark, "totals-out"), scratch_path(spark, "totals-ck")
-    totals_stream(_capture_stream(spark, sf_dir), out, ck).awaitTermination()
+    q = totals_stream(_capture_stream(spark, sf_dir), out, ck, trigger_available_now=False)
+    q.processAllAvailable()
+    q.stop()
     return running_totals(spark, out)
 
 

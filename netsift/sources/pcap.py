@@ -296,14 +296,18 @@ class PcapStreamReader(DataSourceStreamReader):
         self.path = options["path"]
         self.max_files = int(options.get("maxFilesPerTrigger", "0")) or None
         self.capture_id = options.get("captureId")
+        self._planned = 0
 
     def initialOffset(self) -> dict:
         return {"files": 0}
 
-    def latestOffset(self, start: dict | None = None, limit=None) -> dict:
+    def latestOffset(self) -> dict:
+        """Files available now; with ``maxFilesPerTrigger`` each planning
+        advances by at most that many files past the last planned offset."""
         n = len(list_captures(self.path))
-        if self.max_files and start is not None:
-            n = min(n, start["files"] + self.max_files)
+        if self.max_files:
+            self._planned = min(n, self._planned + self.max_files)
+            return {"files": self._planned}
         return {"files": n}
 
     def partitions(self, start: dict, end: dict):
@@ -314,7 +318,7 @@ class PcapStreamReader(DataSourceStreamReader):
         yield from _read_file(partition.path, False, partition.index, partition.capture_id)
 
     def commit(self, end: dict) -> None:
-        pass
+        self._planned = max(self._planned, end["files"])
 
 
 @dataclass
@@ -338,13 +342,18 @@ class PcapWriter(DataSourceWriter):
         try:
             for r in rows:
                 cap = r["capture_id"]
-                if cap != current:
+                chunk = getattr(r, "chunk", None)
+                if (cap, chunk) != current:
                     if out is not None:
                         out.close()
-                    current = cap
+                    current = (cap, chunk)
                     name = _safe_name(cap)
-                    tmp = f"{base}/_temporary/{attempt}-{part:05d}-{name}.pcap"
-                    final = f"{base}/{name}-part-{part:05d}.pcap"
+                    if chunk is None:
+                        label = f"part-{part:05d}"
+                    else:
+                        label = f"chunk-{chunk:010d}"
+                    tmp = f"{base}/_temporary/{attempt}-{part:05d}-{name}-{label}.pcap"
+                    final = f"{base}/{name}-{label}.pcap"
                     out = filesystem.open_output_stream(tmp)
                     out.write(struct.pack("<IHHiIII", PCAP_MAGIC, 2, 4, 0, 0, OUT_SNAPLEN, OUT_LINKTYPE))
                     moves.append((tmp, final))
@@ -421,16 +430,49 @@ def read_capture_headers(spark: SparkSession, path: str):
     return spark.read.format("pcap").option("mode", "headers").load(path)
 
 
-def write_captures(frames, path: str, partitions: int | None = None) -> None:
+# Packet numbers per output chunk file of the capture sink.
+CHUNK_PACKETS = 1 << 20
+
+
+def chunk_of(packet_no, chunk_packets: int = CHUNK_PACKETS) -> "Column":
+    from pyspark.sql import functions as F
+    return F.floor(packet_no / chunk_packets).cast("bigint")
+
+
+def write_captures(frames, path: str, partitions: int | None = None, partitioned: bool = False,
+                   chunk_packets: int = CHUNK_PACKETS) -> None:
     """Write ``(capture_id, packet_no, ts_sec, ts_usec, data)`` rows as capture files (A4).
 
-    Rows are range-partitioned on ``(capture_id, packet_no)`` and sorted
-    within partitions: every task writes ordered chunk files (like rotated
-    capture files), and a capture holding most of the data is split over
-    many tasks instead of landing in one.
+    Rows are grouped into chunks of CHUNK_PACKETS packet numbers, hash
+    partitioned on ``(capture_id, chunk)`` and sorted; each (capture, chunk)
+    becomes one file named ``<capture>-chunk-<n>.pcap``, so the files of a
+    capture sort in capture order and a capture holding most of the data is
+    spread over many tasks. ``partitioned=True``: ``frames`` already carries
+    ``chunk`` and that partitioning (see :func:`write_forwarded`).
     """
+    from pyspark.sql import functions as F
     register(frames.sparkSession)
     n = partitions or frames.sparkSession.sparkContext.defaultParallelism
-    (frames.select("capture_id", "packet_no", "ts_sec", "ts_usec", "data")
-     .repartitionByRange(n, "capture_id", "packet_no").sortWithinPartitions("capture_id", "packet_no")
+    if not partitioned:
+        frames = (frames.withColumn("chunk", chunk_of(F.col("packet_no"), chunk_packets))
+                  .repartition(n, "capture_id", "chunk"))
+    (frames.select("capture_id", "chunk", "packet_no", "ts_sec", "ts_usec", "data")
+     .sortWithinPartitions("capture_id", "chunk", "packet_no")
      .write.format("pcap").mode("overwrite").save(path))
+
+
+def write_forwarded(raw, verdicts, path: str, partitions: int | None = None) -> None:
+    """Forwarded capture (A4) with one shuffle of frame bytes.
+
+    Frames and FORWARD verdict keys are both hash partitioned on
+    ``(capture_id, chunk)``; the semi-join on ``(capture_id, chunk,
+    packet_no)`` is then satisfied by that partitioning, and the writer
+    consumes it directly.
+    """
+    from pyspark.sql import functions as F
+    n = partitions or raw.sparkSession.sparkContext.defaultParallelism
+    keys = (verdicts.where(F.col("action") == "FORWARD").select("capture_id", "packet_no")
+            .withColumn("chunk", chunk_of(F.col("packet_no"))).repartition(n, "capture_id", "chunk"))
+    frames = raw.withColumn("chunk", chunk_of(F.col("packet_no"))).repartition(n, "capture_id", "chunk")
+    fwd = frames.join(keys, ["capture_id", "chunk", "packet_no"], "left_semi")
+    write_captures(fwd, path, n, partitioned=True)
