@@ -461,6 +461,24 @@ def write_captures(frames, path: str, partitions: int | None = None, partitioned
      .write.format("pcap").mode("overwrite").save(path))
 
 
+def _chunk_packets_for(raw, parallelism: int) -> int:
+    """Packets per output chunk: about two chunks per core for small inputs,
+    at most CHUNK_PACKETS (files of ~100 MB) for large ones. The input size
+    comes from file metadata (no job); ~100 bytes per stored packet."""
+    spark = raw.sparkSession
+    total = 0
+    try:
+        conf = spark._jsc.hadoopConfiguration()
+        for f in raw.inputFiles():
+            pth = spark._jvm.org.apache.hadoop.fs.Path(f)
+            total += pth.getFileSystem(conf).getFileStatus(pth).getLen()
+    except Exception:  # sources without file listings
+        return CHUNK_PACKETS
+    if total == 0:
+        return CHUNK_PACKETS
+    return int(max(1024, min(CHUNK_PACKETS, total // 100 // (2 * parallelism))))
+
+
 def write_forwarded(raw, verdicts, path: str, partitions: int | None = None) -> None:
     """Forwarded capture (A4) with one shuffle of frame bytes.
 
@@ -471,8 +489,9 @@ def write_forwarded(raw, verdicts, path: str, partitions: int | None = None) ->
     """
     from pyspark.sql import functions as F
     n = partitions or raw.sparkSession.sparkContext.defaultParallelism
+    size = _chunk_packets_for(raw, n)
     keys = (verdicts.where(F.col("action") == "FORWARD").select("capture_id", "packet_no")
-            .withColumn("chunk", chunk_of(F.col("packet_no"))).repartition(n, "capture_id", "chunk"))
-    frames = raw.withColumn("chunk", chunk_of(F.col("packet_no"))).repartition(n, "capture_id", "chunk")
+            .withColumn("chunk", chunk_of(F.col("packet_no"), size)).repartition(n, "capture_id", "chunk"))
+    frames = raw.withColumn("chunk", chunk_of(F.col("packet_no"), size)).repartition(n, "capture_id", "chunk")
     fwd = frames.join(keys, ["capture_id", "chunk", "packet_no"], "left_semi")
     write_captures(fwd, path, n, partitioned=True)
