@@ -8,12 +8,16 @@
 * ``option("mode", "headers")`` (A2): one ``captures`` row per file with the
   global header fields; a file with an unknown magic gets an ``error`` and
   yields no packets.
-* Write (A4): rows ``(capture_id, packet_no, ts_sec, ts_usec, data)``, sorted
-  within partitions, become one little-endian capture file per capture and
-  partition. Each task writes temporary files; the driver's commit renames
-  them, so a lost or retried task never leaves a partial file behind.
+* Write (A4): rows ``(capture_id, packet_no, ts_sec, ts_usec, data)`` are
+  grouped into chunks of packet numbers; each (capture, chunk) becomes one
+  little-endian capture file, ``<capture>-chunk-<n>.pcap``, in capture order.
+  Each task writes temporary files; the driver's commit renames them, so a
+  lost or retried task never leaves a partial file behind.
+* Option ``splitSize`` (batch read): huge files are read as parallel byte
+  ranges, resynchronised on a chain of record headers.
 * Streaming read (A8): a directory receiving rotated capture files; each
-  micro-batch takes the files that appeared since the last offset.
+  micro-batch takes the files that appeared since the last offset, at most
+  ``maxFilesPerTrigger`` of them.
 
 Files are opened through ``pyarrow.fs``, so local paths and cluster file
 systems (HDFS, S3, GCS) work alike.
