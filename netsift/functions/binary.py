@@ -52,9 +52,9 @@ def mac_text(data: Column, offset: ColOrInt) -> Column:
 
 
 def ipv4_text(data: Column, offset: ColOrInt) -> Column:
-    """Four bytes as dotted decimal."""
-    off = _c(offset)
-    return F.concat_ws(".", *[u8(data, off + i).cast("string") for i in range(4)])
+    """Four bytes as dotted decimal (S2): one 32-bit read, octets by shifts."""
+    v = u32(data, offset)
+    return F.concat_ws(".", *[F.shiftright(v, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)])
 
 
 def hex_u8(x: Column) -> Column:
