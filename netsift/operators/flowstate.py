@@ -382,3 +382,15 @@ def visit_flows(flows: DataFrame, fn) -> None:
     be serialisable and should write its effects to an external sink.
     """
     flows.foreach(fn)
+
+
+def heavy_flows(packets: DataFrame, min_packets: int, key: list[str] | None = None) -> DataFrame:
+    """Flows with more than ``min_packets`` packets.
+
+    Reads only the key columns of the packets (the decode is pruned to them)
+    and aggregates partially before its shuffle, so the exchange carries one
+    row per flow and task.
+    """
+    key = list(key or FLOW_KEY)
+    counts = packets.groupBy(*key).agg(F.count(F.lit(1)).alias("packets"))
+    return counts.where(F.col("packets") > min_packets)

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from netsift.operators import reports
 from netsift.operators.candidates import check_candidates, with_candidates
 from netsift.operators.decode import admit, decode
-from netsift.operators.flowstate import final_flows, packet_verdicts, with_idle_instances
+from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_idle_instances
 from netsift.operators.rules import RuleTables, mark_ip_port, rule_tables
 from netsift.schema import FLOW_KEY
 
+# Packet numbers per chunk when the adaptive switch picks the hot-flow plan.
+DEFAULT_HOT_CHUNK = 1 << 20
+
 # Columns that cross the flow exchange.
 _NARROW = ("packet_no", "ts", "ts_us", "frame_length", "payload_length", "tcp_flags", "has_tcp", "has_udp",
            "cand_app", "cand_sni", "cand_route", "cand_blk", "cand_reason", "ip_hit", "port_hit")
@@ -36,6 +39,10 @@ class Inspection:
     idle_timeout_s: int | None = None
     # Split flows into chunks of this many packet numbers (hot-flow plan).
     hot_flow_chunk: int | None = None
+    # Adaptive switch: count packets per flow first and use the hot-flow plan
+    # (chunks of ``hot_flow_chunk`` or DEFAULT_HOT_CHUNK packet numbers) only
+    # when some flow has more than this many packets.
+    hot_flow_threshold: int | None = None
 
     @cached_property
     def tables(self) -> RuleTables:
@@ -60,9 +67,19 @@ class Inspection:
             df = with_idle_instances(df, self.idle_timeout_s)
         return df
 
+    @cached_property
+    def chunk_size(self) -> int | None:
+        """Chunk size of the verdict plan (None = single-sort plan)."""
+        if self.hot_flow_threshold is None:
+            return self.hot_flow_chunk
+        heavy = heavy_flows(self.packets, self.hot_flow_threshold, self.key[:len(FLOW_KEY)])
+        if heavy.limit(1).count() == 0:
+            return None
+        return self.hot_flow_chunk or DEFAULT_HOT_CHUNK
+
     @cached_property
     def verdicts(self) -> DataFrame:
-        return packet_verdicts(self.labelled, self.tables.unknown_blocked, self.key, self.hot_flow_chunk)
+        return packet_verdicts(self.labelled, self.tables.unknown_blocked, self.key, self.chunk_size)
 
     @cached_property
     def flows(self) -> DataFrame:

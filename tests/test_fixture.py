@@ -55,3 +55,18 @@ def test_streaming_equals_batch_sf0001(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
     t = catalog.stream_totals(spark, SF001).collect()[0]
     assert (t["total_packets"], t["total_bytes"]) == (1000, 91712)
+
+
+
+def test_adaptive_hot_flow_switch(spark):
+    """A threshold below the largest flow picks the chunked plan; results stay the same."""
+    from netsift.plans.fixture import FIXTURE_RULES_TEXT, fixture_frames
+    from netsift.plans.inspect import Inspection
+    from netsift.sources.rules import rules_from_text
+    raw, rules = fixture_frames(spark, SF001), rules_from_text(spark, FIXTURE_RULES_TEXT)
+    cold = Inspection(raw, rules, hot_flow_threshold=10_000)
+    hot = Inspection(raw, rules, hot_flow_threshold=5, hot_flow_chunk=97)
+    assert cold.chunk_size is None and hot.chunk_size == 97
+    cols = ["packet_no", "state", "action", "app_type", "sni", "drop_cause", "flow_packets"]
+    assert sorted(map(tuple, hot.verdicts.select(*cols).collect())) == \
+        sorted(map(tuple, cold.verdicts.select(*cols).collect()))
