@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netsift.llm import decontaminate
+from netsift.llm import decontaminate, jaccard
 from netsift.llm.common import table
 
 
@@ -10,8 +10,12 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate,
+    "op1_decontaminate": op1_decontaminate, "op3_jaccard_join": op3_jaccard_join,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
