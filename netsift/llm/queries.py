@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netsift.llm import decontaminate, jaccard
+from netsift.llm import decontaminate, jaccard, langid
 from netsift.llm.common import table
 
 
@@ -14,8 +14,13 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op3_jaccard_join": op3_jaccard_join,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
