@@ -31,7 +31,7 @@ MIN_SHARE, AGAINST_BEST = 2e-5, 0.05
 SLOTS_PER_GRAM, PROBES = 16, 4
 UND = "und"
 #: A document below this score is in none of the learned languages.
-REJECT_BELOW = 0.3
+REJECT_BELOW = 0.2
 TEXT_STEP = 1 << 18  # characters handled at once
 
 _letters: np.ndarray | None = None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from netsift.llm import decontaminate, jaccard, langid
+import public_tokenizers
+
+from netsift.llm import decontaminate, jaccard, langid, token_counts
 from netsift.llm.common import table
 
 
@@ -18,9 +20,13 @@ def op9_language_id(spark, sf_dir):
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark, sf_dir):
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op3_jaccard_join": op3_jaccard_join,
-    "op9_language_id": op9_language_id,
+    "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
