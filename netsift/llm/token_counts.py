@@ -23,7 +23,7 @@ from netsift.llm.pretokens import Cache, Pretokens, steps
 
 FREQUENT, PER_TASK = 1 << 16, 1 << 14
 LIMIT = 2048
-_CACHES: dict[tuple[str, int], Cache] = {}
+_CACHES: dict[str, Cache] = {}  # per worker process
 
 
 def frequent_pretokens(docs: DataFrame, path: str) -> list[str]:
@@ -46,11 +46,11 @@ def count_tokens(docs: DataFrame, path: str, key: str, limit: int = LIMIT) -> Da
     sc = docs.sparkSession.sparkContext
     words = frequent_pretokens(docs, path) if Pretokens.load(path).pattern is not None else []
     table = dict(zip(words, map(len, Pretokens.load(path).encode(words))))
-    held, no = sc.broadcast(table), id(docs)
+    held = sc.broadcast(table)
 
     def run(batches):
         pre, first = Pretokens.load(path), held.value
-        second = _CACHES.setdefault((path, no), Cache())
+        second = _CACHES.setdefault(path, Cache())
         for batch in batches:
             n_bytes, n_tokens = [], []
             for _, texts in steps(batch.column("text").to_pylist()):
