@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsift.llm import decontaminate, jaccard, langid, token_counts, token_files
+from netsift.llm import decontaminate, jaccard, langid, mixing, token_counts, token_files
 from netsift.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     return token_files.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,8 +34,8 @@ def op10_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op3_jaccard_join": op3_jaccard_join,
-    "op7_token_files": op7_token_files, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
+    "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}
