@@ -241,7 +241,7 @@ def report(docs: DataFrame) -> DataFrame:
     docs, rid = with_row_id(docs.select("doc_id", "text"))
     docs = docs.select("doc_id", "text", F.col(rid).alias("rid"))
     got = stored(similarity_groups(docs), "groups").join(docs.select("rid", "doc_id"), "rid")
-    names = got.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    names = stored(got.groupBy("label").agg(F.min("doc_id").alias("class_id")), "names")  # else a hot label can't be split
     return got.join(names, "label").select("doc_id", "class_id", F.col("links").alias("n_links"))
 
 
@@ -251,7 +251,7 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     docs, rid = with_row_id(docs)
     ids = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
     got = stored(similarity_groups(ids), "groups").join(ids.select("rid", "doc_id"), "rid")
-    first = got.groupBy("label").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("keep"))
+    first = stored(got.groupBy("label").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("keep")), "first")
     gone = stored(got.join(first, "label").where(F.col("rid") != F.col("keep"))
                   .select(F.col("rid").alias(rid)), "copies")
     return docs.join(gone, rid, "left_anti").drop(rid)
