@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsift.llm import decontaminate, jaccard, langid, mixing, token_counts, token_files
+from netsift.llm import decontaminate, jaccard, langid, mixing, pii, token_counts, token_files, warc
 from netsift.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op7_token_files(spark, sf_dir):
     return token_files.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,9 @@ def op10_token_counts(spark, sf_dir):
 
 
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate, "op3_jaccard_join": op3_jaccard_join,
-    "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
+    "op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op8_pii": op8_pii, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
