@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsift.llm import decontaminate, jaccard, langid, mixing, neighbours, pii, token_counts, token_files, warc
+from netsift.llm import decontaminate, jaccard, langid, mixing, neighbours, pii, repeats, token_counts, token_files, warc
 from netsift.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark, sf_dir):
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc,
     "op3_jaccard_join": op3_jaccard_join,
-    "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op8_pii": op8_pii, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
+    "op4_repeats": op4_repeats, "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op8_pii": op8_pii, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
