@@ -10,14 +10,17 @@
   yields no packets.
 * Write (A4): rows ``(capture_id, packet_no, ts_sec, ts_usec, data)`` are
   grouped into chunks of packet numbers; each (capture, chunk) becomes one
-  little-endian capture file, ``<capture>-chunk-<n>.pcap``, in capture order.
-  Each task writes temporary files; the driver's commit renames them, so a
-  lost or retried task never leaves a partial file behind.
-* Option ``splitSize`` (batch read): huge files are read as parallel byte
-  ranges, resynchronised on a chain of record headers.
-* Streaming read (A8): a directory receiving rotated capture files; each
-  micro-batch takes the files that appeared since the last offset, at most
-  ``maxFilesPerTrigger`` of them.
+  little-endian capture file, ``<capture>-<hash>-chunk-<n>-<job>.pcap``, in
+  capture order (the hash is of the whole capture id, so captures that share a
+  base name never meet in a file). Each task writes temporary files; the
+  driver's commit renames them, so a lost or retried task never leaves a partial
+  file behind. Overwriting removes what was there at commit; appending adds
+  files of its own.
+* :func:`read_captures` with ``split_size``: huge files are read as parallel
+  ranges of records. An index pass walks the record headers (seeking over the
+  bodies) and gives each range its exact start and first record number.
+* :func:`stream_captures` (A8): a folder receiving rotated capture files, found
+  by Spark's own file source, whose log of seen files is in the checkpoint.
 
 Files are opened through ``pyarrow.fs``, so local paths and cluster file
 systems (HDFS, S3, GCS) work alike.
@@ -25,17 +28,17 @@ systems (HDFS, S3, GCS) work alike.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import sys
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from netsift.schema import (
     CAPTURES, PCAP_GLOBAL_HEADER_LEN, PCAP_MAGIC, PCAP_MAGIC_SWAPPED, PCAP_MAX_RECORD_LEN,
@@ -44,7 +47,7 @@ from netsift.schema import (
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_ROWS = 4096
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 OUT_SNAPLEN, OUT_LINKTYPE = 65535, 1
 
 
@@ -56,20 +59,29 @@ def _fs_path(path: str):
 
 
 def list_captures(path: str) -> list[str]:
-    """Capture files under ``path`` (a file, a folder, or a comma list), sorted."""
+    """Capture files under ``path`` (a file, a folder, or a comma list), sorted.
+
+    A name that exists as it stands is one path, commas included. A path that
+    doesn't exist raises ``FileNotFoundError``; an empty folder has no files."""
     from pyarrow import fs as pafs
+
+    def info_of(one):
+        filesystem, p = _fs_path(one)
+        return filesystem, p, filesystem.get_file_info(p)
+
+    whole = info_of(path)[2].type != pafs.FileType.NotFound
     out: list[str] = []
-    for one in path.split(","):
-        filesystem, p = _fs_path(one.strip())
-        info = filesystem.get_file_info(p)
-        if info.type == pafs.FileType.Directory:
-            sel = pafs.FileSelector(p, recursive=True)
-            for f in filesystem.get_file_info(sel):
-                name = f.base_name
-                if f.type == pafs.FileType.File and not name.startswith(("_", ".")):
-                    out.append(f.path if "://" not in one else one.rstrip("/") + f.path[len(p.rstrip("/")):])
-        elif info.type == pafs.FileType.File:
-            out.append(one.strip())
+    for one in [path] if whole else [x.strip() for x in path.split(",")]:
+        filesystem, p, info = info_of(one)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"no capture file or folder: {one}")
+        if info.type == pafs.FileType.File:
+            out.append(one)
+            continue
+        for f in filesystem.get_file_info(pafs.FileSelector(p, recursive=True)):
+            inside = f.path[len(p.rstrip("/")):].lstrip("/").split("/")
+            if f.type == pafs.FileType.File and not any(x.startswith(("_", ".")) for x in inside):
+                out.append(f.path if "://" not in one else one.rstrip("/") + f.path[len(p.rstrip("/")):])
     return sorted(out)
 
 
@@ -118,126 +130,80 @@ def iter_records(stream, header: Header):
 
 
 class CapturePartition(InputPartition):
-    def __init__(self, path: str, index: int | None = None, capture_id: str | None = None,
-                 start: int | None = None, end: int | None = None):
+    def __init__(self, path: str | None, capture_id: str | None = None):
         super().__init__(path)
-        self.path, self.index, self.capture_id = path, index, capture_id
-        self.start, self.end = start, end
-
-
-# Record headers that must chain, one after the other, before a byte position
-# inside a file is taken as a record boundary (split reads).
-SYNC_CHAIN = 16
-
+        self.path, self.capture_id = path, capture_id
 
-def _plausible(header: Header, buf: bytes, at: int, limit: int) -> int | None:
-    """Length of the record starting at ``at`` in ``buf`` if its header is sane."""
-    if at + PCAP_RECORD_HEADER_LEN > len(buf):
-        return None
-    ts_sec, ts_usec, incl, orig = struct.unpack_from(header.order + "IIII", buf, at)
-    if incl > limit or orig < incl or ts_usec >= 1_000_000:
-        return None
-    return PCAP_RECORD_HEADER_LEN + incl
-
-
-def find_sync(header: Header, buf: bytes, file_tail: bool) -> int | None:
-    """First offset in ``buf`` where SYNC_CHAIN record headers chain.
 
-    ``file_tail``: ``buf`` reaches the end of the file, so a chain may also end
-    exactly there.
-    """
-    limit = min(header.snaplen, PCAP_MAX_RECORD_LEN)
-    for o in range(0, max(len(buf) - PCAP_RECORD_HEADER_LEN, 0) + 1):
-        at, ok = o, 0
-        first_ts = None
-        while ok < SYNC_CHAIN:
-            if file_tail and at == len(buf):
-                break
-            n = _plausible(header, buf, at, limit)
-            if n is None:
-                break
-            ts = struct.unpack_from(header.order + "I", buf, at)[0]
-            if first_ts is None:
-                first_ts = ts
-            elif abs(ts - first_ts) > 86_400:
-                break
-            at, ok = at + n, ok + 1
-        if ok == SYNC_CHAIN or (file_tail and at == len(buf) and ok > 0):
-            return o
-    return None
-
-
-def _read_range(path: str, start: int, end: int, capture_id: str | None):
-    """Records that start in [start, end) of a split file; packet_no = byte offset."""
+def _index_file(path: str, split: int):
+    """(start offset, first record number, records) of consecutive ranges of
+    about ``split`` bytes, up to the first bad record. Only headers are read."""
     filesystem, p = _fs_path(path)
-    cap = capture_id or path
     with filesystem.open_input_file(p) as f:
         size = f.size()
-        header = parse_header(f.read_at(PCAP_GLOBAL_HEADER_LEN, 0))
+        header = parse_header(f.read(PCAP_GLOBAL_HEADER_LEN))
         if header is None:
             return
-        pos = start
-        if start > PCAP_GLOBAL_HEADER_LEN:
-            window = SYNC_CHAIN * (PCAP_RECORD_HEADER_LEN + PCAP_MAX_RECORD_LEN) + PCAP_MAX_RECORD_LEN
-            buf = f.read_at(min(window, size - start), start)
-            o = find_sync(header, buf, start + len(buf) >= size)
-            if o is None:
-                return
-            pos = start + o
-        f.seek(pos)
         rec = struct.Struct(header.order + "IIII")
         limit = min(header.snaplen, PCAP_MAX_RECORD_LEN)
-        cols: list[list] = [[] for _ in range(7)]
-        while pos < end:
+        pos = start = PCAP_GLOBAL_HEADER_LEN
+        no = first = 0
+        while True:
+            f.seek(pos)
             hb = f.read(PCAP_RECORD_HEADER_LEN)
-            if len(hb) < PCAP_RECORD_HEADER_LEN:
-                break
-            ts_sec, ts_usec, incl, orig = rec.unpack(hb)
-            if incl > limit:
-                break
-            data = f.read(incl)
-            if len(data) < incl:
+            incl = rec.unpack(hb)[2] if len(hb) == PCAP_RECORD_HEADER_LEN else limit + 1
+            end = pos + PCAP_RECORD_HEADER_LEN + incl
+            if incl > limit or end > size:
                 break
-            for c, v in zip(cols, (cap, pos, ts_sec, ts_usec, incl, orig, data)):
-                c.append(v)
-            pos += PCAP_RECORD_HEADER_LEN + incl
-            if len(cols[0]) >= BATCH_ROWS:
-                yield _batch(cols)
-                cols = [[] for _ in range(7)]
-        if cols[0]:
+            pos, no = end, no + 1
+            if pos - start >= split:
+                yield start, first, no - first
+                start, first = pos, no
+        if no > first:
+            yield start, first, no - first
+
+
+def _batches(rows):
+    """Arrow batches of ``raw_packets`` rows, bounded by rows and bytes."""
+    cols: list[list] = [[] for _ in range(7)]
+    held = 0
+    for row in rows:
+        for c, v in zip(cols, row):
+            c.append(v)
+        held += len(row[6])
+        if len(cols[0]) >= BATCH_ROWS or held >= BATCH_BYTES:
             yield _batch(cols)
+            cols, held = [[] for _ in range(7)], 0
+    if cols[0]:
+        yield _batch(cols)
 
 
-def _read_file(path: str, headers_only: bool, index: int | None = None, capture_id: str | None = None):
-    """Rows of one file. With ``index`` (streaming over rotated files) packet
-    numbers continue across files: ``index * 2**32 + record``."""
-    base = 0 if index is None else index << 32
-    cap = capture_id or path
+def _records(path: str, capture_id: str | None, base: int = 0, start: int | None = None, count: int | None = None):
+    """Rows of one file, or of the ``count`` records from byte ``start`` on."""
     filesystem, p = _fs_path(path)
-    with filesystem.open_input_stream(p) as stream:
-        hb = stream.read(PCAP_GLOBAL_HEADER_LEN)
-        header = parse_header(hb)
-        if headers_only:
-            if header is None:
-                magic = struct.unpack(">I", hb[:4])[0] if len(hb) >= 4 else None
-                yield (path, magic, None, None, None, None, None, None, None,
-                       "short file" if len(hb) < PCAP_GLOBAL_HEADER_LEN else "unknown magic")
-            else:
-                yield (path, header.magic, header.version_major, header.version_minor, header.thiszone,
-                       header.sigfigs, header.snaplen, header.link_type,
-                       "big" if header.order == ">" else "little", None)
-            return
+    with filesystem.open_input_file(p) as f:
+        header = parse_header(f.read(PCAP_GLOBAL_HEADER_LEN))
         if header is None:
             return
-        cols: list[list] = [[] for _ in range(7)]
-        for i, (ts_sec, ts_usec, incl, orig, data) in enumerate(iter_records(stream, header)):
-            for c, v in zip(cols, (cap, base + i, ts_sec, ts_usec, incl, orig, data)):
-                c.append(v)
-            if len(cols[0]) >= BATCH_ROWS:
-                yield _batch(cols)
-                cols = [[] for _ in range(7)]
-        if cols[0]:
-            yield _batch(cols)
+        if start is not None:
+            f.seek(start)
+        for i, (ts_sec, ts_usec, incl, orig, data) in enumerate(iter_records(f, header)):
+            if i == count:
+                return
+            yield capture_id or path, base + i, ts_sec, ts_usec, incl, orig, data
+
+
+def _header_row(path: str):
+    filesystem, p = _fs_path(path)
+    with filesystem.open_input_stream(p) as stream:
+        hb = stream.read(PCAP_GLOBAL_HEADER_LEN)
+    header = parse_header(hb)
+    if header is None:
+        magic = struct.unpack(">I", hb[:4])[0] if len(hb) >= 4 else None
+        return (path, magic, None, None, None, None, None, None, None,
+                "short file" if len(hb) < PCAP_GLOBAL_HEADER_LEN else "unknown magic")
+    return (path, header.magic, header.version_major, header.version_minor, header.thiszone, header.sigfigs,
+            header.snaplen, header.link_type, "big" if header.order == ">" else "little", None)
 
 
 _ARROW_RAW = pa.schema([
@@ -254,75 +220,24 @@ def _batch(cols) -> pa.RecordBatch:
 
 
 class PcapReader(DataSourceReader):
-    """Batch reader. Option ``splitSize`` (bytes, off by default): files larger
-    than it are read as byte ranges in parallel; a range after the first finds
-    its first record by a chain of SYNC_CHAIN plausible headers, and
-    ``packet_no`` is then the record's byte offset in the file (unique and in
-    capture order). Without it a file is one partition and ``packet_no`` is
-    the record index."""
+    """Batch reader: a partition for each file; ``packet_no`` is the record index."""
 
     def __init__(self, options: dict):
         self.path = options.get("path") or options.get("paths")
         self.headers_only = options.get("mode", "packets") == "headers"
-        self.split = int(options.get("splitSize", "0")) or None
         self.capture_id = options.get("captureId")
 
     def partitions(self):
-        parts = []
-        for p in list_captures(self.path):
-            size = None
-            if self.split and not self.headers_only:
-                filesystem, fp = _fs_path(p)
-                size = filesystem.get_file_info(fp).size
-            if size is None or size <= self.split:
-                parts.append(CapturePartition(p, capture_id=self.capture_id))
-                continue
-            for s in range(PCAP_GLOBAL_HEADER_LEN, size, self.split):
-                parts.append(CapturePartition(p, capture_id=self.capture_id, start=s, end=min(s + self.split, size)))
-        return parts
+        # Spark reads a source without partitions as one that isn't named: give it one without a file.
+        return [CapturePartition(p, self.capture_id) for p in list_captures(self.path)] or [CapturePartition(None)]
 
     def read(self, partition: CapturePartition):
-        if partition.start is not None:
-            yield from _read_range(partition.path, partition.start, partition.end, partition.capture_id)
+        if partition.path is None:
+            return
+        if self.headers_only:
+            yield _header_row(partition.path)
         else:
-            yield from _read_file(partition.path, self.headers_only, None, partition.capture_id)
-
-
-class PcapStreamReader(DataSourceStreamReader):
-    """Offsets are counts of files in sorted name order; rotated files are appended.
-
-    Option ``captureId`` names the logical capture the rotated files belong
-    to (default: each file is its own capture); packet numbers then continue
-    across files in name order.
-    """
-
-    def __init__(self, options: dict):
-        self.path = options["path"]
-        self.max_files = int(options.get("maxFilesPerTrigger", "0")) or None
-        self.capture_id = options.get("captureId")
-        self._planned = 0
-
-    def initialOffset(self) -> dict:
-        return {"files": 0}
-
-    def latestOffset(self) -> dict:
-        """Files available now; with ``maxFilesPerTrigger`` each planning
-        advances by at most that many files past the last planned offset."""
-        n = len(list_captures(self.path))
-        if self.max_files:
-            self._planned = min(n, self._planned + self.max_files)
-            return {"files": self._planned}
-        return {"files": n}
-
-    def partitions(self, start: dict, end: dict):
-        files = list_captures(self.path)[start["files"]:end["files"]]
-        return [CapturePartition(p, start["files"] + i, self.capture_id) for i, p in enumerate(files)]
-
-    def read(self, partition: CapturePartition):
-        yield from _read_file(partition.path, False, partition.index, partition.capture_id)
-
-    def commit(self, end: dict) -> None:
-        self._planned = max(self._planned, end["files"])
+            yield from _batches(_records(partition.path, partition.capture_id))
 
 
 @dataclass
@@ -334,14 +249,15 @@ class PcapWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.overwrite = overwrite
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, rows) -> WrittenFiles:
         from pyspark import TaskContext
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
         filesystem, base = _fs_path(self.path)
-        filesystem.create_dir(f"{base}/_temporary", recursive=True)
-        moves, out, current, final = [], None, None, None
+        filesystem.create_dir(f"{base}/_temporary-{self.job}", recursive=True)
+        moves, out, current = [], None, None
         rec = struct.Struct("<IIII")
         try:
             for r in rows:
@@ -351,16 +267,12 @@ class PcapWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     current = (cap, chunk)
-                    name = _safe_name(cap)
-                    if chunk is None:
-                        label = f"part-{part:05d}"
-                    else:
-                        label = f"chunk-{chunk:010d}"
-                    tmp = f"{base}/_temporary/{attempt}-{part:05d}-{name}-{label}.pcap"
-                    final = f"{base}/{name}-{label}.pcap"
+                    label = f"part-{part:05d}" if chunk is None else f"chunk-{chunk:010d}"
+                    name = f"{_safe_name(cap)}-{label}-{self.job}.pcap"
+                    tmp = f"{base}/_temporary-{self.job}/{attempt}-{part:05d}-{name}"
                     out = filesystem.open_output_stream(tmp)
                     out.write(struct.pack("<IHHiIII", PCAP_MAGIC, 2, 4, 0, 0, OUT_SNAPLEN, OUT_LINKTYPE))
-                    moves.append((tmp, final))
+                    moves.append((tmp, f"{base}/{name}"))
                 data = bytes(r["data"])
                 out.write(rec.pack(int(r["ts_sec"]), int(r["ts_usec"]), len(data), len(data)))
                 out.write(data)
@@ -370,27 +282,39 @@ class PcapWriter(DataSourceWriter):
         return WrittenFiles(moves)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs as pafs
         filesystem, base = _fs_path(self.path)
+        filesystem.create_dir(base, recursive=True)
+        if self.overwrite:
+            for f in filesystem.get_file_info(pafs.FileSelector(base)):
+                if f.type == pafs.FileType.Directory and f.base_name != f"_temporary-{self.job}":
+                    filesystem.delete_dir(f.path)
+                elif f.type == pafs.FileType.File:
+                    filesystem.delete_file(f.path)
         for m in messages:
-            for tmp, final in m.moves:
+            for tmp, final in m.moves if m is not None else ():
                 filesystem.move(tmp, final)
-        filesystem.delete_dir(f"{base}/_temporary")
+        self._drop_temporary(filesystem, base)
         with filesystem.open_output_stream(f"{base}/_SUCCESS"):
             pass
 
     def abort(self, messages) -> None:
-        filesystem, base = _fs_path(self.path)
-        try:
-            filesystem.delete_dir(f"{base}/_temporary")
-        except OSError:
-            pass
+        self._drop_temporary(*_fs_path(self.path))
+
+    def _drop_temporary(self, filesystem, base: str) -> None:
+        from pyarrow import fs as pafs
+        tmp = f"{base}/_temporary-{self.job}"
+        if filesystem.get_file_info(tmp).type == pafs.FileType.Directory:
+            filesystem.delete_dir(tmp)
 
 
 def _safe_name(capture_id: str) -> str:
+    """The base name of a capture, with a hash of the whole id."""
     name = capture_id.rstrip("/").split("/")[-1]
     if name.endswith(".pcap"):
         name = name[:-5]
-    return "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in name) or "capture"
+    name = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in name)[:100].lstrip("_.") or "capture"
+    return f"{name}-{hashlib.sha1(capture_id.encode()).hexdigest()[:12]}"
 
 
 class PcapDataSource(DataSource):
@@ -404,9 +328,6 @@ class PcapDataSource(DataSource):
     def reader(self, schema):
         return PcapReader(self.options)
 
-    def streamReader(self, schema):
-        return PcapStreamReader(self.options)
-
     def writer(self, schema, overwrite: bool):
         return PcapWriter(self.options, overwrite)
 
@@ -416,16 +337,73 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
-def read_captures(spark: SparkSession, path: str, split_size: int | None = None):
-    """``raw_packets`` of every capture file under ``path`` (A1).
+def read_captures(spark: SparkSession, path: str | list[str], split_size: int | None = None):
+    """``raw_packets`` of every capture file under ``path`` (A1), or under each of
+    several paths (I6): the union of the captures, each under its own id.
 
-    ``split_size`` (bytes) reads files larger than it as parallel byte ranges
-    (see :class:`PcapReader`)."""
+    ``split_size`` (bytes): files are first indexed, a task for each, and then
+    read as ranges of about that size, whatever their size; rows are the same."""
+    if not isinstance(path, str):
+        from functools import reduce
+        return reduce(lambda a, b: a.unionByName(b), [read_captures(spark, p, split_size) for p in path])
     register(spark)
-    r = spark.read.format("pcap")
-    if split_size:
-        r = r.option("splitSize", str(split_size))
-    return r.load(path)
+    if not split_size:
+        return spark.read.format("pcap").load(path)
+    ranges = capture_index(spark, path, split_size)
+    n = max(1, ranges.count())
+
+    def read(batches):
+        for batch in batches:
+            for file, start, first, count in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches(_records(file, None, first, start, count))
+    return ranges.repartition(min(n, 100_000)).mapInArrow(read, RAW_PACKETS)
+
+
+def capture_index(spark: SparkSession, path: str, split_size: int):
+    """Stored table (file, start, first_no, records) of the ranges of every file."""
+    from netsift.session import scratch_path
+    files = list_captures(path)
+
+    def index(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                rows = list(_index_file(file, split_size))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))],
+                    ["file", "start", "first_no", "records"])
+    out = scratch_path(spark, "capture-index")
+    (spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
+     .mapInArrow(index, "file string, start bigint, first_no bigint, records bigint").write.parquet(out))
+    return spark.read.parquet(out)
+
+
+def stream_captures(spark: SparkSession, path: str, capture_id: str | None = None, max_files: int | None = None):
+    """Streaming ``raw_packets`` of a folder receiving rotated captures.
+
+    Files are found by Spark's file source: each is read once, whatever its
+    name, also after a restart, and may be deleted once it is read. Writers
+    should move finished files in (names that start with ``_`` or ``.`` are
+    skipped). ``capture_id`` names the capture that the files are parts of;
+    ``packet_no`` then goes on from file to file: the last number in the file's
+    name (0 without one) times 2^32, plus the record's index."""
+    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+
+    def read(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                file = re.sub(r"^file:/*", "/", file)
+                yield from _batches(_records(file, capture_id, _file_number(file) << 32 if capture_id else 0))
+    return r.load(path).select("path").mapInArrow(read, RAW_PACKETS)
+
+
+def _file_number(file: str) -> int:
+    """The number of a rotated file: that of its chunk in our own files, else the last in its name."""
+    name = file.rsplit("/", 1)[-1]
+    own = re.search(r"-chunk-(\d{10})-[0-9a-f]{12}\.pcap$", name)
+    digits = own.group(1) if own else (re.findall(r"\d+", name) or ["0"])[-1]
+    return int(digits) % (1 << 31)
 
 
 def read_capture_headers(spark: SparkSession, path: str):
@@ -435,7 +413,7 @@ def read_capture_headers(spark: SparkSession, path: str):
 
 
 # Packet numbers per output chunk file of the capture sink.
-CHUNK_PACKETS = 1 << 20
+CHUNK_PACKETS = 1 << 18
 
 
 def chunk_of(packet_no, chunk_packets: int = CHUNK_PACKETS) -> "Column":
@@ -443,47 +421,28 @@ def chunk_of(packet_no, chunk_packets: int = CHUNK_PACKETS) -> "Column":
     return F.floor(packet_no / chunk_packets).cast("bigint")
 
 
-def write_captures(frames, path: str, partitions: int | None = None, partitioned: bool = False,
-                   chunk_packets: int = CHUNK_PACKETS) -> None:
+def write_captures(frames, path: str, partitioned: bool = False, chunk_packets: int = CHUNK_PACKETS,
+                   mode: str = "overwrite") -> None:
     """Write ``(capture_id, packet_no, ts_sec, ts_usec, data)`` rows as capture files (A4).
 
-    Rows are grouped into chunks of CHUNK_PACKETS packet numbers, hash
+    Rows are grouped into chunks of ``chunk_packets`` packet numbers, hash
     partitioned on ``(capture_id, chunk)`` and sorted; each (capture, chunk)
-    becomes one file named ``<capture>-chunk-<n>.pcap``, so the files of a
-    capture sort in capture order and a capture holding most of the data is
-    spread over many tasks. ``partitioned=True``: ``frames`` already carries
-    ``chunk`` and that partitioning (see :func:`write_forwarded`).
+    becomes one file, so the files of a capture sort in capture order and a
+    capture holding most of the data is spread over many tasks, as many as the
+    session's shuffle settings give. ``partitioned=True``: ``frames`` already
+    carries ``chunk`` and that partitioning (see :func:`write_forwarded`).
     """
     from pyspark.sql import functions as F
     register(frames.sparkSession)
-    n = partitions or frames.sparkSession.sparkContext.defaultParallelism
     if not partitioned:
         frames = (frames.withColumn("chunk", chunk_of(F.col("packet_no"), chunk_packets))
-                  .repartition(n, "capture_id", "chunk"))
+                  .repartition("capture_id", "chunk"))
     (frames.select("capture_id", "chunk", "packet_no", "ts_sec", "ts_usec", "data")
      .sortWithinPartitions("capture_id", "chunk", "packet_no")
-     .write.format("pcap").mode("overwrite").save(path))
-
-
-def _chunk_packets_for(raw, parallelism: int) -> int:
-    """Packets per output chunk: about two chunks per core for small inputs,
-    at most CHUNK_PACKETS (files of ~100 MB) for large ones. The input size
-    comes from file metadata (no job); ~100 bytes per stored packet."""
-    spark = raw.sparkSession
-    total = 0
-    try:
-        conf = spark._jsc.hadoopConfiguration()
-        for f in raw.inputFiles():
-            pth = spark._jvm.org.apache.hadoop.fs.Path(f)
-            total += pth.getFileSystem(conf).getFileStatus(pth).getLen()
-    except Exception:  # sources without file listings
-        return CHUNK_PACKETS
-    if total == 0:
-        return CHUNK_PACKETS
-    return int(max(1024, min(CHUNK_PACKETS, total // 100 // (2 * parallelism))))
-
-
-def write_forwarded(raw, verdicts, path: str, partitions: int | None = None) -> None:
+     .write.format("pcap").mode(mode).save(path))
+
+
+def write_forwarded(raw, verdicts, path: str, chunk_packets: int = CHUNK_PACKETS) -> None:
     """Forwarded capture (A4) with one shuffle of frame bytes.
 
     Frames and FORWARD verdict keys are both hash partitioned on
@@ -492,10 +451,8 @@ def write_forwarded(raw, verdicts, path: str, partitions: int | None = None) ->
     consumes it directly.
     """
     from pyspark.sql import functions as F
-    n = partitions or raw.sparkSession.sparkContext.defaultParallelism
-    size = _chunk_packets_for(raw, n)
     keys = (verdicts.where(F.col("action") == "FORWARD").select("capture_id", "packet_no")
-            .withColumn("chunk", chunk_of(F.col("packet_no"), size)).repartition(n, "capture_id", "chunk"))
-    frames = raw.withColumn("chunk", chunk_of(F.col("packet_no"), size)).repartition(n, "capture_id", "chunk")
+            .withColumn("chunk", chunk_of(F.col("packet_no"), chunk_packets)).repartition("capture_id", "chunk"))
+    frames = raw.withColumn("chunk", chunk_of(F.col("packet_no"), chunk_packets)).repartition("capture_id", "chunk")
     fwd = frames.join(keys, ["capture_id", "chunk", "packet_no"], "left_semi")
-    write_captures(fwd, path, n, partitioned=True)
+    write_captures(fwd, path, partitioned=True)

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from frames import eth, ipv4, pcap_file, tcp
 from netsift.sources.pcap import read_capture_headers, read_captures, write_captures
 
@@ -44,7 +46,7 @@ def test_write_read_roundtrip(spark):
     frames = [("cap-a", i, 1000 + i, i, eth(ipv4(tcp(bytes([i % 256]) * (i % 9))))) for i in range(300)]
     df = spark.createDataFrame(frames, "capture_id string, packet_no bigint, ts_sec bigint, ts_usec bigint, data binary")
     out = os.path.join(d, "out")
-    write_captures(df, out, partitions=3)
+    write_captures(df, out, chunk_packets=64)
     back = read_captures(spark, out).orderBy("capture_id", "packet_no").collect()
     assert [bytes(r["data"]) for r in back] == [f[4] for f in frames]
     assert [(r["ts_sec"], r["ts_usec"]) for r in back] == [(f[2], f[3]) for f in frames]
@@ -52,18 +54,82 @@ def test_write_read_roundtrip(spark):
     assert os.path.exists(os.path.join(out, "_SUCCESS"))
 
 
+def _rows(df):
+    return sorted((r["capture_id"], r["packet_no"], r["ts_sec"], bytes(r["data"])) for r in df.collect())
+
+
 def test_split_reads_equal_whole_read(spark):
-    """A file read as many byte ranges yields exactly the records of the whole read."""
+    """Read as many ranges, files give exactly the rows of the whole read: also
+    with zero-filled payloads, cut in a record, and with an oversize record."""
     import random
     rng = random.Random(3)
     d = tempfile.mkdtemp(prefix="pcap-split-", dir="/tmp")
-    recs = [(1000 + i // 7, eth(ipv4(tcp(bytes(rng.randrange(256) for _ in range(rng.randrange(0, 300)))))))
-            for i in range(2000)]
+    recs = [(1000 + i // 7, eth(ipv4(tcp(bytes(rng.randrange(256) for _ in range(rng.randrange(0, 300))))))) for i in range(2000)]
+    zero = [(1000 + i, eth(ipv4(tcp(bytes(1000))))) for i in range(400)]
     _write(d, "big.pcap", pcap_file(recs, little=False))
-    whole = read_captures(spark, d).orderBy("packet_no").collect()
-    split = read_captures(spark, d, split_size=20_000).orderBy("packet_no").collect()
-    assert len(whole) == 2000
-    assert [bytes(r["data"]) for r in split] == [bytes(r["data"]) for r in whole]
-    assert [r["ts_sec"] for r in split] == [r["ts_sec"] for r in whole]
-    offsets = [r["packet_no"] for r in split]
-    assert offsets == sorted(offsets) and len(set(offsets)) == len(offsets) and offsets[0] == 24
+    _write(d, "zero.pcap", pcap_file(zero))
+    _write(d, "cut.pcap", pcap_file(zero)[:-500])
+    _write(d, "over.pcap", pcap_file(zero[:50]) + b"\0" * 8 + b"\xff" * 8 + pcap_file(zero[:9])[24:])
+    _write(d, "none.pcap", b"nothing")
+    whole = _rows(read_captures(spark, d))
+    assert len(whole) == 2000 + 400 + 399 + 50
+    for size in (10_000, 50_000, 1 << 30):
+        assert _rows(read_captures(spark, d, split_size=size)) == whole
+
+
+def test_names_overwrite_and_append(spark):
+    """Captures that share a base name stay apart; overwriting leaves nothing of
+    what was there, appending keeps it."""
+    d = tempfile.mkdtemp(prefix="pcap-names-", dir="/tmp")
+    schema = "capture_id string, packet_no bigint, ts_sec bigint, ts_usec bigint, data binary"
+    frame = eth(ipv4(tcp(b"x")))
+    rows = [("/in/a/x.pcap", i, i, 0, frame) for i in range(10)] + [("/in/b/x.pcap", i, 100 + i, 0, frame) for i in range(7)]
+    out = os.path.join(d, "out")
+    write_captures(spark.createDataFrame(rows, schema), out, chunk_packets=4)
+    assert read_captures(spark, out).count() == 17
+    write_captures(spark.createDataFrame(rows[:4], schema), out)
+    assert read_captures(spark, out).count() == 4
+    write_captures(spark.createDataFrame(rows[:4], schema), out, mode="append")
+    assert read_captures(spark, out).count() == 8
+    write_captures(spark.createDataFrame([], schema), out)
+    assert read_captures(spark, out).count() == 0
+
+
+def test_missing_empty_and_several_paths(spark):
+    d = tempfile.mkdtemp(prefix="pcap-path-", dir="/tmp")
+    with pytest.raises(Exception, match="no capture file or folder"):
+        read_captures(spark, os.path.join(d, "nowhere")).count()
+    os.mkdir(os.path.join(d, "empty"))
+    assert read_captures(spark, os.path.join(d, "empty")).count() == 0
+    recs = [(5, eth(ipv4(tcp(b"x"))))]
+    os.mkdir(os.path.join(d, "a,b"))
+    one = _write(os.path.join(d, "a,b"), "c.pcap", pcap_file(recs * 3))
+    two = _write(d, "d.pcap", pcap_file(recs * 2))
+    assert read_captures(spark, os.path.join(d, "a,b")).count() == 3
+    assert read_captures(spark, [one, two]).groupBy("capture_id").count().count() == 2
+
+
+def test_stream_survives_restart_and_late_names(spark):
+    """Each file is read once: after a stop, with a name that sorts first, and
+    with files that are deleted when read."""
+    from netsift.sources.pcap import stream_captures
+    d = tempfile.mkdtemp(prefix="pcap-stream-", dir="/tmp")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.mkdir(src)
+    frame = eth(ipv4(tcp(b"x")))
+
+    def run():
+        q = (stream_captures(spark, src, "cap", 2).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).start())
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r[0] for r in spark.read.parquet(out).select("packet_no").collect())
+
+    for i in range(1, 7):
+        _write(src, f"m{i}.pcap", pcap_file([(i, frame)]))
+    six = [i << 32 for i in range(1, 7)]
+    assert run() == six
+    assert run() == six
+    _write(src, "a9.pcap", pcap_file([(9, frame)]))
+    os.remove(os.path.join(src, "m1.pcap"))
+    assert run() == [*six, 9 << 32]
