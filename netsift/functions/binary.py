@@ -57,21 +57,29 @@ def ipv4_text(data: Column, offset: ColOrInt) -> Column:
     return F.concat_ws(".", *[F.shiftright(v, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)])
 
 
+def _hex(x: Column, digits: int) -> Column:
+    """Hex digits of an integer column, for frame encoding; a value that needs
+    more raises. ``x`` is referenced once, so nested encodings stay small."""
+    def one(v):
+        return F.when(v.between(0, (1 << 4 * digits) - 1), F.lpad(F.hex(v), digits, "0")).when(v.isNotNull(), F.raise_error(
+            F.concat(v.cast("string"), F.lit(f" needs more than {digits} hex digits"))).cast("string"))
+    return F.get(F.transform(F.array(x.cast("bigint")), one), F.lit(0))
+
+
 def hex_u8(x: Column) -> Column:
-    """Two hex digits of an integer column, for frame encoding."""
-    return F.lpad(F.hex(x), 2, "0")
+    return _hex(x, 2)
 
 
 def hex_u16(x: Column) -> Column:
-    return F.lpad(F.hex(x), 4, "0")
+    return _hex(x, 4)
 
 
 def hex_u24(x: Column) -> Column:
-    return F.lpad(F.hex(x), 6, "0")
+    return _hex(x, 6)
 
 
 def hex_u32(x: Column) -> Column:
-    return F.lpad(F.hex(x), 8, "0")
+    return _hex(x, 8)
 
 
 def hex_u32_le(x: Column) -> Column:

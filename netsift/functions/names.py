@@ -104,7 +104,3 @@ def ntz_micros(ts: Column | str) -> Column:
             + F.minute(t).cast("bigint") * 60_000_000
             + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint"))
 
-
-def domain_suffix_key(domain: Column | str) -> Column:
-    """Last label of a lower-cased name: the join key of wildcard domain rules."""
-    return F.substring_index(F.lower(_col(domain)), ".", -1)

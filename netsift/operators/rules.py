@@ -6,10 +6,10 @@ size-checked first (:func:`_fits`); beyond the bound the join is left to the
 planner (shuffle join, or AQE's runtime broadcast).
 
 Wildcard domain rules (``*.rest``) match a name equal to ``rest`` or ending in
-``.rest`` (both lower-cased). They are grouped by the last label of ``rest``;
-a name can only match patterns sharing its last label, so one equi-join on
-that label brings the few relevant patterns to each row and an ``exists`` over
-them decides the match. No explode, no re-aggregation, no cross join.
+``.rest`` (both lower-cased): the name's last k labels are ``rest``, where k is
+the number of labels of ``rest``. There are few such k among the rules, so each
+is an equi-join of the name's last k labels with the rests of that depth: no
+explode, no list of patterns, no cross join.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.functions.names import domain_suffix_key
-
 # Largest rule table broadcast without question.
 MAX_BROADCAST_RULES = 2_000_000
 
@@ -38,7 +36,8 @@ class RuleTables:
     ports: DataFrame         # (rule_port int)
     apps: DataFrame          # (rule_app string)
     domains: DataFrame       # (rule_domain string)
-    patterns: DataFrame      # (pattern_key string, pattern_rests array<string>)
+    patterns: DataFrame      # (depth int, rest string)
+    depths: list             # the depths that occur
     unknown_blocked: bool    # is the initial label ('Unknown', '') blocked?
     small: bool = True       # every table fits the broadcast bound
 
@@ -60,17 +59,17 @@ def rule_tables(rules: DataFrame, materialize: bool = True) -> RuleTables:
         rules = rules.checkpoint(eager=True)
     t = F.col("rule_type")
     ips = rules.where(t == "IP").select(F.col("value").alias("rule_ip")).distinct()
-    ports = rules.where(t == "PORT").select(F.col("value").cast("int").alias("rule_port")).distinct()
+    ports = rules.where(t == "PORT").select(F.col("value").try_cast("int").alias("rule_port")).distinct()
     apps = rules.where(t == "APP").select(F.col("value").alias("rule_app")).distinct()
     domains = (rules.where((t == "DOMAIN") & ~F.col("is_pattern"))
                .select(F.col("value").alias("rule_domain")).distinct())
     rests = (rules.where((t == "DOMAIN") & F.col("is_pattern") & F.col("value").startswith("*."))
-             .select(F.lower(F.substring("value", 3, 1 << 20)).alias("rest")))
-    patterns = (rests.groupBy(domain_suffix_key("rest").alias("pattern_key"))
-                .agg(F.collect_set("rest").alias("pattern_rests")))
+             .select(F.lower(F.expr("substr(value, 3)")).alias("rest")))
+    patterns = rests.select(F.size(F.split("rest", r"\.", -1)).alias("depth"), "rest").distinct()
+    depths = sorted(r.depth for r in patterns.select("depth").distinct().collect())  # a name has at most 127 labels
     unknown_blocked = apps.where(F.col("rule_app") == "Unknown").limit(1).count() > 0
     small = _fits(rules)
-    return RuleTables(ips, ports, apps, domains, patterns, unknown_blocked, small)
+    return RuleTables(ips, ports, apps, domains, patterns, depths, unknown_blocked, small)
 
 
 def _flag(df: DataFrame, rt: RuleTables, lookup: DataFrame, left: Column, right: str, flag: str) -> DataFrame:
@@ -92,17 +91,16 @@ def mark_app_domain(df: DataFrame, rt: RuleTables, app: str, domain: str, prefix
     """Adds ``{prefix}app_hit`` (E3) and ``{prefix}domain_hit`` (E4) for a label."""
     d = F.col(domain)
     usable = d.isNotNull() & (d != "")
-    dk, pk = f"_{prefix}dom", f"_{prefix}pk"
-    df = df.withColumns({dk: F.when(usable, d), pk: F.when(usable, domain_suffix_key(d))})
+    dk = f"_{prefix}dom"
+    df = df.withColumn(dk, F.when(usable, d))
     df = _flag(df, rt, rt.apps, F.col(app), "rule_app", f"{prefix}app_hit")
-    df = _flag(df, rt, rt.domains, F.col(dk), "rule_domain", f"{prefix}exact_hit")
-    pats = rt.side(rt.patterns.select(F.col("pattern_key").alias(pk), "pattern_rests"))
-    df = df.join(pats, pk, "left")
-    low = F.lower(F.col(dk))
-    wild = F.coalesce(F.exists("pattern_rests", lambda r: (low == r) | low.endswith(F.concat(F.lit("."), r))),
-                      F.lit(False))
-    df = df.withColumn(f"{prefix}domain_hit", F.col(f"{prefix}exact_hit") | wild)
-    return df.drop("pattern_rests", f"{prefix}exact_hit", dk, pk)
+    df = _flag(df, rt, rt.domains, F.col(dk), "rule_domain", f"{prefix}domain_hit")
+    for k in rt.depths:
+        hit = f"_{prefix}wild{k}"
+        rests = rt.patterns.where(F.col("depth") == k)
+        df = _flag(df, rt, rests, F.substring_index(F.lower(F.col(dk)), ".", -k), "rest", hit)
+        df = df.withColumn(f"{prefix}domain_hit", F.col(f"{prefix}domain_hit") | F.col(hit)).drop(hit)
+    return df.drop(dk)
 
 
 def const_reason(ip_hit: Column, port_hit: Column, src_ip: Column, dest_port: Column) -> Column:

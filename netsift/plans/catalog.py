@@ -17,7 +17,7 @@ from netsift.operators.candidates import with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.plans.fixture import CAPTURE_ID, FIXTURE_RULES_TEXT, fixture_frames
 from netsift.plans.inspect import Inspection
-from netsift.sources.pcap import read_capture_headers, read_captures, write_captures, write_forwarded
+from netsift.sources.pcap import read_capture_headers, read_captures, stream_captures, write_captures, write_forwarded
 from netsift.sources.rules import load_rules, rules_from_text, save_rules
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
@@ -47,14 +47,11 @@ _CACHE: dict = {}
 
 
 def inspection(spark: SparkSession, sf_dir: str, rules_text: str = FIXTURE_RULES_TEXT,
-               idle_timeout_s: int | None = None, split_captures: bool = False,
-               hot_flow_chunk: int | None = None) -> Inspection:
+               idle_timeout_s: int | None = None, hot_flow_chunk: int | None = None) -> Inspection:
     """One lazily built inspection per (session, data, rules, options)."""
-    key = (id(spark), sf_dir, rules_text, idle_timeout_s, split_captures, hot_flow_chunk)
+    key = (spark.sparkContext.applicationId, sf_dir, rules_text, idle_timeout_s, hot_flow_chunk)
     if key not in _CACHE:
         raw = fixture_frames(spark, sf_dir)
-        if split_captures:
-            raw = raw.withColumn("capture_id", F.concat(F.lit(CAPTURE_ID + "-"), (F.col("packet_no") % 2).cast("string")))
         _CACHE[key] = Inspection(raw, rules_from_text(spark, rules_text), idle_timeout_s, hot_flow_chunk)
     return _CACHE[key]
 
@@ -248,7 +245,7 @@ def top_domains(spark, sf_dir):
 def top_domains_pages(spark, sf_dir):
     """Top-20 domains over the capture derived from ``pages`` (more than 20 names, ties)."""
     from netsift.plans.fixture import pages_frames
-    key = (id(spark), sf_dir, "pages")
+    key = (spark.sparkContext.applicationId, sf_dir, "pages")
     if key not in _CACHE:
         _CACHE[key] = Inspection(pages_frames(spark, sf_dir), rules_from_text(spark, "[BLOCKED_IPS]\n"))
     return _CACHE[key].top_domains()
@@ -269,8 +266,26 @@ def idle_split_flows(spark, sf_dir):
 
 
 def merged_captures(spark, sf_dir):
-    ins = inspection(spark, sf_dir, split_captures=True)
-    return ins.app_breakdown()
+    """Two captures (TCP and UDP packets, written apart) loaded as one table (I6);
+    a flow belongs to its capture, so the breakdown is of both (F9)."""
+    frames = fixture_frames(spark, sf_dir)
+    proto = decode(frames).select("capture_id", "packet_no", "protocol")
+    paths = []
+    for name, number in (("tcp", 6), ("udp", 17)):
+        own = frames.join(proto.where(F.col("protocol") == number), ["capture_id", "packet_no"], "left_semi")
+        paths.append(scratch_path(spark, f"merge-{name}"))
+        write_captures(own.withColumn("capture_id", F.lit(name)), paths[-1], chunk_packets=1 << 40)
+    return Inspection(read_captures(spark, paths), rules_from_text(spark, FIXTURE_RULES_TEXT)).app_breakdown()
+
+
+def split_capture_scan(spark, sf_dir):
+    """The fixture written as one capture file and read as ranges of records;
+    ``packet_no`` is the record's index in the file."""
+    path = scratch_path(spark, "one-file")
+    write_captures(fixture_frames(spark, sf_dir), path, chunk_packets=1 << 40)
+    p = admit(decode(read_captures(spark, path, split_size=64 << 10)))
+    return p.select("packet_no", "ts_us", *KEY5, "tcp_flags", "frame_length",
+                    F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("payload_sha256"))
 
 
 def forwarded_packets(spark, sf_dir):
@@ -299,29 +314,46 @@ def capture_headers(spark, sf_dir):
 
 # --- streaming ------------------------------------------------------------------
 
-def _capture_stream(spark, sf_dir):
-    """The fixture capture as rotated capture files, read as a stream."""
-    from netsift.sources.pcap import register
+def _rotated(spark, sf_dir) -> str:
+    """The fixture capture as about six rotated capture files."""
     path = scratch_path(spark, "stream-in")
     frames = fixture_frames(spark, sf_dir)
-    # About six rotated files, so the stream runs several micro-batches.
     write_captures(frames, path, chunk_packets=max(1, frames.count() // 6 + 1))
-    register(spark)
-    return (spark.readStream.format("pcap").option("captureId", CAPTURE_ID)
-            .option("maxFilesPerTrigger", "3").load(path))
+    return path
 
 
-def stream_verdicts(spark, sf_dir):
-    """Verdicts from the streaming operator (J1): keyed state over micro-batches."""
+def _capture_stream(spark, sf_dir, max_files: int = 3):
+    """Rotated capture files, read as a stream (A8) in several micro-batches."""
+    return stream_captures(spark, _rotated(spark, sf_dir), CAPTURE_ID, max_files)
+
+
+def _stream_verdicts(spark, sf_dir, idle_timeout_s=None):
+    """Verdicts of the streaming operator; the query is stopped after its first
+    batches and started again from its checkpoint."""
     from netsift.streaming.stateful import stream_verdicts as verdict_stream
-    v = verdict_stream(_capture_stream(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT))
-    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    q = (v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.read.parquet(out).select("ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause",
-                                          "reason_type", "reason_detail")
+    src, out, ck = _rotated(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    for wait in (0, None):
+        v = verdict_stream(stream_captures(spark, src, CAPTURE_ID, 2), rules_from_text(spark, FIXTURE_RULES_TEXT), idle_timeout_s)
+        q = v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").start()
+        if wait is None:
+            q.processAllAvailable()
+        else:
+            while q.isActive and q.lastProgress is None:
+                q.awaitTermination(1)
+        q.stop()
+    return spark.read.parquet(out)
+
+
+def stream_verdicts(spark, sf_dir):
+    """Verdicts from the streaming operator (J1), over a restart in mid-stream."""
+    return _stream_verdicts(spark, sf_dir).select(
+        "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "reason_type", "reason_detail")
+
+
+def stream_idle_flows(spark, sf_dir):
+    """Verdicts with an idle timeout of 300 s of capture time (J2), streamed."""
+    return _stream_verdicts(spark, sf_dir, 300).select(
+        "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "flow_packets", "flow_bytes")
 
 
 def stream_totals(spark, sf_dir):
@@ -363,25 +395,33 @@ def flow_sessions(spark, sf_dir):
 # --- rules tables ------------------------------------------------------------------
 
 def data_rules_values(spark, sf_dir) -> DataFrame:
-    """Rule values derived from the data, plus the fixture rules: every page
-    host (exact), a wildcard for every third page's host, the address of every
-    ninth user, and ports 1000-1039 from event ids."""
+    """Rule values derived from the data, plus the fixture rules: every page host
+    exactly and as a wildcard, every source address, and a port for each event."""
     from netsift.plans.fixture import URL_HOST_RX, synthetic_packets
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.regexp_extract("url", URL_HOST_RX, 1)
     exact = pages.select(F.lit("DOMAIN").alias("rule_type"), host.alias("value")).where(F.col("value") != "")
-    wild = (pages.where(F.col("page_id") % 3 == 0)
-            .select(F.lit("DOMAIN").alias("rule_type"), F.concat(F.lit("*."), host).alias("value"))
-            .where(F.col("value") != "*."))
+    wild = exact.select("rule_type", F.concat(F.lit("*."), F.col("value")).alias("value"))
+    ips = synthetic_packets(spark, sf_dir).select(F.lit("IP").alias("rule_type"), F.col("src_ip").alias("value"))
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    pk = synthetic_packets(spark, sf_dir)
-    ips = (pk.join(ev.where(F.col("user_id") % 9 == 0).select(F.col("event_id").alias("packet_no")), "packet_no",
-                   "left_semi").select(F.lit("IP").alias("rule_type"), F.col("src_ip").alias("value")))
     ports = ev.select(F.lit("PORT").alias("rule_type"), (F.col("event_id") % 40 + 1000).cast("string").alias("value"))
     fixed = rules_from_text(spark, FIXTURE_RULES_TEXT).select("rule_type", "value")
     return fixed.unionByName(exact).unionByName(wild).unionByName(ips).unionByName(ports).distinct()
 
 
+def pages_blocked_by_wildcard(spark, sf_dir):
+    """Page hosts and names below them against a wildcard rule for every host."""
+    from netsift.plans.fixture import URL_HOST_RX
+    host = F.regexp_extract("url", URL_HOST_RX, 1)
+    hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host.alias("host")).where(F.col("host") != "")
+    rules = hosts.select(F.lit("DOMAIN").alias("rule_type"), F.concat(F.lit("*."), F.col("host")).alias("value"),
+                         F.lit(True).alias("is_pattern")).distinct()
+    names = hosts.select("page_id", F.explode(F.array(
+        F.upper("host"), F.concat(F.lit("a.b."), F.col("host")), F.concat(F.lit("x"), F.col("host")))).alias("name"))
+    marked = R.mark_app_domain(names.withColumn("app", F.lit("Unknown")), R.rule_tables(rules), "app", "name", "")
+    return marked.select("page_id", "name", F.col("domain_hit").alias("blocked"))
+
+
 def data_rules(spark, sf_dir) -> DataFrame:
     """The data-derived rules written as a rules file (A5) and scanned back (A3)."""
     values = data_rules_values(spark, sf_dir).withColumn("is_pattern", F.col("value").contains("*"))
@@ -401,14 +441,34 @@ def rules_add(spark, sf_dir):
 
 
 def rules_remove(spark, sf_dir):
-    """Remove the fixture's facebook rule and the exact rule of every fifth page host."""
+    """Remove the fixture's facebook rule and the exact rule of every host with an https page."""
     from netsift.plans.fixture import URL_HOST_RX
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("page_id") % 5 == 0)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(F.col("url").startswith("https:"))
     gone = pages.select(F.lit("DOMAIN").alias("rule_type"), F.regexp_extract("url", URL_HOST_RX, 1).alias("value"))
     gone = gone.unionByName(spark.createDataFrame([("DOMAIN", "www.facebook.com")], "rule_type string, value string"))
     return R.remove_rules(data_rules(spark, sf_dir), gone)
 
 
+def rules_clear(spark, sf_dir):
+    """Counts per type after clearing the data-derived rules."""
+    return R.rule_counts(R.clear_rules(data_rules(spark, sf_dir)))
+
+
+def rule_rejected_values(spark, sf_dir):
+    """Every page host and source address filed under the wrong section: an
+    address and a host that no application, port or address section accepts (S13)."""
+    from netsift.plans.fixture import URL_HOST_RX, synthetic_packets
+    from netsift.sources.rules import parse_rules_files, rule_rejects
+    host = F.regexp_extract("url", URL_HOST_RX, 1)
+    hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(host.alias("value")).where(F.col("value") != "").distinct()
+    ips = synthetic_packets(spark, sf_dir).select(F.col("src_ip").alias("value")).distinct()
+    wrong = (hosts.select(F.lit("APP").alias("rule_type"), "value").unionByName(hosts.select(F.lit("PORT").alias("rule_type"), "value"))
+             .unionByName(hosts.select(F.lit("IP").alias("rule_type"), "value")).unionByName(ips.select(F.lit("APP").alias("rule_type"), "value")))
+    path = scratch_path(spark, "wrong-rules")
+    save_rules(wrong.withColumn("is_pattern", F.lit(False)), path)
+    return rule_rejects(parse_rules_files(spark, path)).select("rule_type", "raw_value", "error")
+
+
 def rules_list(spark, sf_dir):
     return R.list_rules(data_rules(spark, sf_dir), "DOMAIN")
 
@@ -438,5 +498,7 @@ QUERIES = {
     "reverse_lookup": reverse_lookup,
     "bidirectional_flows": bidirectional_flows, "flow_sessions": flow_sessions,
     "rule_counts": rule_counts, "rules_add": rules_add, "rules_remove": rules_remove, "rules_list": rules_list,
-    "rules_roundtrip": rules_roundtrip,
+    "rules_roundtrip": rules_roundtrip, "rules_clear": rules_clear, "rule_rejected_values": rule_rejected_values,
+    "split_capture_scan": split_capture_scan, "stream_idle_flows": stream_idle_flows,
+    "pages_blocked_by_wildcard": pages_blocked_by_wildcard,
 }

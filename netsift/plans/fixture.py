@@ -25,7 +25,7 @@ WITH e AS (
          event_id % 5 AS slot, CAST(round(value * 100) AS BIGINT) AS c
   FROM events)
 SELECT event_id AS packet_no, ts,
-  concat('10.0.', CAST(CAST(floor(user_id / 250) AS BIGINT) AS STRING), '.', CAST(user_id % 250 + 1 AS STRING)) AS src_ip,
+  concat('10.', CAST(CAST(floor(user_id / 62500) AS BIGINT) % 250 AS STRING), '.', CAST(CAST(floor(user_id / 250) AS BIGINT) % 250 AS STRING), '.', CAST(user_id % 250 + 1 AS STRING)) AS src_ip,
   concat('93.184.', CAST(slot AS STRING), '.', CAST(user_id % 7 AS STRING)) AS dest_ip,
   CAST(40000 + slot AS INT) AS src_port,
   CAST(CASE WHEN slot IN (0, 1) THEN 443 WHEN slot = 2 THEN 80 WHEN slot = 3 THEN 53 ELSE 8080 END AS INT) AS dest_port,
@@ -132,7 +132,7 @@ def encode_frames(pk: DataFrame, capture_id: str = CAPTURE_ID) -> DataFrame:
 
 
 # Bump when the encoding changes, so stored captures are rebuilt.
-ENCODER_VERSION = "2"
+ENCODER_VERSION = "3"
 
 
 def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +171,7 @@ def pages_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         pk = pg.select(
             pid.alias("packet_no"),
             F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
-            F.concat_ws(".", F.lit("10"), F.lit("2"), (pid / 250).cast("bigint").cast("string"),
-                        (pid % 250 + 1).cast("string")).alias("src_ip"),
+            F.concat_ws(".", F.lit("11"), F.floor(pid / 62500) % 250, F.floor(pid / 250) % 250, pid % 250 + 1).alias("src_ip"),
             F.lit("93.184.9.9").alias("dest_ip"),
             F.lit(40443).alias("src_port"), F.lit(443).alias("dest_port"), F.lit(6).alias("protocol"),
             F.lit(24).alias("tcp_flags"), F.lit("tls").alias("payload_kind"),

@@ -1,32 +1,52 @@
 """Rules file scan (A3) and sink (A5).
 
 A rules file is line oriented: a line starting with ``[`` opens a section,
-other non-empty lines are values of the current section. Parsing is a Spark
-job: lines are numbered with ``posexplode`` and the section in force is the
-last header at or before each line (a window over the file's lines).
+other non-empty lines are values of the current section. Lines end with LF, CR
+or both and lose blanks and control characters at either end. Parsing is a Spark
+job over lines: the section in force is the last header at or before a line, first
+within the line's split, then carried over from the file's earlier splits.
 Values that the engine would ignore or fail on go to the ``error`` column;
 :func:`load_rules` keeps the valid ones, :func:`rule_rejects` the others.
 """
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.names import normalize_ip
 from netsift.schema import APP_NAMES, RULE_SECTIONS
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _IPV4_RX = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
-def _parse(files: DataFrame) -> DataFrame:
-    """``files`` has (source string, value string = whole file text)."""
-    lines = files.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "raw"))
-    lines = lines.withColumn("line", F.trim("raw")).where(F.col("line") != "")
-    by_file = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+#: What ``trim`` means for a rules line: everything up to the blank.
+_EDGES_RX = r"^[\x00-\x20]+|[\x00-\x20]+$"
+
+
+def _parse(lines: DataFrame) -> DataFrame:
+    """``lines`` has (source, split, at, raw): a file's lines in the order of
+    (split, at)."""
+    lines = lines.withColumn("line", F.regexp_replace("raw", _EDGES_RX, ""))
     is_header = F.col("line").startswith("[")
-    lines = lines.withColumn("section", F.last(F.when(is_header, F.col("line")), ignorenulls=True).over(by_file))
-    values = lines.where(~is_header)
+    here = Window.partitionBy("source", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(is_header, F.col("line"))
+    lines = lines.withColumns({"own": F.last(header, ignorenulls=True).over(here), "nth": F.row_number().over(
+        Window.partitionBy("source", "split").orderBy("at")) - 1})
+    # One row for each split: what the next ones of the file start from.
+    before = Window.partitionBy("source").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (lines.groupBy("source", "split").agg(F.max_by("own", "at").alias("last"), F.count(F.lit(1)).alias("n"))
+               .select("source", "split", F.last("last", ignorenulls=True).over(before).alias("carried"),
+                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    lines = lines.join(carried, ["source", "split"]).select(
+        "source", (F.col("base") + F.col("nth")).cast("int").alias("pos"), "line",
+        F.coalesce("own", "carried").alias("section"))
+    values = lines.where((F.col("line") != "") & ~is_header)
     rule_type = F.lit(None).cast("string")
     for header, kind in reversed(RULE_SECTIONS):
         rule_type = F.when(F.col("section") == header, kind).otherwise(rule_type)
@@ -47,13 +67,15 @@ def _parse(files: DataFrame) -> DataFrame:
 
 
 def parse_rules_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
-    return _parse(files)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    return _parse(lines)
 
 
 def parse_rules_text(spark: SparkSession, text: str, source: str = "inline") -> DataFrame:
-    files = spark.createDataFrame([(source, text)], "source string, value string")
-    return _parse(files)
+    lines = spark.createDataFrame([(source, 0, text)], "source string, split bigint, value string")
+    return _parse(lines.select("source", "split", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "raw")))
 
 
 def _valid(parsed: DataFrame) -> DataFrame:
@@ -96,8 +118,22 @@ def rules_text(rules: DataFrame) -> DataFrame:
     return heads.unionByName(lines)
 
 
+def _headed(batches):
+    """A file of its own for each partition: it starts with the section in force."""
+    import pyarrow as pa
+    first = True
+    for batch in batches:
+        out = batch.column("value").to_pylist()
+        if first and out:
+            first = False
+            if batch.column("part")[0].as_py():
+                out.insert(0, RULE_SECTIONS[batch.column("section_no")[0].as_py()][0])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
 def save_rules(rules: DataFrame, path: str) -> None:
-    """Write a re-loadable rules file: lines globally sorted, then streamed by
-    a single writer into one file."""
-    (rules_text(rules).orderBy("section_no", "part", "n", "v").coalesce(1)
-     .select("value").write.mode("overwrite").text(path))
+    """Write re-loadable rules files: lines range-partitioned and sorted, each
+    part file headed by its section. A small table gives one file."""
+    (rules_text(rules).repartitionByRange("section_no", "part", "n", "v")
+     .sortWithinPartitions("section_no", "part", "n", "v")
+     .mapInArrow(_headed, "value string").write.mode("overwrite").text(path))

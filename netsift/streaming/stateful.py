@@ -5,10 +5,13 @@
   tables are re-read every micro-batch, J6), then
   ``applyInPandasWithState`` keyed by the flow runs the state machine
   incrementally, one group of rows per flow and micro-batch, sorted by packet
-  number. With ``idle_timeout_s`` a flow expires after that much event time
-  without packets (event-time timeout behind a watermark, and a split when a
-  late-arriving packet shows the gap); without it, state lives as long as the
-  flow, matching the batch default.
+  number. With ``idle_timeout_s`` a packet that comes after a longer gap in its
+  own flow's capture times starts the flow anew, exactly as in batch. There is no
+  watermark: captures may come in any order of their times, and no row is late.
+  With ``retain_s``, state is let go after that time on the clock without packets:
+  for flows that are CLOSED (J3; whatever comes then is a new flow), and for idle
+  ones if an idle timeout is given, never less than that. Such a query runs
+  batches for as long as it lives, to see which flows timed out.
 * :func:`stream_totals` (J5, K1): stateless per-batch totals written through
   ``foreachBatch``, idempotent per batch id; the running totals are their sum.
 """
@@ -68,7 +71,7 @@ def _save(st: FlowState) -> tuple:
             st.first_ts, st.last_ts)
 
 
-def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None) -> Callable:
+def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: int | None = None) -> Callable:
     """The per-flow function for ``applyInPandasWithState``."""
     idle_us = None if idle_timeout_s is None else idle_timeout_s * 1_000_000
 
@@ -94,8 +97,8 @@ def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None) -> Callable
                         v["app_type"], v["sni"], v["drop_cause"], reason[0], reason[1], v["assigned"],
                         v["rule_block"], v["inspected"], v["flow_packets"], v["flow_bytes"]))
         state.update(_save(st))
-        if idle_us is not None:
-            state.setTimeoutTimestamp(st.last_ts // 1000 + idle_timeout_s * 1000)
+        if retain_s is not None and (idle_us is not None or st.state == "CLOSED"):
+            state.setTimeoutDuration(max(retain_s, idle_timeout_s or 0) * 1000)
         yield pd.DataFrame(out, columns=[n for n, _ in KEY_FIELDS + VERDICT_FIELDS])
 
     return run
@@ -115,15 +118,13 @@ def labelled_stream(raw: DataFrame, rules: DataFrame) -> tuple[DataFrame, bool]:
     return df, rt.unknown_blocked
 
 
-def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None = None) -> DataFrame:
+def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None = None,
+                    retain_s: int | None = None) -> DataFrame:
     """Streaming packet verdicts (J1): one output row per packet, append mode."""
     df, unknown_blocked = labelled_stream(raw, rules)
-    timeout = GroupStateTimeout.NoTimeout
-    if idle_timeout_s is not None:
-        df = df.withWatermark("ts", f"{idle_timeout_s} seconds")
-        timeout = GroupStateTimeout.EventTimeTimeout
+    timeout = GroupStateTimeout.NoTimeout if retain_s is None else GroupStateTimeout.ProcessingTimeTimeout
     return df.groupBy(*FLOW_KEY).applyInPandasWithState(
-        flow_state_fn(unknown_blocked, idle_timeout_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        flow_state_fn(unknown_blocked, idle_timeout_s, retain_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def on_verdicts(verdicts: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):

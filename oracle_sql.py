@@ -158,6 +158,16 @@ walk AS (
 v AS (SELECT * FROM walk WHERE pos > 0)"""
 
 
+#: Payload bytes of a fixture packet, from its kind and host alone.
+_PAYLOAD_BLOB = """(CASE payload_kind
+  WHEN 'tls' THEN unhex('160301' || printf('%04X', length(host) + 56) || '01' || printf('%06X', length(host) + 52) || '0303'
+    || repeat('00', 32) || '00' || '00021301' || '0100' || printf('%04X', length(host) + 9) || '0000' || printf('%04X', length(host) + 5)
+    || printf('%04X', length(host) + 3) || '00' || printf('%04X', length(host)) || hex(host))
+  WHEN 'http' THEN unhex(hex('GET / HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || host || chr(13) || chr(10) || chr(13) || chr(10)))
+  WHEN 'dns' THEN unhex('000101000001000000000000' || array_to_string(list_transform(string_split(host, '.'),
+    lambda x: printf('%02X', length(x)) || hex(x)), '') || '0000010001')
+  WHEN 'opaque' THEN unhex(repeat('00', 8)) ELSE unhex('') END)"""
+
 K5 = "src_ip, dest_ip, src_port, dest_port, protocol"
 
 
@@ -303,8 +313,27 @@ def oracle() -> dict[str, str]:
     q["idle_split_flows"] = with_walk(
         f", {_final(K5 + ', flow_instance')}\nSELECT {K5}, flow_instance, state, app_type, sni, packets_out FROM f",
         key=K5 + ", flow_instance", idle_s=300)
-    q["merged_captures"] = with_walk(_app_breakdown(K5 + ", cap"), key_extra=", packet_no % 2 AS cap",
-                                     key=K5 + ", cap")
+    q["merged_captures"] = q["app_breakdown"]  # each flow's protocol puts it in one of the two captures
+    q["split_capture_scan"] = with_packets(
+        f"SELECT row_number() OVER (ORDER BY packet_no) - 1 AS packet_no, ts_us, {K5}, "
+        "CASE WHEN protocol = 6 THEN tcp_flags END AS tcp_flags, frame_length, sha256(" + _PAYLOAD_BLOB + ") AS payload_sha256 FROM pk")
+    q["stream_idle_flows"] = with_walk(
+        f"SELECT ts_us, {K5}, state, action, app_type, sni, drop_cause, pos AS flow_packets, flow_bytes FROM v",
+        key=K5 + ", flow_instance", idle_s=300)
+    q["pages_blocked_by_wildcard"] = (
+        "WITH h AS (SELECT page_id, regexp_extract(url, '" + URL_HOST_RX + "', 1) AS host FROM pages), "
+        "n AS (SELECT page_id, unnest([upper(host), 'a.b.' || host, 'x' || host]) AS name FROM h WHERE host <> '') "
+        "SELECT page_id, name, EXISTS (SELECT 1 FROM h WHERE host <> '' AND (lower(name) = lower(host) "
+        "OR ends_with(lower(name), '.' || lower(host)))) AS blocked FROM n")
+    q["rule_rejected_values"] = with_packets(
+        ", h AS (SELECT DISTINCT regexp_extract(url, '" + URL_HOST_RX + "', 1) AS v FROM pages), "
+        "i AS (SELECT DISTINCT src_ip AS v FROM pk) "
+        "SELECT 'APP' AS rule_type, v AS raw_value, 'unknown application' AS error FROM h WHERE v <> '' UNION ALL "
+        "SELECT 'PORT', v, 'not a port number' FROM h WHERE v <> '' UNION ALL "
+        "SELECT 'IP', v, 'not an IPv4 address' FROM h WHERE v <> '' UNION ALL "
+        "SELECT 'APP', v, 'unknown application' FROM i")
+    q["rules_clear"] = ("SELECT rule_type, CAST(0 AS BIGINT) AS rule_count "
+                        "FROM (VALUES ('IP'), ('APP'), ('DOMAIN'), ('PORT')) AS t(rule_type)")
     q["forwarded_packets"] = with_walk("SELECT packet_no, frame_length FROM v WHERE action = 'FORWARD'")
     q["capture_roundtrip"] = with_walk(
         f"SELECT v.ts_us, v.src_ip, v.dest_ip, v.src_port, v.dest_port, v.protocol, "
@@ -328,8 +357,8 @@ def oracle() -> dict[str, str]:
         ", ev AS (SELECT * FROM events), pg AS (SELECT page_id, regexp_extract(url, '" + URL_HOST_RX + "', 1) AS h "
         "FROM pages), dr0 AS (" + _rules_values(FIXTURE_RULE_ROWS) + " UNION "
         "SELECT 'DOMAIN', h, FALSE FROM pg WHERE h <> '' UNION "
-        "SELECT 'DOMAIN', '*.' || h, TRUE FROM pg WHERE page_id % 3 = 0 AND h <> '' UNION "
-        "SELECT 'IP', pk.src_ip, FALSE FROM pk JOIN ev ON ev.event_id = pk.packet_no WHERE ev.user_id % 9 = 0 UNION "
+        "SELECT 'DOMAIN', '*.' || h, TRUE FROM pg WHERE h <> '' UNION "
+        "SELECT 'IP', pk.src_ip, FALSE FROM pk UNION "
         "SELECT 'PORT', CAST(event_id % 40 + 1000 AS VARCHAR), FALSE FROM ev) "
         "SELECT rule_type, value, is_pattern FROM dr0")
     q["rule_counts"] = (f"WITH d AS ({dr}), k AS (SELECT * FROM (VALUES ('IP'), ('APP'), ('DOMAIN'), ('PORT')) "
@@ -339,7 +368,7 @@ def oracle() -> dict[str, str]:
                       "('DOMAIN', '*.example.net', TRUE), ('DOMAIN', 'www.youtube.com', FALSE)) AS t(rule_type, value, is_pattern)")
     q["rules_remove"] = (f"SELECT * FROM ({dr}) d WHERE NOT (d.rule_type = 'DOMAIN' AND (d.value = 'www.facebook.com' "
                          "OR d.value IN (SELECT regexp_extract(url, '" + URL_HOST_RX + "', 1) FROM pages "
-                         "WHERE page_id % 5 = 0)))")
+                         "WHERE starts_with(url, 'https:'))))")
     q["rules_list"] = f"SELECT value, is_pattern FROM ({dr}) WHERE rule_type = 'DOMAIN'"
     q["rules_roundtrip"] = dr
     return q
