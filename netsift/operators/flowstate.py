@@ -18,12 +18,12 @@ flow key, ``packet_no``, ``ts``, ``ts_us``, ``frame_length``,
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.names import has_flag
 from netsift.operators.rules import const_reason
+from netsift.session import scratch_path
 from netsift.schema import ACK, FIN, FLOW_KEY, RST, SYN
 
 INIT_APP, INIT_SNI = "Unknown", ""
@@ -44,7 +44,6 @@ class _Scan:
 
     def __init__(self, key: list[str], chunk_size: int | None):
         self.key, self.chunk = key, chunk_size
-        self.persisted: list[DataFrame] = []
         part = key + (["_chunk"] if chunk_size else [])
         self.w = Window.partitionBy(*part).orderBy("packet_no")
         self.run = self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,11 +77,11 @@ class _Scan:
         df = df.select("*", *[e.alias(f"_e_{n}") for n, (op, e) in specs.items() if op != "is_last"])
         df = df.select("*", *[self._local(op, F.col(f"_e_{n}") if op != "is_last" else None).alias(f"_l_{n}")
                               for n, (op, e) in specs.items()])
-        # The rows feed both the chunk totals and the join back: keep them
-        # (memory, spilling to disk; recomputed from lineage if lost) so the
-        # upstream layers are not evaluated twice.
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.persisted.append(df)
+        # The rows feed both the chunk totals and the join back: a stored table,
+        # so that no layer evaluates (or plans) the ones below it again.
+        path = scratch_path(df.sparkSession, "flow-layer")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
         totals = []
         for n, (op, _) in specs.items():
             v = F.col(f"_e_{n}")

@@ -315,10 +315,15 @@ def capture_headers(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------
 
 def _rotated(spark, sf_dir) -> str:
-    """The fixture capture as about six rotated capture files."""
+    """The fixture capture as about six rotated capture files, each written when
+    the one before is complete, as a capture that rotates does."""
     path = scratch_path(spark, "stream-in")
     frames = fixture_frames(spark, sf_dir)
-    write_captures(frames, path, chunk_packets=max(1, frames.count() // 6 + 1))
+    last = frames.agg(F.max("packet_no")).first()[0] or 0
+    size = last // 6 + 1
+    for n in range(last // size + 1):
+        part = frames.where((F.col("packet_no") >= n * size) & (F.col("packet_no") < (n + 1) * size))
+        write_captures(part, path, chunk_packets=size, mode="append")
     return path
 
 

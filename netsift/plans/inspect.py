@@ -21,6 +21,7 @@ from netsift.operators.decode import admit, decode
 from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_idle_instances
 from netsift.operators.rules import RuleTables, mark_ip_port, rule_tables
 from netsift.schema import FLOW_KEY
+from netsift.session import scratch_path
 
 # Packet numbers per chunk when the adaptive switch picks the hot-flow plan.
 DEFAULT_HOT_CHUNK = 1 << 20
@@ -39,9 +40,9 @@ class Inspection:
     idle_timeout_s: int | None = None
     # Split flows into chunks of this many packet numbers (hot-flow plan).
     hot_flow_chunk: int | None = None
-    # Adaptive switch: count packets per flow first and use the hot-flow plan
-    # (chunks of ``hot_flow_chunk`` or DEFAULT_HOT_CHUNK packet numbers) only
-    # when some flow has more than this many packets.
+    # Adaptive split: count packets per flow first; flows with more packets than
+    # this take the hot-flow plan (chunks of ``hot_flow_chunk`` or
+    # DEFAULT_HOT_CHUNK packet numbers), all others the single sort.
     hot_flow_threshold: int | None = None
 
     @cached_property
@@ -68,18 +69,28 @@ class Inspection:
         return df
 
     @cached_property
-    def chunk_size(self) -> int | None:
-        """Chunk size of the verdict plan (None = single-sort plan)."""
+    def heavy(self) -> DataFrame | None:
+        """Stored keys of the flows above ``hot_flow_threshold`` (at most the
+        packets divided by it), or None without any."""
         if self.hot_flow_threshold is None:
-            return self.hot_flow_chunk
-        heavy = heavy_flows(self.packets, self.hot_flow_threshold, self.key[:len(FLOW_KEY)])
-        if heavy.limit(1).count() == 0:
             return None
-        return self.hot_flow_chunk or DEFAULT_HOT_CHUNK
+        key = list(FLOW_KEY)
+        path = scratch_path(self.raw.sparkSession, "heavy-flows")
+        heavy_flows(self.packets, self.hot_flow_threshold, key).select(*key).write.parquet(path)
+        keys = self.raw.sparkSession.read.parquet(path)
+        return None if keys.isEmpty() else keys
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return packet_verdicts(self.labelled, self.tables.unknown_blocked, self.key, self.chunk_size)
+        rows, unknown, key = self.labelled, self.tables.unknown_blocked, self.key
+        if self.hot_flow_threshold is None:
+            return packet_verdicts(rows, unknown, key, self.hot_flow_chunk)
+        if self.heavy is None:
+            return packet_verdicts(rows, unknown, key)
+        light = packet_verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_anti"), unknown, key)
+        hot = packet_verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_semi"), unknown, key,
+                              self.hot_flow_chunk or DEFAULT_HOT_CHUNK)
+        return light.unionByName(hot)
 
     @cached_property
     def flows(self) -> DataFrame:

@@ -59,14 +59,32 @@ def test_streaming_equals_batch_sf0001(spark):
 
 
 def test_adaptive_hot_flow_switch(spark):
-    """A threshold below the largest flow picks the chunked plan; results stay the same."""
+    """Flows above the threshold take the chunked plan, the others don't; results stay the same."""
     from netsift.plans.fixture import FIXTURE_RULES_TEXT, fixture_frames
     from netsift.plans.inspect import Inspection
     from netsift.sources.rules import rules_from_text
     raw, rules = fixture_frames(spark, SF001), rules_from_text(spark, FIXTURE_RULES_TEXT)
     cold = Inspection(raw, rules, hot_flow_threshold=10_000)
-    hot = Inspection(raw, rules, hot_flow_threshold=5, hot_flow_chunk=97)
-    assert cold.chunk_size is None and hot.chunk_size == 97
+    hot = Inspection(raw, rules, hot_flow_threshold=13, hot_flow_chunk=97)
+    assert cold.heavy is None and 0 < hot.heavy.count() < hot.flows.count()
     cols = ["packet_no", "state", "action", "app_type", "sni", "drop_cause", "flow_packets"]
     assert sorted(map(tuple, hot.verdicts.select(*cols).collect())) == \
         sorted(map(tuple, cold.verdicts.select(*cols).collect()))
+
+
+def test_one_flow_with_half_of_all_packets(spark):
+    """The hot flow is split over chunks; verdicts equal those of the single sort."""
+    from pyspark.sql import functions as F
+
+    from netsift.plans.fixture import FIXTURE_RULES_TEXT, encode_frames, synthetic_packets
+    from netsift.plans.inspect import Inspection
+    from netsift.sources.rules import rules_from_text
+    hot = F.col("packet_no") % 2 == 0
+    same = {"src_ip": "10.9.9.9", "dest_ip": "93.184.0.1", "src_port": 40000, "dest_port": 443, "protocol": 6}
+    pk = synthetic_packets(spark, SF001)
+    raw = encode_frames(pk.withColumns({c: F.when(hot, v).otherwise(F.col(c)) for c, v in same.items()}))
+    rules = rules_from_text(spark, FIXTURE_RULES_TEXT)
+    one, split = Inspection(raw, rules), Inspection(raw, rules, hot_flow_threshold=100, hot_flow_chunk=64)
+    assert split.heavy.count() == 1
+    cols = ["packet_no", "src_ip", "state", "action", "app_type", "sni", "drop_cause", "flow_packets", "flow_bytes"]
+    assert sorted(map(tuple, split.verdicts.select(*cols).collect())) == sorted(map(tuple, one.verdicts.select(*cols).collect()))
