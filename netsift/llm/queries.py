@@ -6,6 +6,7 @@ import public_tokenizers
 
 from netsift.llm import decontaminate, jaccard, langid, mixing, neighbours, pii, repeats, token_counts, token_files, warc
 from netsift.llm.common import table
+from netsift.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -53,6 +54,3 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_repeats": op4_repeats, "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op8_pii": op8_pii, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
 }
-
-#: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}
