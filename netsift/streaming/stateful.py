@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator
 
@@ -32,8 +33,8 @@ from netsift.operators import reports
 from netsift.operators.candidates import check_candidates, with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.operators.rules import mark_ip_port, rule_tables
-from netsift.schema import FLOW_KEY
-from netsift.streaming.sequential import FlowState, step_flags
+from netsift.schema import FLOW_KEY, RULE_SECTIONS
+from netsift.streaming.sequential import FlowState, rules_from_rows, step_flags
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,8 +72,37 @@ def _save(st: FlowState) -> tuple:
             st.first_ts, st.last_ts)
 
 
-def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: int | None = None) -> Callable:
-    """The per-flow function for ``applyInPandasWithState``."""
+#: Rules of the micro-batch's task at hand: (task attempt, path) and the sets.
+_LIVE: dict = {}
+
+
+def _live_rules(path: str):
+    """Rule sets of the rules files under ``path`` as they are now, read once a task."""
+    from pyspark import TaskContext
+
+    from netsift.sources.pcap import _fs_path, list_captures
+    key = (TaskContext.get().taskAttemptId(), path)
+    if _LIVE.get("key") != key:
+        rows, kinds = [], dict(RULE_SECTIONS)
+        for file in list_captures(path):
+            filesystem, p = _fs_path(file)
+            with filesystem.open_input_stream(p) as f:
+                lines = re.split(r"\r\n|\r|\n", f.read().decode("utf-8", "replace"))
+            kind = None
+            for line in (x.strip("".join(map(chr, range(33)))) for x in lines):
+                if line.startswith("["):
+                    kind = kinds.get(line)
+                elif line and kind and (kind != "PORT" or line.isdecimal()):
+                    rows.append((kind, line, kind == "DOMAIN" and "*" in line))
+        _LIVE.update(key=key, rules=rules_from_rows(rows))
+    return _LIVE["rules"]
+
+
+def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: int | None = None,
+                  live_rules: str | None = None) -> Callable:
+    """The per-flow function for ``applyInPandasWithState``. With ``live_rules``,
+    each packet is checked against the rules that path holds when its batch runs,
+    and so is the label its flow got in an earlier batch."""
     idle_us = None if idle_timeout_s is None else idle_timeout_s * 1_000_000
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -80,6 +110,7 @@ def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: i
             state.remove()          # idle flow expires (J2); CLOSED ones too (J3)
             return
         st = _load(state, unknown_blocked)
+        now = _live_rules(live_rules) if live_rules else None
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values("packet_no")
         out = []
         for r in rows.itertuples(index=False):
@@ -91,6 +122,12 @@ def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: i
                    "cand_route": r.cand_route,
                    "const_reason": None if r.const_type is None else (r.const_type, r.const_detail),
                    "cand_reason": None if r.cand_type is None else (r.cand_type, r.cand_detail)}
+            if now is not None:
+                pkt["const_reason"] = now.reason(key[1], int(key[4]), "\0", "")
+                pkt["cand_reason"] = None if r.cand_route is None else now.reason("\0", -1, r.cand_app, r.cand_sni)
+                if st.state != "BLOCKED":  # what is blocked keeps its reason
+                    st.label_reason = now.reason("\0", -1, st.app, st.sni)
+                    st.label_blk = st.label_reason is not None
             v = step_flags(st, pkt)
             reason = v["reason"] or (None, None)
             out.append((*key, int(r.packet_no), int(r.ts_us), int(r.frame_length), v["state"], v["action"],
@@ -119,12 +156,16 @@ def labelled_stream(raw: DataFrame, rules: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None = None,
-                    retain_s: int | None = None) -> DataFrame:
-    """Streaming packet verdicts (J1): one output row per packet, append mode."""
+                    retain_s: int | None = None, live_rules: str | None = None) -> DataFrame:
+    """Streaming packet verdicts (J1): one output row per packet, append mode.
+
+    ``live_rules``: path of rules files that may change while the stream runs
+    (J6); each task reads them anew, so an edit holds from the next batch on, for
+    labels that flows already have as well. ``rules`` isn't used then."""
     df, unknown_blocked = labelled_stream(raw, rules)
     timeout = GroupStateTimeout.NoTimeout if retain_s is None else GroupStateTimeout.ProcessingTimeTimeout
     return df.groupBy(*FLOW_KEY).applyInPandasWithState(
-        flow_state_fn(unknown_blocked, idle_timeout_s, retain_s), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        flow_state_fn(unknown_blocked, idle_timeout_s, retain_s, live_rules), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def on_verdicts(verdicts: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):

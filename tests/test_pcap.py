@@ -156,3 +156,27 @@ def test_stream_idle_timeout_keeps_unordered_captures(spark):
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 15
     assert sorted(r["flow_packets"] for r in rows) == [1] * 11 + [2, 3, 4, 5]
+
+
+def test_stream_takes_up_changed_rules(spark):
+    """A rule added between batches blocks a flow that was labelled before it."""
+    from netsift.sources.pcap import stream_captures
+    from netsift.sources.rules import rules_from_text, save_rules
+    from netsift.streaming.stateful import stream_verdicts
+    d = tempfile.mkdtemp(prefix="pcap-live-", dir="/tmp")
+    src, rules, out, ck = (os.path.join(d, x) for x in ("in", "rules", "out", "ck"))
+    os.mkdir(src)
+    http = eth(ipv4(tcp(b"GET / HTTP/1.1\r\nHost: www.example.org\r\n\r\n", dport=80)))
+    none = rules_from_text(spark, "")
+    texts = ["[BLOCKED_PORTS]\n22\n", "[BLOCKED_DOMAINS]\n*.example.org\n", "[BLOCKED_PORTS]\n22\n"]
+    for n, text in enumerate(texts):
+        save_rules(rules_from_text(spark, text), rules)
+        _write(src, f"m{n}.pcap", pcap_file([(n * 10 + i, http) for i in range(2)]))
+        v = stream_verdicts(stream_captures(spark, src, "cap"), none, live_rules=rules)
+        q = v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).start()
+        q.processAllAvailable()
+        q.stop()
+    rows = spark.read.parquet(out).orderBy("packet_no").collect()
+    assert [r["action"] for r in rows] == ["FORWARD"] * 2 + ["DROP"] * 4
+    assert [r["drop_cause"] for r in rows] == [None, None, "RULE", "STATE", "STATE", "STATE"]
+    assert {r["sni"] for r in rows} == {"www.example.org"} and rows[2]["reason_type"] == "DOMAIN"
