@@ -36,7 +36,7 @@ class RuleTables:
     ports: DataFrame         # (rule_port int)
     apps: DataFrame          # (rule_app string)
     domains: DataFrame       # (rule_domain string)
-    patterns: DataFrame      # (depth int, rest string)
+    patterns: DataFrame      # (depth int, rule_rest string 'depth:rest')
     depths: list             # the depths that occur
     unknown_blocked: bool    # is the initial label ('Unknown', '') blocked?
     small: bool = True       # every table fits the broadcast bound
@@ -65,7 +65,10 @@ def rule_tables(rules: DataFrame, materialize: bool = True) -> RuleTables:
                .select(F.col("value").alias("rule_domain")).distinct())
     rests = (rules.where((t == "DOMAIN") & F.col("is_pattern") & F.col("value").startswith("*."))
              .select(F.lower(F.expr("substr(value, 3)")).alias("rest")))
-    patterns = rests.select(F.size(F.split("rest", r"\.", -1)).alias("depth"), "rest").distinct()
+    # The depth is part of the key and the table stands by itself (stored, small): with filters in sight
+    # the planner builds runtime filters for these joins, each with the whole decode inlined.
+    depth = F.size(F.split("rest", r"\.", -1))
+    patterns = rests.select(depth.alias("depth"), F.concat_ws(":", depth.cast("string"), "rest").alias("rule_rest")).distinct().checkpoint(eager=True)
     depths = sorted(r.depth for r in patterns.select("depth").distinct().collect())  # a name has at most 127 labels
     unknown_blocked = apps.where(F.col("rule_app") == "Unknown").limit(1).count() > 0
     small = _fits(rules)
@@ -97,8 +100,8 @@ def mark_app_domain(df: DataFrame, rt: RuleTables, app: str, domain: str, prefix
     df = _flag(df, rt, rt.domains, F.col(dk), "rule_domain", f"{prefix}domain_hit")
     for k in rt.depths:
         hit = f"_{prefix}wild{k}"
-        rests = rt.patterns.where(F.col("depth") == k)
-        df = _flag(df, rt, rests, F.substring_index(F.lower(F.col(dk)), ".", -k), "rest", hit)
+        last = F.concat(F.lit(f"{k}:"), F.substring_index(F.lower(F.col(dk)), ".", -k))
+        df = _flag(df, rt, rt.patterns, last, "rule_rest", hit)
         df = df.withColumn(f"{prefix}domain_hit", F.col(f"{prefix}domain_hit") | F.col(hit)).drop(hit)
     return df.drop(dk)
 
