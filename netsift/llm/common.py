@@ -64,6 +64,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
+def releasing(run):
+    """``run`` (a function over Arrow batches) that gives freed memory back when
+    its task has ended: Python workers live on and share the executor's memory."""
+    def task(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):
+            ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def small(df: DataFrame, size: Column) -> bool:
     """Whether a stored table, measured now, is within the broadcast bounds.
     ``size`` gives the bytes of a row."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stored, with_row_id
+from netsift.llm.common import releasing, stored, with_row_id
 from netsift.llm.components import components
 from netsift.llm.shingles import MinHasher, choose_bands, shingles, texts_of, word_hashes
 
@@ -81,22 +81,10 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
     col = np.repeat(np.cumsum(counts > DENSE) - 1, counts).astype(np.int64)
     dense = np.repeat(counts > DENSE, counts)
     n_dense = int((counts > DENSE).sum())
-    place = np.full(len(sets), -1, np.int64)
+    place = np.full(len(sets), -1, np.int64)  # of members, among those on the right
     place[right] = np.arange(len(right))
-    # Pairs through rare shingles: all (i, j) positions within runs of equal shingles.
-    rare_i, rare_j = [], []
-    for size in np.unique(counts[(counts > 1) & (counts <= DENSE)]):
-        who = owner[first[counts == size][:, None] + np.arange(size)]
-        i, j = np.meshgrid(np.arange(size), np.arange(size), indexing="ij")
-        off = i != j
-        rare_i.append(who[:, i[off]].ravel())
-        rare_j.append(who[:, j[off]].ravel())
-    rare_i = np.concatenate(rare_i) if rare_i else np.zeros(0, np.int32)
-    rare_j = place[np.concatenate(rare_j)] if rare_j else np.zeros(0, np.int64)
-    keep = rare_j >= 0
-    rare_i, rare_j = rare_i[keep], rare_j[keep]
-    by_row = np.argsort(rare_i, kind="stable")
-    rare_i, rare_j = rare_i[by_row], rare_j[by_row]
+    # The members that hold each rare shingle, by how many do.
+    rare = [owner[first[counts == size][:, None] + np.arange(size)] for size in np.unique(counts[(counts > 1) & (counts <= DENSE)])]
     d_owner, d_col = owner[dense], col[dense]
     by_owner = np.argsort(d_owner, kind="stable")
     d_owner, d_col = d_owner[by_owner], d_col[by_owner]
@@ -109,8 +97,8 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
         m[at[d_owner[ok]], d_col[ok] - lo] = 1
         return m
 
-    step = 512
-    wide = max(256, (8 << 20) // max(1, len(right)))
+    step = 256
+    wide = max(256, (4 << 20) // max(1, len(right)))
     for r0 in range(0, len(left), step):
         rows = left[r0:r0 + step]
         common = np.zeros((len(rows), len(right)), np.float32)
@@ -118,10 +106,19 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
             hi = min(n_dense, lo + wide)
             common += rows_of(rows, lo, hi) @ rows_of(right, lo, hi).T
         common = common.astype(np.int32)
-        for r, who in enumerate(rows):
-            a, b = np.searchsorted(rare_i, [who, who + 1])
-            if b > a:
-                common[r] += np.bincount(rare_j[a:b], minlength=len(right)).astype(np.int32)
+        here = np.full(len(sets), -1, np.int32)
+        here[rows] = np.arange(len(rows))
+        cells = []
+        for who in rare:
+            i, j = np.nonzero(here[who] >= 0)
+            other = who[i]
+            met = place[other]
+            met[(other == who[i, j][:, None])] = -1
+            cell = here[who[i, j]].astype(np.int64)[:, None] * len(right) + met
+            cells.append(cell[met >= 0])
+        if cells:
+            at, n = np.unique(np.concatenate(cells), return_counts=True)
+            common.ravel()[at] += n.astype(np.int32)
         yield rows, common
 
 
@@ -193,7 +190,7 @@ def similarity_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, recall:
     table: ``label`` is the smallest rid of the group."""
     bands = choose_bands(float(threshold), recall, rows)
     docs = docs.select("rid", "text")
-    sig = stored(docs.mapInArrow(_signatures(bands, rows), PASS1), "signatures")
+    sig = stored(docs.mapInArrow(releasing(_signatures(bands, rows)), PASS1), "signatures")
     classes = (sig.where(F.col("digest").isNotNull()).groupBy("digest")
                .agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("size")))
     classes = stored(classes, "classes")
@@ -217,7 +214,7 @@ def similarity_groups(docs: DataFrame, threshold: Fraction = THRESHOLD, recall:
         "rep", "size", "keys", "in", "text")
     sets = (texts.select("rep", "size", "keys", F.transform("keys", lambda k: F.element_at("in", k).isNotNull()).alias("kept"),
                          F.map_entries("in").alias("in"), "text")
-            .mapInArrow(_with_sets, "rep long, size long, keys array<long>, kept array<boolean>, "
+            .mapInArrow(releasing(_with_sets), "rep long, size long, keys array<long>, kept array<boolean>, "
                                     "in array<struct<key:long,value:int>>, shingles binary"))
     spread = (sets.select("*", F.explode("in").alias("e")).drop("in")
               .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("e.value")).cast("int"))

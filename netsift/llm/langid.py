@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stored, with_row_id
+from netsift.llm.common import releasing, stored, with_row_id
 from netsift.llm.shingles import mix
 
 MIN_SHARE, AGAINST_BEST = 2e-5, 0.05
@@ -140,7 +140,7 @@ class Filter:
 def train(docs: DataFrame) -> Filter:
     """Learns from the texts of ``docs`` (text, lang) with a non-null lang."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = stored(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram")
+    counts = stored(rows.mapInArrow(releasing(_count), "lang string, gram long, n long").groupBy("lang", "gram")
                     .agg(F.sum("n").alias("n")), "gram-counts")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(total, "lang").withColumn("share", F.col("n") / F.col("total"))
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Filter, key: str) -> DataFrame:
                                              ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, lang_pred string, score double")
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(releasing(run), f"key {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id):
