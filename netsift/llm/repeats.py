@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stored, with_row_id
+from netsift.llm.common import releasing, stored, with_row_id
 from netsift.llm.shingles import _BASE, _powers, mix, texts_of
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 19  # window starts handled at once
+BUCKET_WINDOWS = 200_000  # windows whose names are compared in one group
 _VALUE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 20) - 1)
 _pow = _inv = None
@@ -100,30 +101,77 @@ def _sample(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """Rows (rid, at, name, alone) of the windows of the runs of each text."""
+#: Flags of a named window: its context occurs once (so it is asked for), its
+#: name was met again in the same task, it is already known to be repeated.
+ALONE, TWICE, FOUND = 1, 2, 4
+PACK = "bucket long, name binary, rid binary, at binary, flag binary"
+
+
+def _pack(held: list, buckets: int):
+    """Rows of PACK for the windows a task has named. Of windows with one name
+    the first stands for all, so a name of any frequency is sent once a task."""
+    name, rid, at, alone = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(name, kind="stable")
+    ranked = name[order]
+    first = np.ones(len(name), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    group = np.cumsum(first) - 1
+    lead, twice = np.empty(len(name), bool), np.empty(len(name), bool)
+    lead[order], twice[order] = first, (np.bincount(group) > 1)[group]
+    flag = (alone * ALONE + twice * TWICE).astype(np.uint8)
+    flag[~lead] = FOUND
+    keep = lead | alone
+    name, rid, at, flag = name[keep], rid[keep], at[keep], flag[keep]
+    bucket = (mix(np.where(flag == FOUND, rid.view(np.uint64), name)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, name, rid, at, flag = (x[order] for x in (bucket, name, rid, at, flag))
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*cut[1:].tolist(), len(bucket)]
+    blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), blobs(name), blobs(rid), blobs(at.astype(np.int32)), blobs(flag)],
+                                      ["bucket", "name", "rid", "at", "flag"])
+
+
+def _windows(length: int, buckets: int):
+    """The windows of the runs of each text, named and packed by buckets of names."""
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             for i, t, runs in zip(batch.column("rid").to_pylist(), texts_of(batch.column("text")), batch.column("runs").to_pylist()):
-                b, out = np.frombuffer(t, np.uint8), []
+                b = np.frombuffer(t, np.uint8)
                 for r in runs:  # a run covers less than two windows' bytes
                     part = b[r["first"]:r["last"] + length]
                     at = np.arange(r["last"] - r["first"] + 1)
-                    out.append((at + r["first"], _Names(part).of(at, at + length, 3).view(np.int64), np.full(len(at), r["alone"])))
-                cols = [np.concatenate(c) for c in zip(*out)]
-                for a in range(0, len(cols[0]), 100_000):
-                    at, name, alone = (c[a:a + 100_000] for c in cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(name), pa.array(alone)],
-                                                     ["rid", "at", "name", "alone"])
+                    held.append((_Names(part).of(at, at + length, 3), np.full(len(at), i), at + r["first"], np.full(len(at), r["alone"])))
+                    n += len(at)
+                if n >= 1 << 20:
+                    yield _pack(held, buckets)
+                    held, n = [], 0
+        if held:
+            yield _pack(held, buckets)
     return run
 
 
+def _shared(key, t):
+    """(rid, at) of the windows of a bucket that are repeated and asked for."""
+    name, rid, at, flag = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (
+        ("name", np.uint64), ("rid", np.int64), ("at", np.int32), ("flag", np.uint8)))
+    found = flag == FOUND
+    open_ = np.flatnonzero(~found)
+    _, group, n = np.unique(name[open_], return_inverse=True, return_counts=True)
+    again = (n > 1) | (np.bincount(group, flag[open_] & TWICE, len(n)) > 0)
+    yes = open_[again[group] & ((flag[open_] & ALONE) > 0)]
+    rows = np.concatenate([np.flatnonzero(found), yes])
+    return pa.table({"rid": rid[rows], "at": at[rows].astype(np.int64)})
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rid, spans) of the texts of ``docs`` (rid, text; a scan) that lose bytes:
     ``spans`` are the merged (start, end) byte ranges, in order."""
-    runs = docs.select("rid", "text").mapInArrow(_sample(length, gram), "rid long, first long, last long, gram long, context long")
+    runs = docs.select("rid", "text").mapInArrow(releasing(_sample(length, gram)), "rid long, first long, last long, gram long, context long")
     often = (runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
              .where(F.col("n") > 1).select("gram", (F.col("c0") != F.col("c1")).alias("mixed")))
+    often = stored(often, "repeat-grams")  # a table: the join on a hot gram can then be split
     runs = stored(runs.join(often, "gram"), "repeat-runs")
     whole = runs.where(~F.col("mixed")).select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
@@ -135,12 +183,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
               .select("rid", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
     asked = each.select("one.*", (F.col("n") == 1).alias("alone")).groupBy("rid").agg(
         F.collect_list(F.struct("first", "last", "alone")).alias("runs"))  # of one text
-    named = docs.select("rid", "text").join(asked, "rid").select("rid", "text", "runs").mapInArrow(
-        _windows(length), "rid long, at long, name long, alone boolean")
-    named = stored(named, "repeat-windows")
-    shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("name")
-    found = (named.where("alone").join(shared, "name", "left_semi")
-             .select("rid", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    total = each.agg(F.coalesce(F.sum(F.col("one.last") - F.col("one.first") + 1), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET_WINDOWS))
+    packed = docs.select("rid", "text").join(asked, "rid").select("rid", "text", "runs").mapInArrow(
+        releasing(_windows(length, buckets)), PACK)
+    found = stored(packed.groupBy("bucket").applyInArrow(_shared, "rid long, at long"), "repeat-windows").select(
+        "rid", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return (whole.unionByName(copied).unionByName(found).groupBy("rid")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
@@ -179,7 +227,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = stored(repeated_spans(docs, length), "repeat-spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(
-        _cut, f"rid long, doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+        releasing(_cut), f"rid long, doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
 
 
 def report(docs: DataFrame) -> DataFrame:
