@@ -7,7 +7,7 @@ import numpy as np
 #: Bits of the longest code, unless more symbols need one more.
 LIMIT = 16
 #: Tokens between two bit-offset checkpoints of a block.
-STRIDE = 256
+STRIDE = 128
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -82,12 +82,13 @@ class Code:
         b = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
         four = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
         at = np.array(checkpoints, np.int64)
-        out = np.empty((len(at), STRIDE), np.uint32)
+        out = np.empty((STRIDE, len(at)), np.uint32)
         last = n - (len(at) - 1) * STRIDE
+        mask, free = np.uint32((1 << self.width) - 1), 32 - self.width
         for step in range(min(STRIDE, n)):
             if step == last:  # the last run is shorter
                 at = at[:-1]
-            peek = (four[at >> 3] >> (32 - self.width - (at & 7)).astype(np.uint32)) & np.uint32((1 << self.width) - 1)
-            out[:len(at), step] = self.next_symbol[peek]
+            peek = (four[at >> 3] >> (free - (at & 7)).astype(np.uint32)) & mask
+            out[step, :len(at)] = self.next_symbol[peek]
             at = at + self.next_bits[peek]
-        return out.ravel()[:n] if last == STRIDE else np.concatenate([out[:-1].ravel(), out[-1, :last]])
+        return out.T.ravel()[:n]

@@ -18,9 +18,12 @@ import re
 #: The pattern this module can apply itself, as it stands in the tokenizer's file (a fixed value).
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = "a-zªµºß-öø-ſ"
-_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+#: KNOWN_PATTERN on such texts; letters are tried first, which no other branch begins with.
+_CUT = re.compile(rf"[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LATIN}0-9]+")
 #: Outside of these characters texts go to the library: others may be letters, numbers or blanks to one side only.
 _OTHER = re.compile(r"[^\t\n\r -~¡-±´-¸º»¿-ſ]")
+#: Byte-level encoders write bytes that aren't printable as the characters from 256 on, in order.
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _LOADED: dict[str, "Pretokens"] = {}
 
 
@@ -46,7 +49,7 @@ class Pretokens:
         if (kinds == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("invert")
                 and cuts[0].get("pattern", {}).get("Regex") == KNOWN_PATTERN and cuts[1].get("use_regex") is False
                 and not spec["model"].get("dropout") and spec.get("post_processor") is None):
-            self.pattern = _CUT
+            self.pattern, self.bpe = _CUT, self.model.model
             self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
     @staticmethod
@@ -58,10 +61,19 @@ class Pretokens:
 
     def cut(self, text: str) -> list[str] | None:
         """The pre-tokens, or None if the text must go to the library whole."""
-        if self.pattern is None or _OTHER.search(text) or any(s in text for s in self.special):
+        if self.pattern is None or any(s in text for s in self.special):
+            return None
+        plain = text.isascii() and text.replace("\n", " ").isprintable()
+        if not plain and _OTHER.search(text):
             return None
         return self.pattern.findall(text.lower())
 
+    def ids(self, word: str) -> list[int]:
+        """The ids of one pre-token, by the library's model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in self.bpe.tokenize(word)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The library's ids of whole texts (or of single pre-tokens)."""
         if self.piece:
@@ -70,23 +82,19 @@ class Pretokens:
 
 
 class Cache(dict):
-    """Pre-token -> value, bounded: it is emptied when it has grown past the
-    bound between two batches of texts (only time is lost by that)."""
+    """Pre-token -> ``value`` of its ids, filled when asked for. It is emptied
+    when it has ``MOST`` entries: only time is lost by that."""
+
+    MOST = 600_000
 
-    MOST = 400_000
+    def __init__(self, pre: Pretokens, value):
+        self.pre, self.value = pre, value
 
-    def learn(self, words: list[list[str] | None], pre: Pretokens, value, known=()) -> None:
-        """Encodes those pre-tokens of a batch that neither this nor ``known`` has."""
-        if len(self) > self.MOST:
+    def __missing__(self, word: str):
+        if len(self) >= self.MOST:
             self.clear()
-        new = set().union(*(w for w in words if w is not None))
-        new.difference_update(self.keys())
-        if known:
-            new.difference_update(known)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            self.update(zip(part, map(value, pre.encode(part))))
+        found = self[word] = self.value(self.pre.ids(word))
+        return found
 
 
 def steps(texts: list[str | None], chars: int = 1 << 20):

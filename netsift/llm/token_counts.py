@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsift.llm.common import releasing
 from netsift.llm.pretokens import Cache, Pretokens, steps
 
 FREQUENT, PER_TASK = 1 << 16, 1 << 14
@@ -26,6 +27,17 @@ LIMIT = 2048
 _CACHES: dict[str, Cache] = {}  # per worker process
 
 
+class Tiers(dict):
+    """The broadcast table; what it doesn't have comes from the worker's cache."""
+
+    def __init__(self, table: dict[str, int], rest: Cache):
+        super().__init__(table)
+        self.rest = rest
+
+    def __missing__(self, word: str) -> int:
+        return self.rest[word]
+
+
 def frequent_pretokens(docs: DataFrame, path: str) -> list[str]:
     def run(batches):
         pre, seen = Pretokens.load(path), Counter()
@@ -45,35 +57,28 @@ def count_tokens(docs: DataFrame, path: str, key: str, limit: int = LIMIT) -> Da
     """(key, n_bytes, n_tokens, over_limit) for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
     words = frequent_pretokens(docs, path) if Pretokens.load(path).pattern is not None else []
-    table = dict(zip(words, map(len, Pretokens.load(path).encode(words))))
+    table = {w: len(Pretokens.load(path).ids(w)) for w in words}
     held = sc.broadcast(table)
 
     def run(batches):
-        pre, first = Pretokens.load(path), held.value
-        second = _CACHES.setdefault(path, Cache())
+        pre = Pretokens.load(path)
+        if path not in _CACHES:
+            _CACHES[path] = Cache(pre, len)
+        get = Tiers(held.value, _CACHES[path]).__getitem__
         for batch in batches:
             n_bytes, n_tokens = [], []
             for _, texts in steps(batch.column("text").to_pylist()):
                 words = [pre.cut(t) for t in texts]
-                second.learn(words, pre, len, first)
-                get, rest = first.get, second.__getitem__
                 n_bytes += [len(t.encode()) for t in texts]
                 whole = iter(pre.encode([t for t, w in zip(texts, words) if w is None]))
-                for w in words:
-                    if w is None:
-                        n_tokens.append(len(next(whole)))
-                        continue
-                    found = list(map(get, w))
-                    if None in found:
-                        found = [rest(x) if n is None else n for x, n in zip(w, found)]
-                    n_tokens.append(sum(found))
+                n_tokens += [len(next(whole)) if w is None else sum(map(get, w)) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()),
                  pa.array([n > limit for n in n_tokens], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("key"), "text")
-            .mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean"))
+            .mapInArrow(releasing(run), f"key {kind}, n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

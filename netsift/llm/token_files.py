@@ -17,6 +17,7 @@ a hash of their text; an empty table has no blocks.
 
 from __future__ import annotations
 
+import array
 import zlib
 
 import numpy as np
@@ -24,58 +25,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stored
+from netsift.llm.common import releasing, stored
 from netsift.llm.huffman import Code, code_lengths
+from netsift.llm.lookup import Table, eligible
 from netsift.llm.pretokens import Cache, Pretokens, steps
 from netsift.session import scratch_path
 
 END_ID = 1
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 17
 BLOCKS = ("part int, block long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
           "checkpoints array<long>, payload binary")
-_CACHES: dict[str, Cache] = {}
+_TABLES: dict[str, tuple[Table, Cache]] = {}  # per worker process
 
 
-def _as_ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+class _Bytes:
+    """Ids as bytes, two an id where the whole vocabulary fits."""
 
+    def __init__(self, pre: Pretokens, end_id: int):
+        size = pre.model.get_piece_size() if pre.piece else pre.model.get_vocab_size()
+        self.kind, self.mark = ("H", b"\2") if max(size - 1, end_id) < 65536 else ("I", b"\4")
+        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
+
+    def __call__(self, ids: list[int]) -> bytes:
+        return array.array(self.kind, ids).tobytes()
 
-def _tokenize(path: str, end_id: int):
-    end = _as_ids([end_id])
 
+def _tokenize(path: str, end_id: int):
     def run(batches):
-        pre, cache, seq = Pretokens.load(path), _CACHES.setdefault(path, Cache()), 0
+        pre, seq = Pretokens.load(path), 0
+        as_bytes = _Bytes(pre, end_id)
+        if path not in _TABLES:
+            _TABLES[path] = (Table(pre), Cache(pre, as_bytes))
+        table, cache = _TABLES[path]
+        start, end = as_bytes.mark, as_bytes([end_id])
         for batch in batches:
-            out = []
+            ids = []
             for _, texts in steps(batch.column("text").to_pylist()):
-                words = [pre.cut(t) for t in texts]
-                cache.learn(words, pre, _as_ids)
-                whole = iter(pre.encode([t for t, w in zip(texts, words) if w is None]))
-                get = cache.__getitem__
-                out += [(_as_ids(next(whole)) if w is None else b"".join(map(get, w))) + end for w in words]
-            ids = [_pack(x) for x in out]
+                fast = [eligible(t, pre) for t in texts]
+                found, n = table.encode([t.lower().encode() for t, ok in zip(texts, fast) if ok])
+                raw, width = found.astype(as_bytes.dtype).tobytes(), as_bytes.dtype.itemsize
+                at, one_by_one = 0, iter(_each([t for t, ok in zip(texts, fast) if not ok], pre, cache, as_bytes))
+                sizes = iter((n * width).tolist())
+                for ok in fast:
+                    if ok:
+                        size = next(sizes)
+                        ids.append(start + raw[at:at + size] + end)
+                        at += size
+                    else:
+                        ids.append(start + next(one_by_one) + end)
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(range(seq, seq + len(ids)), pa.int64()),
                                               batch.column("doc_id"), pa.array(ids, pa.binary())], ["part", "seq", "doc_id", "ids"])
             seq += len(ids)
     return run
 
 
-def _pack(ids: bytes) -> bytes:
-    """Two bytes an id where all fit (the first byte tells)."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if not len(a) or a.max() < 65536 else b"\4" + ids
+def _each(texts: list[str], pre: Pretokens, cache: Cache, as_bytes: _Bytes) -> list[bytes]:
+    """The ids of texts that the table can't take: by pre-tokens, or whole by the library."""
+    words = [pre.cut(t) for t in texts]
+    whole = iter(pre.encode([t for t, w in zip(texts, words) if w is None]))
+    return [as_bytes(next(whole)) if w is None else b"".join(map(cache.__getitem__, w)) for w in words]
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2" if packed[0] == 2 else "<u4", offset=1).astype(np.int64)
+    """The ids of a row; its first byte tells the bytes an id takes."""
+    return np.frombuffer(packed, "<u2" if packed[0] == 2 else "<u4", offset=1)
 
 
 def _count(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        ids = [_unpack(x) for x in batch.column("ids").to_pylist()]
-        if ids:
-            n = np.bincount(np.concatenate(ids), minlength=len(total))
+        packed = batch.column("ids").to_pylist()
+        for width in (2, 4):
+            ids = np.frombuffer(b"".join(memoryview(x)[1:] for x in packed if x[0] == width), f"<u{width}")
+            n = np.bincount(ids, minlength=len(total))
             n[:len(total)] += total
             total = n
     seen = np.flatnonzero(total)
@@ -116,15 +138,15 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, blo
     dealt = (dealt.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h")
              .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
              .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
-    ids = stored(dealt.mapInArrow(_tokenize(path, end_id), "part int, seq long, doc_id long, ids binary"), "ids")
+    ids = stored(dealt.mapInArrow(releasing(_tokenize(path, end_id)), "part int, seq long, doc_id long, ids binary"), "ids")
 
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    counts = ids.select("ids").mapInArrow(releasing(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = counts.sort_values("id")
     symbols, bits = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(s), int(b)) for s, b in zip(symbols, bits)], "id long, bits int").coalesce(1).write.parquet(f"{out}/code")
 
     # A file is read in its order, maybe by several tasks; a block is named by its first document's place.
-    ids.mapInArrow(_blocks(symbols, bits, block_tokens), BLOCKS).write.parquet(f"{out}/blocks")
+    ids.mapInArrow(releasing(_blocks(symbols, bits, block_tokens)), BLOCKS).write.parquet(f"{out}/blocks")
     heads = spark.read.parquet(f"{out}/blocks").select("part", "block", "n_tokens")
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     # The sums of the partitions (one row each) are added up in order.
@@ -159,7 +181,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "part int, block long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    docs = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, schema)
+    docs = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(releasing(run), schema)
     starts = spark.read.parquet(f"{path}/starts")
     return docs.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

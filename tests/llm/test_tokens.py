@@ -44,9 +44,29 @@ def test_pieces_join_to_the_library_s_ids():
         w = pre.cut(t)
         if w is not None:
             cut += 1
-            assert [i for x in pre.encode(w) for i in x] == ids, t
+            assert [i for x in w for i in pre.ids(x)] == ids, t
     assert cut > 10
 
 
 def test_empty_table(spark, tmp_path):
     assert C.report(documents(spark, tmp_path, []), BPE).collect() == []
+
+
+def test_table_gives_the_library_s_ids():
+    """Also with slots that clash, words of more than 16 bytes, and after it was emptied."""
+    import numpy as np
+
+    from netsift.llm import lookup
+    pre = Pretokens(BPE)
+    texts = [t for t in odd_texts() if t is not None and lookup.eligible(t, pre)]
+    texts += ["", " ", "é", "12 3", "a_b--c", "x" * 17 + " " + "é" * 8 + " " + "é" * 9, "Straße ŒUVRE ſo", "aaaaaaaaa aaaaaaaaaa a aa"]
+    assert not any(lookup.eligible(t, pre) for t in ("it's", "İ", "x²", "中", "a\x0b", "<|endoftext|>"))
+    table = lookup.Table(pre)
+    for _ in range(3):
+        ids, n = table.encode([t.lower().encode() for t in texts])
+        assert np.split(ids, np.cumsum(n)[:-1])[0].dtype == np.uint32
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == library("word_bpe_49k.json", texts)
+        table.slots[:, 2] = 99  # nothing in the table fits any more, no slot is free
+    table.clear()
+    assert table.encode([])[1].tolist() == []
