@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-from conftest import ROOT  # noqa: F401
 from small import documents
 
 from netsift.llm import langid as L
