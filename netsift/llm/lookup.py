@@ -47,8 +47,8 @@ class Table:
         self.clear()
 
     def clear(self) -> None:
-        # A slot: first and last bytes, length, place (start of the ids << 16 | their number).
-        self.slots = np.zeros((1 << SLOT_BITS, 4), np.uint64)
+        # A slot: first and last bytes, place << 5 | length; a place is the start of the ids << 16 | their number.
+        self.slots = np.zeros((1 << SLOT_BITS, 3), np.uint64)
         self.known: dict[bytes, int] = {}  # those that have no slot
         self.ids, self.n = array.array("I"), 0
 
@@ -83,8 +83,9 @@ class Table:
         ways = [(name & _SLOT).astype(np.int64), ((name >> np.uint64(32)) & _SLOT).astype(np.int64)]
         for way in ways:
             slot = self.slots[way[todo]]
-            hit = (slot[:, 0] == first[todo]) & (slot[:, 1] == last[todo]) & (slot[:, 2] == size[todo].astype(np.uint64))
-            place[todo[hit]] = slot[hit, 3]
+            held = slot[:, 2].astype(np.int64)
+            hit = (slot[:, 0] == first[todo]) & (slot[:, 1] == last[todo]) & (held & 31 == size[todo])
+            place[todo[hit]] = held[hit] >> 5
             todo = todo[~hit]
         new = np.flatnonzero(place == 0)
         fresh, seen = [], {}
@@ -103,7 +104,7 @@ class Table:
             slot = way[fresh]
             free = self.slots[slot, 2] == 0
             take = np.array(fresh, np.int64)[free]
-            self.slots[slot[free]] = np.stack([first[take], last[take], size[take].astype(np.uint64), place[take].astype(np.uint64)], axis=1)
+            self.slots[slot[free]] = np.stack([first[take], last[take], (place[take] << 5 | size[take]).astype(np.uint64)], axis=1)
             fresh = np.array(fresh, np.int64)[~free].tolist()
         for i in fresh:
             self.known[buf[at[i]:at[i] + size[i]]] = int(place[i])

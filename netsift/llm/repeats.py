@@ -50,8 +50,9 @@ class _Names:
 
     def __init__(self, b: np.ndarray):
         global _pow, _inv
-        if _pow is None:
-            _pow, _inv = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+        if _pow is None or len(_pow) <= len(b):
+            n = max(PIECE + 2 * LENGTH, len(b))
+            _pow, _inv = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
         self.total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_VALUE[b] * _pow[:len(b)], dtype=np.uint64, out=self.total[1:])
 

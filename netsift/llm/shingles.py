@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 K = 5
-PIECE = 1 << 20  # bytes hashed at once
+PIECE = 1 << 17  # bytes hashed at once
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,13 +23,14 @@ _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 
 
-def _powers(base: int) -> np.ndarray:
-    p = np.full(PIECE + 1, base, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n modulo 2**64."""
+    p = np.full(n + 1, base, np.uint64)
     p[0] = 1
     return np.cumprod(p, dtype=np.uint64)
 
 
-_POW, _INV = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+_POW, _INV = _powers(_BASE, PIECE), _powers(pow(_BASE, -1, 2**64), PIECE)
 _MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -33,6 +33,7 @@ from netsift.session import scratch_path
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 17
+TEXT_STEP = 1 << 18  # characters looked up at once
 BLOCKS = ("part int, block long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
           "checkpoints array<long>, payload binary")
 _TABLES: dict[str, tuple[Table, Cache]] = {}  # per worker process
@@ -60,7 +61,7 @@ def _tokenize(path: str, end_id: int):
         start, end = as_bytes.mark, as_bytes([end_id])
         for batch in batches:
             ids = []
-            for _, texts in steps(batch.column("text").to_pylist()):
+            for _, texts in steps(batch.column("text").to_pylist(), TEXT_STEP):
                 fast = [eligible(t, pre) for t in texts]
                 found, n = table.encode([t.lower().encode() for t, ok in zip(texts, fast) if ok])
                 raw, width = found.astype(as_bytes.dtype).tobytes(), as_bytes.dtype.itemsize
