@@ -297,7 +297,7 @@ def _forwarded_capture(spark, sf_dir) -> str:
     """Write the forwarded packets as capture files; returns the folder."""
     path = scratch_path(spark, "forwarded")
     ins = inspection(spark, sf_dir)
-    write_forwarded(ins.raw, ins.verdicts, path)
+    write_forwarded(ins.raw, ins.verdicts, path, chunk_packets=1 << 14)  # rotated every 16,384 packets
     return path
 
 
