@@ -26,7 +26,7 @@ _CLASS = np.full(256, _REST, np.uint8)
 _CLASS[[9, 10, 13, 32]] = _BLANK
 _CLASS[97:123] = _CLASS[128:] = _LETTER
 _CLASS[48:58] = _DIGIT
-SLOT_BITS, MOST = 21, 1_200_000
+SLOT_BITS, MOST, MOST_IDS = 21, 1_200_000, 1 << 24
 _SLOT = np.uint64((1 << SLOT_BITS) - 1)
 _LOW = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)
 
@@ -40,29 +40,28 @@ def eligible(text: str, pre: Pretokens) -> bool:
 
 
 class Table:
-    """Ids of pre-tokens; emptied when it has ``MOST`` of them (only time is lost)."""
+    """Ids of pre-tokens; emptied when it has ``MOST`` of them or ``MOST_IDS`` ids (only time is lost)."""
 
     def __init__(self, pre: Pretokens):
         self.pre = pre
         self.clear()
 
     def clear(self) -> None:
-        # A slot: first and last bytes, place << 5 | length; a place is the start of the ids << 16 | their number.
+        # A slot: first and last bytes, place << 5 | length; a place is the pre-token's number, from 1 on.
         self.slots = np.zeros((1 << SLOT_BITS, 3), np.uint64)
         self.known: dict[bytes, int] = {}  # those that have no slot
-        self.ids, self.n = array.array("I"), 0
+        self.ids, self.ends, self.n = array.array("I"), array.array("q", [0]), 0  # place p: ids from ends[p - 1] to ends[p]
 
     def _add(self, word: bytes) -> int:
         """The place of the ids of a pre-token that isn't known yet."""
-        ids = self.pre.ids(word.decode())
-        place = len(self.ids) << 16 | len(ids)
-        self.ids.extend(ids)
+        self.ids.extend(self.pre.ids(word.decode()))
+        self.ends.append(len(self.ids))
         self.n += 1
-        return place
+        return self.n
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each) of lower-cased UTF-8 texts."""
-        if self.n > MOST:
+        if self.n > MOST or len(self.ids) > MOST_IDS:
             self.clear()
         buf = b"\n".join(texts) + b"\n" + bytes(16)
         b = np.frombuffer(buf, np.uint8)
@@ -78,7 +77,7 @@ class Table:
         first = eight[at] & _LOW[np.minimum(size, 8)]
         last = np.where(size > 8, eight[np.maximum(at + size - 8, 0)], np.uint64(0))
         name = mix(first + last * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
-        place = np.zeros(len(at), np.int64)  # no pre-token is without ids
+        place = np.zeros(len(at), np.int64)  # 0: not known
         todo = np.flatnonzero(size <= 16)
         ways = [(name & _SLOT).astype(np.int64), ((name >> np.uint64(32)) & _SLOT).astype(np.int64)]
         for way in ways:
@@ -108,10 +107,12 @@ class Table:
             fresh = np.array(fresh, np.int64)[~free].tolist()
         for i in fresh:
             self.known[buf[at[i]:at[i] + size[i]]] = int(place[i])
-        count = place & 0xFFFF
+        ends = np.frombuffer(self.ends, np.int64)
+        start = ends[place - 1]
+        count = ends[place] - start
         end = np.cumsum(count)
         ids = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
-        out = ids[np.arange(end[-1] if len(end) else 0) + np.repeat((place >> 16) - (end - count), count)]
+        out = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - count), count)]
         begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, np.int64)
         before = np.searchsorted(at, np.append(begins, len(kind)))
         total = np.concatenate([[0], end])

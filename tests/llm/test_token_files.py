@@ -62,5 +62,20 @@ def test_files_read_back(spark, tmp_path, name, block):
     assert sorted((tuple(r[:4]) + (bytes(r[4]),) for r in got), key=key) == want
 
 
+def test_pretoken_of_many_ids(spark, tmp_path):
+    """More ids than 16 bits count, from one run of letters, and the texts around it."""
+    rng = np.random.default_rng(5)
+    rows = [(1, "before"), (2, "".join(rng.choice(list("acgt"), 300_000))), (3, "after it, " + "".join(rng.choice(list("qzxjkvw"), 200_000)) + " too"),
+            (4, "the last")]
+    from tokenizers import Tokenizer
+    want, at = [], 0
+    for d, t in rows:
+        ids = np.array([*Tokenizer.from_file(BPE).encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert max(n for _, _, n, _ in want) > 1 << 16
+    assert sorted(map(tuple, T.report(documents(spark, tmp_path, rows), BPE).collect())) == want
+
+
 def test_empty_table(spark, tmp_path):
     assert T.report(documents(spark, tmp_path, []), BPE).collect() == []
