@@ -21,12 +21,9 @@ class Graph:
     """``layers[l]``: (node numbers, neighbour array of places in that layer, -1 padded)."""
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS, seed: int = 1):
-        v = vectors.astype(np.float32)
-        norm = np.einsum("ij,ij->i", v, v)
-        extra = np.sqrt(np.maximum(norm.max() - norm, 0)) if len(v) else norm
-        self.points = np.concatenate([v, extra[:, None]], axis=1).astype(np.float32)
+        self.points = _points(vectors)
         rng = np.random.default_rng(seed)
-        level = np.floor(-np.log(1 - rng.random(len(v))) / np.log(SCALE)).astype(np.int64)
+        level = np.floor(-np.log(1 - rng.random(len(vectors))) / np.log(SCALE)).astype(np.int64)
         if len(level):
             level[level.argmax()] = level.max()
         self.layers = []
@@ -34,6 +31,13 @@ class Graph:
             nodes = np.flatnonzero(level >= at)
             self.layers.append((nodes, _linked(self.points[nodes], links * 2 if at == 0 else links)))
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> "Graph":
+        """The graph that was built of ``vectors``, from its layers."""
+        graph = cls.__new__(cls)
+        graph.points, graph.layers = _points(vectors), layers
+        return graph
+
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
         """The ``beam`` nodes found nearest to each query, -1 padded, not sorted exactly."""
         q = np.concatenate([queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)], axis=1)
@@ -99,6 +103,13 @@ class Graph:
         return np.where(np.isfinite(score), ids, -1)
 
 
+def _points(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(np.float32)
+    norm = np.einsum("ij,ij->i", v, v)
+    extra = np.sqrt(np.maximum(norm.max() - norm, 0)) if len(v) else norm
+    return np.concatenate([v, extra[:, None]], axis=1).astype(np.float32)
+
+
 def _linked(points: np.ndarray, links: int) -> np.ndarray:
     n = len(points)
     k = min(NEAR, n - 1)

@@ -67,6 +67,26 @@ def test_recall(spark, tmp_path, monkeypatch, shard):
     assert recall(got, want) > 0.95
 
 
+def test_a_full_shard_and_bounded_query_blocks(spark, tmp_path, monkeypatch):
+    """16,384 vectors in one shard; no task of the search holds more than a block of the queries."""
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(400, 32))
+    m = (near[rng.integers(0, 400, 16384)] + 0.6 * rng.normal(size=(16384, 32))).astype(np.float32).astype(np.float64)
+    df = write(spark, tmp_path, list(enumerate(m.tolist())))
+    monkeypatch.setattr(N, "QUERY_ROWS", 100)
+    tables, stored = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda d, name: tables.setdefault(name, stored(d, name)))
+    got = N.report(df).collect()
+    assert tables["graphs"].count() == 1
+    held = [len(r.q_ids) // 8 for r in tables["query-blocks"].collect()]
+    assert len(held) >= 8 and sum(held) == 820 and max(held) < 200
+    q = np.arange(0, 16384, 20)
+    score = m[q] @ m.T
+    score[np.arange(len(q)), q] = -np.inf
+    want = {int(n): [(-s[j], int(j)) for j in np.argsort(-s, kind="stable")[:20]] for n, s in zip(q, score)}
+    assert recall(got, want) > 0.95
+
+
 def test_empty(spark, tmp_path):
     assert N.report(write(spark, tmp_path, [])).collect() == []
     assert N.report(write(spark, tmp_path / "one", [(0, [1.0, 2.0])])).collect() == []
