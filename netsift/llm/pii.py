@@ -7,14 +7,21 @@ and whoever holds the key can undo it.
 
 kind    validated by                      permuted
 card    13-19 digits, Luhn                all digits but the last; that is the new check digit
-phone   +1 (NXX) NXX-XXXX and variants    the ten national digits; N stays 2-9
+phone   +1 (NXX) NXX-XXXX and variants,   the ten national digits; N stays 2-9
+        with or without the 1
 ip      four octets up to 255             the 32-bit address
-date    a day of the calendar 1900-2099   the day within those 73,049 days
+date    a day of the calendar 1900-2099,  the day within those 73,049 days; month first, within
+        day first, else month first       those that can't be read day first
 email   local part @ domain               letters and digits of the local part, each within
                                           its class; the domain stays
 
 Blanks, dots, dashes, brackets and the order of a date's parts stay as they
-were. What fails validation is left alone.
+were. What fails validation is left alone. Cards are looked for in runs of digit
+groups: the whole run in any grouping, else from each group on the longest 13-19
+digits that end with a group and pass Luhn, in groups of four digits or more but
+for the last (shorter ones are tables of numbers). A run ends before a date, a phone number or a decimal. Without +1,
+ten digits are a phone number in one piece or parted after the area code, or
+by a dot or dash after the exchange.
 
 Defined results: a null text stays null, an empty one empty; values are found
 in whole texts; repeated rows give repeated rows.
@@ -32,10 +39,18 @@ ROUNDS = 8
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
 PHONE = r"(?:\+1[ .-]?)(?:\([2-9]\d{2}\)|[2-9]\d{2})[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)"
 PHONE_LOOSE = r"(?:\+1[ .-]?)(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+_N = r"[2-9]\d{2}"
+LOCAL = (rf"\({_N}\)[ .-]?{_N}[ .-]?\d{{4}}(?!\d)|(?<!\d)(?<!\d[.-])(?:1[ .-])?{_N}(?:[ .-]{_N}[ .-]?|{_N}[.-])\d{{4}}(?!\d|[.-]\d)"
+         rf"|(?<![A-Za-z0-9_])(?<!\d[.-])1?{_N}{_N}\d{{4}}(?![A-Za-z0-9_]|[.-]\d)")
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d]|[./-]\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Digit groups of 13 digits or more; possessive, as Java then takes long runs in a loop.
+RUN = rf"(?<!\d)(?<!\d\.)(?!\d+\.\d)\d(?:\d|[ -](?!\d+\.\d|{DATE}|{LOCAL})\d){{12,}}+"
+#: Single values with nothing beside them; FIND is what texts are searched for.
 ANY = "|".join([EMAIL, PHONE_LOOSE, DATE, IP, CARD])
+FIND = "|".join([EMAIL, PHONE_LOOSE, LOCAL, DATE, IP, RUN])
+PARTS = "array<struct<value:string,pseudonym:string,tail:string>>"
 #: 1900-01-01 to 2099-12-31 has 73,049 = 17 x 4,297 days: the two halves of a date.
 DAYS_LOW, DAYS_HIGH, FIRST_DAY = 17, 4297, "1900-01-01"
 
@@ -98,23 +113,51 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _part(value: Column, new: Column, tail: Column) -> Column:
+    return F.struct(value.alias("value"), new.alias("pseudonym"), tail.alias("tail"))
+
+
 def _card(key: str, v: Column) -> Column:
+    """The pseudonym of a card that has passed Luhn."""
     def go(d):
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        return F.when(_luhn_sum(d, 1) % 10 == 0, _let(_permuted_digits(key, "card", body), lambda p: _laid_out(
-            v, F.concat(p, F.pmod(F.lit(10) - _luhn_sum(p, 0) % 10, F.lit(10)).cast("string"))))).otherwise(v)
+        return _let(_permuted_digits(key, "card", body), lambda p: _laid_out(
+            v, F.concat(p, F.pmod(F.lit(10) - _luhn_sum(p, 0) % 10, F.lit(10)).cast("string"))))
     return _let(_digits(v), go)
 
 
+def _cards(key: str, run: Column) -> Column:
+    """A run of digit groups as parts: its cards, and the other groups as they are."""
+    def go(groups):  # each with the blank or dash behind it
+        def step(s, i):
+            def raw(n):
+                return F.array_join(F.slice(groups, i + 1, n), "")
+            sizes = F.sequence(F.least(F.size(groups) - i, F.lit(19)), F.lit(1), F.lit(-1))
+            n = F.get(F.filter(sizes, lambda n: _let(_digits(raw(n)), lambda d: (
+                F.length(d).between(13, 19) & ((n == F.size(groups)) | raw(n).rlike(r"^(?:\d{4,}[ -])*\d+[ -]?$")) & (_luhn_sum(d, 1) % 10 == 0)))), F.lit(0))
+
+            def card(n):
+                value = F.regexp_replace(raw(n), "[ -]$", "")
+                return F.struct(F.concat(s["out"], F.array(_let(value, lambda x: _part(
+                    x, _card(key, x), F.substr(raw(n), F.length(x) + 1))))).alias("out"), (i + n).alias("next"))
+            group = F.get(groups, i)
+            one = F.struct(F.concat(s["out"], F.array(_part(group, group, F.lit("")))).alias("out"), (i + 1).alias("next"))
+            return F.when(i < s["next"], s).otherwise(_let(n, lambda n: F.when(n.isNull(), one).otherwise(card(n))))
+        start = F.struct(F.array().cast(PARTS).alias("out"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["out"])
+    return _let(F.regexp_extract_all(run, F.lit(r"(\d+[ -]?)"), 1), go)
+
+
 def _phone(key: str, v: Column) -> Column:
     """Halves: area code and exchange (each 8 x 100), and the line's four digits."""
-    def go(d):  # 1 AAA EEE LLLL
-        area, exchange = F.substr(d, F.lit(2), F.lit(3)).cast("int") - 200, F.substr(d, F.lit(5), F.lit(3)).cast("int") - 200
-        out = _feistel(key, "phone", area * 800 + exchange, F.substr(d, F.lit(8), F.lit(4)), F.lit(640_000), F.lit(10_000))
+    def go(d):  # [1] AAA EEE LLLL
+        first = F.length(d) - 9
+        area, exchange = F.substr(d, first, F.lit(3)).cast("int") - 200, F.substr(d, first + 3, F.lit(3)).cast("int") - 200
+        out = _feistel(key, "phone", area * 800 + exchange, F.substr(d, first + 6, F.lit(4)), F.lit(640_000), F.lit(10_000))
         return _let(out, lambda s: _laid_out(v, F.concat(
-            F.lit("1"), (F.floor(s["l"] / 800) + 200).cast("string"), (s["l"] % 800 + 200).cast("string"),
+            F.substr(d, F.lit(1), first - 1), (F.floor(s["l"] / 800) + 200).cast("string"), (s["l"] % 800 + 200).cast("string"),
             F.lpad(s["r"].cast("string"), 4, "0"))))
-    return F.when(v.rlike(f"^{PHONE}$"), _let(_digits(v), go)).otherwise(v)
+    return F.when(v.rlike(f"^(?:{PHONE}|{LOCAL})$"), _let(_digits(v), go)).otherwise(v)
 
 
 def _ip(key: str, v: Column) -> Column:
@@ -131,15 +174,27 @@ def _date(key: str, v: Column) -> Column:
     first = F.lit(FIRST_DAY).cast("date")
     iso = v.contains("-")
 
-    def go(day):
-        n = F.datediff(day, first)
+    def moved(n):
         out = _feistel(key, "date", F.floor(n / DAYS_HIGH), n % DAYS_HIGH, F.lit(DAYS_LOW), F.lit(DAYS_HIGH))
-        new = _let(out, lambda s: F.date_add(first, (s["l"] * DAYS_HIGH + s["r"]).cast("int")))
-        return F.when(day.isNull(), v).otherwise(_let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
-            F.replace(F.date_format(d, "dd-MM-yyyy"), F.lit("-"), F.substr(v, F.lit(3), F.lit(1))))))
+        return _let(out, lambda s: (s["l"] * DAYS_HIGH + s["r"]).cast("int"))
+
+    def day_of(n):
+        return F.date_add(first, n)
+
+    def go(d):
+        day, us = d["day"], d["us"]
+        # Month first: moved on until the new date can't be read day first either, so that pseudonyms stay one-to-one.
+        walked = F.aggregate(F.sequence(F.lit(1), F.when(us, F.lit(100)).otherwise(F.lit(1))), moved(F.datediff(day, first)), lambda n, _: F.when(
+            us & (F.dayofmonth(day_of(n)) <= 12), moved(n)).otherwise(n))
+        return F.when(day.isNull(), v).otherwise(_let(day_of(walked), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
+            F.replace(F.when(us, F.date_format(d, "MM-dd-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")), F.lit("-"), F.substr(v, F.lit(3), F.lit(1))))))
     parts = F.split(v, "[./]")
-    text = F.when(iso, v).otherwise(F.concat_ws("-", F.get(parts, F.lit(2)), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
-    return _let(F.try_to_date(text, "yyyy-MM-dd"), go)
+
+    def read(*order):
+        return F.try_to_date(F.concat_ws("-", *(F.get(parts, F.lit(i)) for i in order)), "yyyy-MM-dd")
+    day_first = F.when(iso, F.try_to_date(v, "yyyy-MM-dd")).otherwise(read(2, 1, 0))
+    month_first = F.when(~iso, read(2, 0, 1))
+    return _let(F.struct(F.coalesce(day_first, month_first).alias("day"), day_first.isNull().alias("us")), go)
 
 
 def _email(key: str, v: Column) -> Column:
@@ -166,24 +221,34 @@ def _email(key: str, v: Column) -> Column:
     return _let(F.substring_index(v, "@", 1), go)
 
 
+def _parts(v: Column, key: str) -> Column:
+    """A found value as parts (value, pseudonym, what follows); one unless it's a run of digit groups."""
+    def alone(new):
+        return F.array(_part(v, new, F.lit("")))
+    return (F.when(v.contains("@"), alone(_email(key, v))).when(v.startswith("+") | v.rlike(f"^(?:{LOCAL})$"), alone(_phone(key, v)))
+            .when(v.rlike(f"^(?:{DATE})$"), alone(_date(key, v))).when(v.rlike(r"^\d+\.\d+\.\d+\.\d+$"), alone(_ip(key, v)))
+            .otherwise(_cards(key, v)))
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["pseudonym"], p["tail"])), "")
+
+
 def pseudonym(v: Column, key: str = KEY) -> Column:
     """The pseudonym of a found value, or the value itself where it isn't valid."""
-    return (F.when(v.contains("@"), _email(key, v)).when(v.startswith("+"), _phone(key, v))
-            .when(v.rlike(f"^(?:{DATE})$"), _date(key, v)).when(v.rlike(r"^\d+\.\d+\.\d+\.\d+$"), _ip(key, v))
-            .otherwise(_card(key, v)))
+    return _joined(_parts(v, key))
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Adds ``found`` (value and pseudonym of what was replaced, in order) and
     puts the pseudonyms into ``text``."""
-    pii, new = fresh(docs, "_pii"), fresh(docs, "_new")
-    docs = docs.withColumn(pii, F.regexp_extract_all("text", F.lit(f"({ANY})"), 1))
-    docs = docs.withColumn(new, F.transform(pii, lambda v: pseudonym(v, key)))
-    text = F.when(F.size(pii) > 0, F.array_join(F.zip_with(
-        F.split("text", ANY, -1), new, lambda t, v: F.concat(F.coalesce(t, F.lit("")), F.coalesce(v, F.lit("")))), "")).otherwise(F.col("text"))
-    found = F.filter(F.arrays_zip(F.col(pii).alias("value"), F.col(new).alias("pseudonym")), lambda x: x["value"] != x["pseudonym"])
+    new = fresh(docs, "_new")
+    docs = docs.withColumn(new, F.transform(F.regexp_extract_all("text", F.lit(f"({FIND})"), 1), lambda v: _parts(v, key)))
+    text = F.when(F.size(new) > 0, F.array_join(F.zip_with(
+        F.split("text", FIND, -1), new, lambda t, v: F.concat(F.coalesce(t, F.lit("")), F.coalesce(_joined(v), F.lit("")))), "")).otherwise(F.col("text"))
+    found = F.transform(F.filter(F.flatten(new), lambda x: x["value"] != x["pseudonym"]), lambda x: F.struct(x["value"], x["pseudonym"]))
     none = F.array().cast("array<struct<value:string,pseudonym:string>>")
-    return docs.withColumns({"found": F.coalesce(found, none), "text": text}).drop(pii, new)
+    return docs.withColumns({"found": F.coalesce(found, none), "text": text}).drop(new)
 
 
 def report(docs: DataFrame) -> DataFrame:
