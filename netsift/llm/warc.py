@@ -211,17 +211,19 @@ def read_warc(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for each record;
-    a revisit has the payload of the response it refers to."""
+    a revisit has the payload of the response it refers to. Where that response
+    can't be read, it has its own digest header, and null bytes and refers_to."""
     h = lambda name: F.element_at("header", name)
     records = stored(read_warc(spark, path, size).select(
         h("warc-record-id").alias("id"), h("warc-page-id").cast("long").alias("page_id"), h("warc-type").alias("record_type"),
-        h("warc-refers-to").alias("to"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        h("warc-refers-to").alias("to"), F.regexp_replace(h("warc-payload-digest"), "^sha256:", "").alias("named_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest")), "records")
     old = F.col("record_type") == "revisit"
     named = records.where(~old).select(F.col("id").alias("to"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return (records.where(~old).withColumn("refers_to", F.lit(None).cast("long")).select(cols)
-            .unionByName(records.where(old).drop("payload_bytes", "payload_digest").join(named, "to").select(cols)))
+            .unionByName(records.where(old).drop("payload_bytes", "payload_digest").join(named, "to", "left")
+                         .withColumn("payload_digest", F.coalesce("payload_digest", "named_digest")).select(cols)))
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -65,6 +65,21 @@ def test_damaged_files(spark, tmp_path):
         assert got == [*range(8), 20]
 
 
+def test_revisits_of_a_lost_response(spark, tmp_path):
+    """The response lies behind the damage of another file; revisits that are whole stay."""
+    d = tmp_path / "w"
+    d.mkdir()
+    response = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%s>\r\nWARC-Page-ID: %d\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    revisit = ("WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:%s>\r\nWARC-Page-ID: %d\r\nWARC-Payload-Digest: sha256:%s\r\n%s"
+               "Content-Length: 0\r\n\r\n\r\n\r\n")
+    (d / "a.warc").write_text(response % ("a", 1) + "garbage" + response % ("lost", 2), newline="")
+    (d / "b.warc").write_text(revisit % ("c", 3, "00ff", "WARC-Refers-To: <urn:lost>\r\n") + revisit % ("d", 4, "x", "WARC-Refers-To: <urn:a>\r\n")
+                              + revisit % ("e", 5, "11ee", ""), newline="")
+    digest = hashlib.sha256(b"abcd").hexdigest()
+    assert sorted(map(tuple, W.read_pages(spark, str(d)).collect())) == [
+        (1, 4, digest, "response", None), (3, None, "00ff", "revisit", None), (4, 4, digest, "revisit", 1), (5, None, "11ee", "revisit", None)]
+
+
 def test_empty(spark, tmp_path):
     assert W.report(table(spark, tmp_path, "pages", [], PAGES)).collect() == []
     os.mkdir(tmp_path / "none")
