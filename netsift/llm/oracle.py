@@ -55,4 +55,52 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN edges USING (r)
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_jaccard_join": OP3, "op4_repeats": OP4, "op6_mixing": mixing.ORACLE_SQL}
+OP11 = """
+WITH marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+         'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(x.doc_id > first, FALSE)} AS bad FROM x LEFT JOIN marks ON marks.doc_id = x.doc_id),
+g AS (SELECT part, bad, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || k.c || e.c || m.c AS filter_order FROM l a, l b, l k, l e, l m
+      WHERE len(list_distinct([a.c, b.c, k.c, e.c, m.c])) = 5),
+s AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS c, filter_order[1 : step - 1] AS earlier FROM o, range(1, 6) AS r(step)),
+r AS (SELECT g.part, s.filter_order, s.step, s.c, g.n, g.good, g.toxic,
+        list_contains(list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: [bad.A, bad.B, bad.C, bad.D, bad.E][ascii(y) - 64]), s.c) AS hit,
+        len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: [bad.A, bad.B, bad.C, bad.D, bad.E][ascii(y) - 64] AND contains(s.earlier, y))) > 0 AS gone,
+        bad.A::INT + bad.B::INT + bad.C::INT + bad.D::INT + bad.E::INT AS n_bad
+      FROM g, s),
+c AS (SELECT part, filter_order, step, c, sum(n) FILTER (WHERE NOT hit AND NOT gone) AS kept, sum(n) FILTER (WHERE hit AND NOT gone) AS removed,
+        sum(n) FILTER (WHERE hit AND gone) AS redundant, sum(n) FILTER (WHERE hit AND n_bad = 1) AS unique_fails,
+        sum(n * good) FILTER (WHERE hit AND NOT gone) AS good_lost, sum(n * toxic) FILTER (WHERE hit AND NOT gone) AS toxic_lost
+      FROM r GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, c), 0)::BIGINT AS shapley FROM c
+"""
+
+
+def _op13() -> str:
+    """Ten rounds of assignment and exact floor means, spelled out one after the other."""
+    nearest = """SELECT r, k, d FROM (SELECT r, k, d, row_number() OVER (PARTITION BY r ORDER BY d, k) AS n FROM (
+        SELECT v.r, c.k, list_sum(list_transform(range(1, 65), lambda j: ((v.x[j] - c.x[j]) * (v.x[j] - c.x[j]))::HUGEINT)) AS d FROM v, {0} c)) WHERE n = 1"""
+    mean = """SELECT c.k, coalesce(m.x, c.x) AS x FROM {1} c LEFT JOIN (
+        SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM (
+          SELECT a.k, j, sum(v.x[j]) AS s, count(*) AS n FROM {0} a JOIN v USING (r), range(1, 65) AS t(j) GROUP BY a.k, j) GROUP BY k) m USING (k)"""
+    rounds = "".join(f"a{i} AS MATERIALIZED ({nearest.format(f'c{i}')}),\nc{i + 1} AS MATERIALIZED ({mean.format(f'a{i}', f'c{i}')}),\n" for i in range(10))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS k, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) <= 8),
+{rounds}a10 AS MATERIALIZED ({nearest.format('c10')})
+SELECT vec_id, a.k::INTEGER AS cluster, a.d::BIGINT AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+       sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 a JOIN v USING (r) JOIN c10 USING (k)
+"""
+
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_jaccard_join": OP3, "op4_repeats": OP4, "op6_mixing": mixing.ORACLE_SQL,
+              "op11_filter_interactions": OP11, "op13_centroids": _op13()}

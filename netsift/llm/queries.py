@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from netsift.llm import decontaminate, jaccard, langid, mixing, neighbours, pii, repeats, token_counts, token_files, warc
+from netsift.llm import (byte_bpe, centroids, decontaminate, interactions, jaccard, langid, mixing, neighbours, pii, repeats,
+                         token_counts, token_files, warc)
 from netsift.llm.common import table
 from netsift.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -49,8 +50,18 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {
-    "op1_decontaminate": op1_decontaminate, "op2_warc": op2_warc,
-    "op3_jaccard_join": op3_jaccard_join,
-    "op4_repeats": op4_repeats, "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op7_token_files": op7_token_files, "op8_pii": op8_pii, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
-}
+def op11_filter_interactions(spark, sf_dir):
+    return interactions.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    return byte_bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_centroids(spark, sf_dir):
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_decontaminate, op2_warc, op3_jaccard_join, op4_repeats, op5_neighbours, op6_mixing, op7_token_files, op8_pii,
+    op9_language_id, op10_token_counts, op11_filter_interactions, op12_byte_bpe, op13_centroids)}
