@@ -17,7 +17,7 @@ from netsift.operators.candidates import with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.plans.fixture import CAPTURE_ID, FIXTURE_RULES_TEXT, fixture_frames
 from netsift.plans.inspect import Inspection
-from netsift.sources.pcap import read_capture_headers, read_captures, stream_captures, write_captures, write_forwarded
+from netsift.sources.pcap import order_by_number, read_capture_headers, read_captures, stream_captures, write_captures, write_forwarded
 from netsift.sources.rules import load_rules, rules_from_text, save_rules
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
@@ -265,26 +265,32 @@ def idle_split_flows(spark, sf_dir):
     return f.select(*KEY5, "flow_instance", "state", "app_type", "sni", "packets_out")
 
 
+#: Packets of a capture file that a query writes: a capture becomes as many files, and tasks, as it needs.
+FILE_PACKETS = 1 << 14
+
+
 def merged_captures(spark, sf_dir):
-    """Two captures (TCP and UDP packets, written apart) loaded as one table (I6);
-    a flow belongs to its capture, so the breakdown is of both (F9)."""
+    """Two captures (TCP and UDP packets, written apart as rotated files) loaded as
+    one table (I6); a flow belongs to its capture, so the breakdown is of both (F9)."""
     frames = fixture_frames(spark, sf_dir)
     proto = decode(frames).select("capture_id", "packet_no", "protocol")
-    paths = []
+    read = []
     for name, number in (("tcp", 6), ("udp", 17)):
         own = frames.join(proto.where(F.col("protocol") == number), ["capture_id", "packet_no"], "left_semi")
-        paths.append(scratch_path(spark, f"merge-{name}"))
-        write_captures(own.withColumn("capture_id", F.lit(name)), paths[-1], chunk_packets=1 << 40)
-    return Inspection(read_captures(spark, paths), rules_from_text(spark, FIXTURE_RULES_TEXT)).app_breakdown()
+        path = scratch_path(spark, f"merge-{name}")
+        write_captures(own.withColumn("capture_id", F.lit(name)), path, chunk_packets=FILE_PACKETS)
+        read.append(read_captures(spark, path, split_size=256 << 10, capture_id=name))
+    return Inspection(read[0].unionByName(read[1]), rules_from_text(spark, FIXTURE_RULES_TEXT)).app_breakdown()
 
 
 def split_capture_scan(spark, sf_dir):
-    """The fixture written as one capture file and read as ranges of records;
-    ``packet_no`` is the record's index in the file."""
-    path = scratch_path(spark, "one-file")
-    write_captures(fixture_frames(spark, sf_dir), path, chunk_packets=1 << 40)
-    p = admit(decode(read_captures(spark, path, split_size=64 << 10)))
-    return p.select("packet_no", "ts_us", *KEY5, "tcp_flags", "frame_length",
+    """The fixture written as rotated files by many tasks, and each file read as ranges
+    of records found in parallel; ``packet_no`` is the record's index in the capture."""
+    path = scratch_path(spark, "rotated-files")
+    write_captures(fixture_frames(spark, sf_dir), path, chunk_packets=FILE_PACKETS)
+    p = admit(decode(read_captures(spark, path, split_size=64 << 10, capture_id=CAPTURE_ID)))
+    index = F.shiftright("packet_no", 32) * FILE_PACKETS + F.col("packet_no").bitwiseAND(0xFFFFFFFF)
+    return p.select(index.alias("packet_no"), "ts_us", *KEY5, "tcp_flags", "frame_length",
                     F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("payload_sha256"))
 
 
@@ -297,7 +303,7 @@ def _forwarded_capture(spark, sf_dir) -> str:
     """Write the forwarded packets as capture files; returns the folder."""
     path = scratch_path(spark, "forwarded")
     ins = inspection(spark, sf_dir)
-    write_forwarded(ins.raw, ins.verdicts, path, chunk_packets=1 << 14)  # rotated every 16,384 packets
+    write_forwarded(ins.raw, ins.verdicts, path, chunk_packets=FILE_PACKETS)
     return path
 
 
@@ -315,15 +321,13 @@ def capture_headers(spark, sf_dir):
 # --- streaming ------------------------------------------------------------------
 
 def _rotated(spark, sf_dir) -> str:
-    """The fixture capture as about six rotated capture files, each written when
-    the one before is complete, as a capture that rotates does."""
+    """The fixture capture as rotated files of at most FILE_PACKETS packets (at least
+    about six files), written by as many tasks and stamped in capture order."""
     path = scratch_path(spark, "stream-in")
     frames = fixture_frames(spark, sf_dir)
     last = frames.agg(F.max("packet_no")).first()[0] or 0
-    size = last // 6 + 1
-    for n in range(last // size + 1):
-        part = frames.where((F.col("packet_no") >= n * size) & (F.col("packet_no") < (n + 1) * size))
-        write_captures(part, path, chunk_packets=size, mode="append")
+    write_captures(frames, path, chunk_packets=min(FILE_PACKETS, last // 6 + 1))
+    order_by_number(spark, path)
     return path
 
 

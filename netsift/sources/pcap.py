@@ -17,8 +17,8 @@
   file behind. Overwriting removes what was there at commit; appending adds
   files of its own.
 * :func:`read_captures` with ``split_size``: huge files are read as parallel
-  ranges of records. An index pass walks the record headers (seeking over the
-  bodies) and gives each range its exact start and first record number.
+  ranges of records. The index pass is parallel within files too
+  (``record_index``) and gives each range its exact start and first record number.
 * :func:`stream_captures` (A8): a folder receiving rotated capture files, found
   by Spark's own file source, whose log of seen files is in the checkpoint.
 
@@ -59,7 +59,12 @@ def _fs_path(path: str):
 
 
 def list_captures(path: str) -> list[str]:
-    """Capture files under ``path`` (a file, a folder, or a comma list), sorted.
+    """Capture files under ``path`` (a file, a folder, or a comma list), sorted."""
+    return [f for f, _ in sized_captures(path)]
+
+
+def sized_captures(path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of the capture files under ``path``, sorted.
 
     A name that exists as it stands is one path, commas included. A path that
     doesn't exist raises ``FileNotFoundError``; an empty folder has no files."""
@@ -70,18 +75,18 @@ def list_captures(path: str) -> list[str]:
         return filesystem, p, filesystem.get_file_info(p)
 
     whole = info_of(path)[2].type != pafs.FileType.NotFound
-    out: list[str] = []
+    out: list[tuple[str, int]] = []
     for one in [path] if whole else [x.strip() for x in path.split(",")]:
         filesystem, p, info = info_of(one)
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(f"no capture file or folder: {one}")
         if info.type == pafs.FileType.File:
-            out.append(one)
+            out.append((one, info.size))
             continue
         for f in filesystem.get_file_info(pafs.FileSelector(p, recursive=True)):
             inside = f.path[len(p.rstrip("/")):].lstrip("/").split("/")
             if f.type == pafs.FileType.File and not any(x.startswith(("_", ".")) for x in inside):
-                out.append(f.path if "://" not in one else one.rstrip("/") + f.path[len(p.rstrip("/")):])
+                out.append((f.path if "://" not in one else one.rstrip("/") + f.path[len(p.rstrip("/")):], f.size))
     return sorted(out)
 
 
@@ -135,34 +140,6 @@ class CapturePartition(InputPartition):
         self.path, self.capture_id = path, capture_id
 
 
-def _index_file(path: str, split: int):
-    """(start offset, first record number, records) of consecutive ranges of
-    about ``split`` bytes, up to the first bad record. Only headers are read."""
-    filesystem, p = _fs_path(path)
-    with filesystem.open_input_file(p) as f:
-        size = f.size()
-        header = parse_header(f.read(PCAP_GLOBAL_HEADER_LEN))
-        if header is None:
-            return
-        rec = struct.Struct(header.order + "IIII")
-        limit = min(header.snaplen, PCAP_MAX_RECORD_LEN)
-        pos = start = PCAP_GLOBAL_HEADER_LEN
-        no = first = 0
-        while True:
-            f.seek(pos)
-            hb = f.read(PCAP_RECORD_HEADER_LEN)
-            incl = rec.unpack(hb)[2] if len(hb) == PCAP_RECORD_HEADER_LEN else limit + 1
-            end = pos + PCAP_RECORD_HEADER_LEN + incl
-            if incl > limit or end > size:
-                break
-            pos, no = end, no + 1
-            if pos - start >= split:
-                yield start, first, no - first
-                start, first = pos, no
-        if no > first:
-            yield start, first, no - first
-
-
 def _batches(rows):
     """Arrow batches of ``raw_packets`` rows, bounded by rows and bytes."""
     cols: list[list] = [[] for _ in range(7)]
@@ -237,7 +214,7 @@ class PcapReader(DataSourceReader):
         if self.headers_only:
             yield _header_row(partition.path)
         else:
-            yield from _batches(_records(partition.path, partition.capture_id))
+            yield from _batches(_records(partition.path, partition.capture_id, _first_no(partition.path, partition.capture_id)))
 
 
 @dataclass
@@ -337,44 +314,35 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
-def read_captures(spark: SparkSession, path: str | list[str], split_size: int | None = None):
+def read_captures(spark: SparkSession, path: str | list[str], split_size: int | None = None, capture_id: str | None = None):
     """``raw_packets`` of every capture file under ``path`` (A1), or under each of
     several paths (I6): the union of the captures, each under its own id.
 
-    ``split_size`` (bytes): files are first indexed, a task for each, and then
-    read as ranges of about that size, whatever their size; rows are the same."""
+    ``split_size`` (bytes): each file is indexed and read as ranges of that size,
+    by as many tasks as it has ranges; rows are the same. ``capture_id`` names the
+    one capture that the files are parts of; ``packet_no`` then goes on from file to
+    file: the file's number times 2^32, plus the record's index."""
     if not isinstance(path, str):
         from functools import reduce
-        return reduce(lambda a, b: a.unionByName(b), [read_captures(spark, p, split_size) for p in path])
+        return reduce(lambda a, b: a.unionByName(b), [read_captures(spark, p, split_size, capture_id) for p in path])
     register(spark)
     if not split_size:
-        return spark.read.format("pcap").load(path)
+        reader = spark.read.format("pcap")
+        return (reader.option("captureId", capture_id) if capture_id else reader).load(path)
     ranges = capture_index(spark, path, split_size)
     n = max(1, ranges.count())
 
     def read(batches):
         for batch in batches:
             for file, start, first, count in zip(*(c.to_pylist() for c in batch.columns)):
-                yield from _batches(_records(file, None, first, start, count))
+                yield from _batches(_records(file, capture_id, _first_no(file, capture_id) + first, start, count))
     return ranges.repartition(min(n, 100_000)).mapInArrow(read, RAW_PACKETS)
 
 
 def capture_index(spark: SparkSession, path: str, split_size: int):
     """Stored table (file, start, first_no, records) of the ranges of every file."""
-    from netsift.session import scratch_path
-    files = list_captures(path)
-
-    def index(batches):
-        for batch in batches:
-            for file in batch.column(0).to_pylist():
-                rows = list(_index_file(file, split_size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))],
-                    ["file", "start", "first_no", "records"])
-    out = scratch_path(spark, "capture-index")
-    (spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
-     .mapInArrow(index, "file string, start bigint, first_no bigint, records bigint").write.parquet(out))
-    return spark.read.parquet(out)
+    from netsift.sources.record_index import record_ranges
+    return record_ranges(spark, sized_captures(path), split_size)
 
 
 def stream_captures(spark: SparkSession, path: str, capture_id: str | None = None, max_files: int | None = None):
@@ -394,7 +362,7 @@ def stream_captures(spark: SparkSession, path: str, capture_id: str | None = Non
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 file = re.sub(r"^file:/*", "/", file)
-                yield from _batches(_records(file, capture_id, _file_number(file) << 32 if capture_id else 0))
+                yield from _batches(_records(file, capture_id, _first_no(file, capture_id)))
     return r.load(path).select("path").mapInArrow(read, RAW_PACKETS)
 
 
@@ -406,6 +374,11 @@ def _file_number(file: str) -> int:
     return int(digits) % (1 << 31)
 
 
+def _first_no(file: str, capture_id: str | None) -> int:
+    """The number of a file's first record: 0, or where its file stands in the named capture."""
+    return _file_number(file) << 32 if capture_id else 0
+
+
 def read_capture_headers(spark: SparkSession, path: str):
     """One ``captures`` row per file under ``path`` (A2)."""
     register(spark)
@@ -442,6 +415,16 @@ def write_captures(frames, path: str, partitioned: bool = False, chunk_packets:
      .write.format("pcap").mode(mode).save(path))
 
 
+def order_by_number(spark: SparkSession, path: str) -> None:
+    """Stamp the files under ``path`` with times in the order of their numbers, a second
+    apart, so that a file stream takes parts of a capture that many tasks wrote at once
+    in capture order."""
+    from netsift.session import _fs
+    for n, file in enumerate(sorted(list_captures(path), key=_file_number)):
+        filesystem, p = _fs(spark, file)
+        filesystem.setTimes(p, 1_000_000_000_000 + 1000 * n, -1)
+
+
 def write_forwarded(raw, verdicts, path: str, chunk_packets: int = CHUNK_PACKETS) -> None:
     """Forwarded capture (A4) with one shuffle of frame bytes.
 

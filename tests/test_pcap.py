@@ -77,6 +77,69 @@ def test_split_reads_equal_whole_read(spark):
         assert _rows(read_captures(spark, d, split_size=size)) == whole
 
 
+def test_index_of_payloads_full_of_headers(spark, monkeypatch):
+    """Payloads that are captures themselves, runs of zeros and random bytes; both byte
+    orders; files cut everywhere: the record table is that of a walk from the start,
+    for ranges and blocks smaller and larger than a record."""
+    import io
+    import random
+    import struct
+
+    import numpy as np
+
+    from netsift.sources import record_index as X
+    from netsift.sources.pcap import capture_index, iter_records, parse_header
+    rng = random.Random(11)
+
+    def payload():
+        kind = rng.randrange(4)
+        if kind == 0:
+            return bytes(rng.randrange(0, 3000))
+        if kind == 1:  # records within a record, some of which lead to places beyond it
+            return b"".join(struct.pack("<IIII", 9, 9, n := rng.randrange(0, 200), n) + bytes(rng.choice((n, n // 2))) for _ in range(rng.randrange(1, 12)))
+        if kind == 2:
+            return pcap_file([(1, b"x" * rng.randrange(40))] * 5, little=False)
+        return rng.randbytes(rng.randrange(0, 1500))
+    for little in (True, False):
+        whole = pcap_file([(5, payload()) for _ in range(60)], little=little)
+        for blob in (whole, whole[:-7], whole[:40], whole[:24], whole + b"\xff" * 50, whole + struct.pack("<IIII", 0, 0, 65535, 0)):
+            f = io.BytesIO(blob)
+            header = parse_header(f.read(24))
+            want, at = {}, 24
+            for *_, incl, _, data in iter_records(f, header):
+                want[at] = len(want)
+                at += 16 + len(data)
+            for size, block in ((4096, 1 << 20), (997, 100), (1 << 20, 5000)):
+                monkeypatch.setattr(X, "BLOCK", block)
+                chains = {}
+                for low in range(0, len(blob), size):
+                    for a, to, n in zip(*X.range_chains(io.BytesIO(blob), little, 65535, len(blob), low, min(low + size, len(blob)))):
+                        chains[int(a)] = (int(to), int(n))
+                at, no, seen = 24, 0, {}
+                while at in chains:
+                    seen[at] = no
+                    at, no = chains[at][0], no + chains[at][1]
+                assert no == len(want) and all(want[a] == n for a, n in seen.items())
+                assert [a // size for a in seen] == sorted({a // size for a in want})
+    d = tempfile.mkdtemp(prefix="pcap-index-", dir="/tmp")
+    _write(d, "one.pcap", whole)
+    index = capture_index(spark, d, 4096).orderBy("start").collect()
+    assert len(index) > len(whole) / 8192 and sum(r.records for r in index) == len([*iter_records(io.BytesIO(whole[24:]), parse_header(whole))])
+    assert np.cumsum([r.records for r in index])[:-1].tolist() == [r.first_no for r in index][1:]
+    assert _rows(read_captures(spark, d, split_size=4096)) == _rows(read_captures(spark, d))
+
+
+def test_files_of_one_capture(spark):
+    """Rotated files under one id: numbers go on from file to file, split or not."""
+    d = tempfile.mkdtemp(prefix="pcap-one-", dir="/tmp")
+    frames = [("cap", i, 1000 + i, 0, eth(ipv4(tcp(bytes(i % 50))))) for i in range(100)]
+    write_captures(spark.createDataFrame(frames, "capture_id string, packet_no bigint, ts_sec bigint, ts_usec bigint, data binary"), d, chunk_packets=30)
+    for split in (None, 500):
+        rows = read_captures(spark, d, split, "cap").orderBy("packet_no").collect()
+        assert [(r.capture_id, r.packet_no) for r in rows] == [("cap", (i // 30 << 32) + i % 30) for i in range(100)]
+        assert [r.ts_sec for r in rows] == [1000 + i for i in range(100)]
+
+
 def test_names_overwrite_and_append(spark):
     """Captures that share a base name stay apart; overwriting leaves nothing of
     what was there, appending keeps it."""
