@@ -260,6 +260,22 @@ def recent_flows(spark, sf_dir):
     return flowstate.retain_recent_flows(f, 100, KEY5).select(*KEY5, "last_seen_us")
 
 
+def _bounded(spark, sf_dir) -> Inspection:
+    """The fixture inspected with a table of 60 flows, the table found chunk by chunk."""
+    return Inspection(fixture_frames(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT), max_flows=60, table_chunk=1 << 11)
+
+
+def evicting_verdicts(spark, sf_dir):
+    """Verdicts with a flow table of 60 flows: flows pushed out start anew (H4)."""
+    return _bounded(spark, sf_dir).verdicts.select(
+        "packet_no", *KEY5, "flow_instance", "state", "action", "app_type", "sni", "drop_cause", "flow_packets")
+
+
+def evicted_flows(spark, sf_dir):
+    """How often each flow was pushed out of a table of 60 flows and came back."""
+    return _bounded(spark, sf_dir).verdicts.groupBy(*KEY5).agg(F.max("flow_instance").alias("returns"))
+
+
 def idle_split_flows(spark, sf_dir):
     f = inspection(spark, sf_dir, idle_timeout_s=300).flows
     return f.select(*KEY5, "flow_instance", "state", "app_type", "sni", "packets_out")
@@ -501,7 +517,7 @@ QUERIES = {
     "packet_verdicts": packet_verdicts, "split_flow_verdicts": split_flow_verdicts, "tcp_states": tcp_states, "block_events": block_events,
     "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
     "app_breakdown": app_breakdown, "top_domains": top_domains, "top_domains_pages": top_domains_pages, "inspection_metrics": inspection_metrics,
-    "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "merged_captures": merged_captures,
+    "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "evicting_verdicts": evicting_verdicts, "evicted_flows": evicted_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
     "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,
     "reverse_lookup": reverse_lookup,

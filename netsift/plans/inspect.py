@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from netsift.operators import reports
 from netsift.operators.candidates import check_candidates, with_candidates
 from netsift.operators.decode import admit, decode
+from netsift.operators.eviction import CHUNK_PACKETS, with_table_instances
 from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_idle_instances
 from netsift.operators.rules import RuleTables, mark_ip_port, rule_tables
 from netsift.schema import FLOW_KEY
@@ -44,6 +45,14 @@ class Inspection:
     # this take the hot-flow plan (chunks of ``hot_flow_chunk`` or
     # DEFAULT_HOT_CHUNK packet numbers), all others the single sort.
     hot_flow_threshold: int | None = None
+    # A flow table of at most this many flows for each capture: the flow that was
+    # seen longest ago makes room, and starts anew when it comes back (H4).
+    max_flows: int | None = None
+    table_chunk: int = CHUNK_PACKETS
+
+    def __post_init__(self):
+        if self.max_flows and self.idle_timeout_s:
+            raise ValueError("a bounded flow table and an idle timeout can't be combined")
 
     @cached_property
     def tables(self) -> RuleTables:
@@ -51,7 +60,7 @@ class Inspection:
 
     @cached_property
     def key(self) -> list[str]:
-        return list(FLOW_KEY) + (["flow_instance"] if self.idle_timeout_s else [])
+        return list(FLOW_KEY) + (["flow_instance"] if self.idle_timeout_s or self.max_flows else [])
 
     @cached_property
     def packets(self) -> DataFrame:
@@ -66,6 +75,8 @@ class Inspection:
         df = df.select(*FLOW_KEY, *_NARROW)
         if self.idle_timeout_s:
             df = with_idle_instances(df, self.idle_timeout_s)
+        if self.max_flows:
+            df = with_table_instances(df, self.packets, self.max_flows, self.table_chunk)
         return df
 
     @cached_property

@@ -42,7 +42,7 @@ def domain_hit_sql(d: str, exact=EXACT_DOMAINS, rests=PATTERN_RESTS) -> str:
     return f"(COALESCE({d}, '') <> '' AND ({_in(d, exact)} OR {wild}))"
 
 
-def packets_cte(key_extra: str = "", idle_s: int | None = None) -> str:
+def packets_cte(key_extra: str = "", idle_s: int | None = None, max_flows: int | None = None) -> str:
     """CTEs ``fx`` (fixture columns) and ``pk`` (with lengths and candidate)."""
     fx = FIXTURE_SQL.strip()
     cand_route = ("CASE WHEN payload_kind = 'tls' THEN 'TLS' WHEN payload_kind = 'http' THEN 'HTTP' "
@@ -64,7 +64,7 @@ pk AS (
          WHEN cand_route = 'PORT' THEN '' END AS cand_sni,
     CASE WHEN cand_route IN ('TLS', 'HTTP') THEN {host_app_sql('host')} WHEN cand_route = 'DNS' THEN 'DNS'
          WHEN cand_route = 'PORT' AND dest_port = 80 THEN 'HTTP' WHEN cand_route = 'PORT' THEN 'HTTPS' END AS cand_app
-  FROM pk0){_instances(idle_s)}"""
+  FROM pk0){_instances(idle_s)}{_table(max_flows)}"""
 
 
 def _instances(idle_s: int | None) -> str:
@@ -78,6 +78,21 @@ pk_j AS (SELECT * EXCLUDE (gap), CAST(sum(gap) OVER (PARTITION BY {k} ORDER BY p
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS flow_instance FROM pk_i)"""
 
 
+def _table(n: int | None) -> str:
+    """A table of n flows: a flow was pushed out if n others were seen since its last
+    packet, each counted by the first packet it has after that one."""
+    if not n:
+        return ""
+    k = "src_ip, dest_ip, src_port, dest_port, protocol"
+    return f""",
+pk_p AS (SELECT *, lag(packet_no) OVER (PARTITION BY {k} ORDER BY packet_no) AS prev FROM pk),
+pk_o AS (SELECT p.packet_no, count(*) AS others FROM pk_p p JOIN pk_p o
+         ON o.packet_no > p.prev AND o.packet_no < p.packet_no AND coalesce(o.prev, -1) < p.prev GROUP BY p.packet_no),
+pk_j AS (SELECT pk_p.* EXCLUDE (prev), CAST(sum(CASE WHEN coalesce(others, 0) >= {n} THEN 1 ELSE 0 END) OVER (
+           PARTITION BY {k} ORDER BY packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS flow_instance
+         FROM pk_p LEFT JOIN pk_o USING (packet_no))"""
+
+
 def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source: str = "pk") -> str:
     """CTEs ``seq`` and ``walk``: the per-flow sequential state machine.
 
@@ -171,9 +186,9 @@ _PAYLOAD_BLOB = """(CASE payload_kind
 K5 = "src_ip, dest_ip, src_port, dest_port, protocol"
 
 
-def with_walk(body: str, key_extra: str = "", key: str = K5, idle_s: int | None = None) -> str:
-    source = "pk_j" if idle_s else "pk"
-    return f"WITH RECURSIVE {packets_cte(key_extra, idle_s)},{walk_cte(key, source)}\n{body}"
+def with_walk(body: str, key_extra: str = "", key: str = K5, idle_s: int | None = None, max_flows: int | None = None) -> str:
+    source = "pk_j" if idle_s or max_flows else "pk"
+    return f"WITH RECURSIVE {packets_cte(key_extra, idle_s, max_flows)},{walk_cte(key, source)}\n{body}"
 
 
 def with_packets(body: str, key_extra: str = "") -> str:
@@ -313,6 +328,10 @@ def oracle() -> dict[str, str]:
     q["idle_split_flows"] = with_walk(
         f", {_final(K5 + ', flow_instance')}\nSELECT {K5}, flow_instance, state, app_type, sni, packets_out FROM f",
         key=K5 + ", flow_instance", idle_s=300)
+    q["evicting_verdicts"] = with_walk(
+        f"SELECT packet_no, {K5}, flow_instance, state, action, app_type, sni, drop_cause, pos AS flow_packets FROM v",
+        key=K5 + ", flow_instance", max_flows=60)
+    q["evicted_flows"] = f"WITH {packets_cte(max_flows=60)} SELECT {K5}, max(flow_instance) AS returns FROM pk_j GROUP BY ALL"
     q["merged_captures"] = q["app_breakdown"]  # each flow's protocol puts it in one of the two captures
     q["split_capture_scan"] = with_packets(
         f"SELECT row_number() OVER (ORDER BY packet_no) - 1 AS packet_no, ts_us, {K5}, "
