@@ -150,6 +150,40 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     """
     key = list(key or FLOW_KEY)
     sc = _Scan(key, chunk_size)
+    df = epochs(pk, sc)
+    df = sc.apply(df, {"_chain": ("sum", (F.col("_eff") & F.col("_start")).cast("bigint"))})
+    # Layer 4: label in force. Within a chain (segment opened by a candidate on
+    # a start packet) the first blocked effective candidate sticks, else the
+    # latest effective candidate; before any, the initial label. "Blocked"
+    # includes the flow-constant rules (source address, destination port):
+    # such a flow is blocked under any label, so its first label sticks.
+    cand_label = _label(F.col("cand_app"), F.col("cand_sni"), F.col("cand_route"),
+                        F.col("cand_blk"), F.col("cand_reason"))
+    init_reason = F.when(F.lit(unknown_blocked), F.struct(F.lit("APP").alias("type"), F.lit(INIT_APP).alias("detail")))
+    init_label = _label(F.lit(INIT_APP), F.lit(INIT_SNI), F.lit(None).cast("string"),
+                        F.lit(unknown_blocked), init_reason)
+    df = sc.apply(df, {
+        "_fb": ("max", F.when(F.col("_eff") & (F.col("cand_blk") | F.col("_const")),
+                              F.struct(F.col("_chain").alias("chain"), (-F.col("packet_no")).alias("neg_no"),
+                                       cand_label.alias("label")))),
+        "_le": ("last", F.when(F.col("_eff"), cand_label)),
+    })
+    carry = F.coalesce(
+        F.when((F.col("_chain") == 0) & (F.lit(unknown_blocked) | F.col("_const")), init_label),
+        F.when(F.col("_fb.chain") == F.col("_chain"), F.col("_fb.label")),
+        F.col("_le"),
+        init_label,
+    )
+    df = df.withColumn("_carry", carry)
+    creason = const_reason(F.col("ip_hit"), F.col("port_hit"), F.col("src_ip"), F.col("dest_port"))
+    df = df.withColumn("_drop", creason.isNotNull() | F.col("_carry.blk"))
+    return verdict_rows(df, sc, F.coalesce(creason, F.col("_carry.reason")))
+
+
+def epochs(pk: DataFrame, sc: _Scan) -> DataFrame:
+    """Packets with their flow's running values and the epoch they are in: a flow's
+    closing packets open epochs, and the first candidate of an epoch (``_eff``) is the
+    only one of it that can label the flow."""
     tcp = F.col("protocol") == 6
     flags = F.col("tcp_flags")
     s_, a_, f_, r_ = (tcp & has_flag(flags, b) for b in (SYN, ACK, FIN, RST))
@@ -184,34 +218,14 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     })
     # Layer 3: the first candidate of each epoch is the only one that can label.
     eff = F.col("_hc") & ((F.col("_ccount") - F.col("_epoch_base")) == 1)
-    df = df.withColumn("_eff", eff)
-    df = sc.apply(df, {"_chain": ("sum", (F.col("_eff") & F.col("_start")).cast("bigint"))})
-    # Layer 4: label in force. Within a chain (segment opened by a candidate on
-    # a start packet) the first blocked effective candidate sticks, else the
-    # latest effective candidate; before any, the initial label. "Blocked"
-    # includes the flow-constant rules (source address, destination port):
-    # such a flow is blocked under any label, so its first label sticks.
-    cand_label = _label(F.col("cand_app"), F.col("cand_sni"), F.col("cand_route"),
-                        F.col("cand_blk"), F.col("cand_reason"))
-    init_reason = F.when(F.lit(unknown_blocked), F.struct(F.lit("APP").alias("type"), F.lit(INIT_APP).alias("detail")))
-    init_label = _label(F.lit(INIT_APP), F.lit(INIT_SNI), F.lit(None).cast("string"),
-                        F.lit(unknown_blocked), init_reason)
-    df = sc.apply(df, {
-        "_fb": ("max", F.when(F.col("_eff") & (F.col("cand_blk") | F.col("_const")),
-                              F.struct(F.col("_chain").alias("chain"), (-F.col("packet_no")).alias("neg_no"),
-                                       cand_label.alias("label")))),
-        "_le": ("last", F.when(F.col("_eff"), cand_label)),
-    })
-    carry = F.coalesce(
-        F.when((F.col("_chain") == 0) & (F.lit(unknown_blocked) | F.col("_const")), init_label),
-        F.when(F.col("_fb.chain") == F.col("_chain"), F.col("_fb.label")),
-        F.col("_le"),
-        init_label,
-    )
-    df = df.withColumn("_carry", carry)
-    # Layer 5: drop decision and the transitions it implies.
-    creason = const_reason(F.col("ip_hit"), F.col("port_hit"), F.col("src_ip"), F.col("dest_port"))
-    df = df.withColumn("_drop", creason.isNotNull() | F.col("_carry.blk"))
+    return df.withColumn("_eff", eff)
+
+
+def verdict_rows(df: DataFrame, sc: _Scan, reason: Column) -> DataFrame:
+    """The rows of ``packet_verdicts`` from the label in force (``_carry``) and whether
+    the flow is blocked (``_drop``) at each packet; ``reason`` counts where it is."""
+    key, no = sc.key, F.lit(False)
+    # Layer 5: the transitions that drop decisions imply.
     df = sc.apply(df, {"_prev0": ("lag", F.col("_drop"))})
     df = df.withColumn("_prev", F.coalesce(F.col("_prev0"), no))
     fresh = F.col("_start") | ~F.col("_prev")
@@ -238,7 +252,7 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
         F.when(F.col("_drop"), "DROP").otherwise("FORWARD").alias("action"),
         F.col("_carry.app").alias("app_type"),
         F.col("_carry.sni").alias("sni"),
-        F.when(F.col("_drop"), F.coalesce(creason, F.col("_carry.reason"))).alias("block_reason"),
+        F.when(F.col("_drop"), reason).alias("block_reason"),
         F.when(F.col("rule_block"), "RULE").when(F.col("_drop"), "STATE").alias("drop_cause"),
         "assigned", "rule_block",
         inspected.alias("inspected"),

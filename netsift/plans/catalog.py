@@ -276,6 +276,40 @@ def evicted_flows(spark, sf_dir):
     return _bounded(spark, sf_dir).verdicts.groupBy(*KEY5).agg(F.max("flow_instance").alias("returns"))
 
 
+#: Changes of the fixture's rules: seconds after the capture's first packet, op, kind and value.
+RULE_CHANGES = [
+    (400_000, "add", "DOMAIN", "mail.google.com"), (400_000, "remove", "DOMAIN", "www.youtube.com"),
+    (800_000, "add", "IP", "10.0.0.9"), (800_000, "add", "APP", "Twitter/X"), (900_000, "remove", "DOMAIN", "*.ads.example.org"),
+    (1_200_000, "remove", "APP", "GitHub"), (1_200_000, "add", "PORT", "8080"), (1_500_000, "add", "APP", "Unknown"),
+    (1_600_000, "remove", "APP", "Unknown"), (1_700_000, "add", "DOMAIN", "www.youtube.com"), (1_800_000, "remove", "PORT", "8080"),
+    (2_100_000, "remove", "IP", "10.0.0.5"), (2_100_000, "add", "DOMAIN", "*.example.net")]
+
+
+def rule_changes(spark, sf_dir) -> DataFrame:
+    """RULE_CHANGES in the capture's own time."""
+    start = _packets(spark, sf_dir).agg(F.min("ts_us")).first()[0] or 0
+    return spark.createDataFrame([(start + s * 1_000_000, *c) for s, *c in RULE_CHANGES],
+                                 "valid_from_us bigint, op string, rule_type string, value string")
+
+
+def _versioned(spark, sf_dir) -> Inspection:
+    return Inspection(fixture_frames(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT), rule_changes=rule_changes(spark, sf_dir))
+
+
+def versioned_rule_verdicts(spark, sf_dir):
+    """Verdicts under rules that are added and removed while the capture runs."""
+    return _versioned(spark, sf_dir).verdicts.select(
+        "packet_no", *KEY5, "state", "action", "app_type", "sni", "drop_cause",
+        F.col("block_reason.type").alias("reason_type"), F.col("block_reason.detail").alias("reason_detail"))
+
+
+def versioned_rule_spans(spark, sf_dir):
+    """From which to which version of the rules each value was one."""
+    from netsift.operators.versions import rule_versions
+    rv = rule_versions(data_rules(spark, sf_dir), rule_changes(spark, sf_dir))
+    return rv.spans.select("rule_type", "value", F.explode("spans").alias("s")).select("rule_type", "value", "s.lo", "s.hi")
+
+
 def idle_split_flows(spark, sf_dir):
     f = inspection(spark, sf_dir, idle_timeout_s=300).flows
     return f.select(*KEY5, "flow_instance", "state", "app_type", "sni", "packets_out")
@@ -352,13 +386,14 @@ def _capture_stream(spark, sf_dir, max_files: int = 3):
     return stream_captures(spark, _rotated(spark, sf_dir), CAPTURE_ID, max_files)
 
 
-def _stream_verdicts(spark, sf_dir, idle_timeout_s=None):
+def _stream_verdicts(spark, sf_dir, idle_timeout_s=None, rule_changes=None):
     """Verdicts of the streaming operator; the query is stopped after its first
     batches and started again from its checkpoint."""
     from netsift.streaming.stateful import stream_verdicts as verdict_stream
     src, out, ck = _rotated(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     for wait in (0, None):
-        v = verdict_stream(stream_captures(spark, src, CAPTURE_ID, 2), rules_from_text(spark, FIXTURE_RULES_TEXT), idle_timeout_s)
+        v = verdict_stream(stream_captures(spark, src, CAPTURE_ID, 2), rules_from_text(spark, FIXTURE_RULES_TEXT), idle_timeout_s,
+                          rule_changes=rule_changes)
         q = v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").start()
         if wait is None:
             q.processAllAvailable()
@@ -375,6 +410,12 @@ def stream_verdicts(spark, sf_dir):
         "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "reason_type", "reason_detail")
 
 
+def stream_versioned_rules(spark, sf_dir):
+    """Streamed verdicts under rules that change while the capture runs (J6), over a restart."""
+    return _stream_verdicts(spark, sf_dir, rule_changes=rule_changes(spark, sf_dir)).select(
+        "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "reason_type", "reason_detail")
+
+
 def stream_idle_flows(spark, sf_dir):
     """Verdicts with an idle timeout of 300 s of capture time (J2), streamed."""
     return _stream_verdicts(spark, sf_dir, 300).select(
@@ -517,7 +558,9 @@ QUERIES = {
     "packet_verdicts": packet_verdicts, "split_flow_verdicts": split_flow_verdicts, "tcp_states": tcp_states, "block_events": block_events,
     "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
     "app_breakdown": app_breakdown, "top_domains": top_domains, "top_domains_pages": top_domains_pages, "inspection_metrics": inspection_metrics,
-    "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "evicting_verdicts": evicting_verdicts, "evicted_flows": evicted_flows, "merged_captures": merged_captures,
+    "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "evicting_verdicts": evicting_verdicts, "evicted_flows": evicted_flows,
+    "versioned_rule_verdicts": versioned_rule_verdicts, "versioned_rule_spans": versioned_rule_spans,
+    "stream_versioned_rules": stream_versioned_rules, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
     "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,
     "reverse_lookup": reverse_lookup,

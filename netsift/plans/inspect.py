@@ -21,6 +21,7 @@ from netsift.operators.decode import admit, decode
 from netsift.operators.eviction import CHUNK_PACKETS, with_table_instances
 from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_idle_instances
 from netsift.operators.rules import RuleTables, mark_ip_port, rule_tables
+from netsift.operators.versions import versioned_verdicts
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
 
@@ -50,9 +51,15 @@ class Inspection:
     max_flows: int | None = None
     table_chunk: int = CHUNK_PACKETS
 
+    # Rules that change in the course of the capture (J6): rows (valid_from_us, op, rule_type,
+    # value); ``rules`` are those of the beginning.
+    rule_changes: DataFrame | None = None
+
     def __post_init__(self):
         if self.max_flows and self.idle_timeout_s:
             raise ValueError("a bounded flow table and an idle timeout can't be combined")
+        if self.rule_changes is not None and (self.max_flows or self.idle_timeout_s or self.hot_flow_threshold):
+            raise ValueError("changing rules go with whole flows, in one plan")
 
     @cached_property
     def tables(self) -> RuleTables:
@@ -93,6 +100,8 @@ class Inspection:
 
     @cached_property
     def verdicts(self) -> DataFrame:
+        if self.rule_changes is not None:
+            return versioned_verdicts(self.packets, self.rules, self.rule_changes, self.key, self.hot_flow_chunk)
         rows, unknown, key = self.labelled, self.tables.unknown_blocked, self.key
         if self.hot_flow_threshold is None:
             return packet_verdicts(rows, unknown, key, self.hot_flow_chunk)

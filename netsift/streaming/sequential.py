@@ -9,7 +9,7 @@ independent check of the batch window form.
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import cloudpickle
 
@@ -32,7 +32,8 @@ class FlowState:
     bytes: int = 0
     first_ts: int | None = None
     last_ts: int | None = None
-    counters: dict = field(default_factory=dict)
+    spans: str | None = None            # under changing rules: when the label is blocked,
+    block_reason: tuple | None = None   # and what the flow was blocked for
 
 
 @dataclass

@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -32,7 +33,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from netsift.operators import reports
 from netsift.operators.candidates import check_candidates, with_candidates
 from netsift.operators.decode import admit, decode
-from netsift.operators.rules import mark_ip_port, rule_tables
+from netsift.operators.rules import const_reason, mark_ip_port, rule_tables
+from netsift.operators.versions import APP_KIND, rule_versions, versioned_packets
 from netsift.schema import FLOW_KEY, RULE_SECTIONS
 from netsift.streaming.sequential import FlowState, rules_from_rows, step_flags
 
@@ -42,7 +44,9 @@ _S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 
 STATE_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("state", _S), ("app", _S), ("sni", _S), ("label_blk", _B), ("reason_type", _S), ("reason_detail", _S),
-    ("syn", _B), ("syn_ack", _B), ("fin", _B), ("packets", _L), ("bytes", _L), ("first_ts", _L), ("last_ts", _L))])
+    ("syn", _B), ("syn_ack", _B), ("fin", _B), ("packets", _L), ("bytes", _L), ("first_ts", _L), ("last_ts", _L),
+    # Under changing rules: the label's spans of versions, and what the flow was blocked for.
+    ("spans", _S), ("block_type", _S), ("block_detail", _S))])
 
 KEY_FIELDS = [("capture_id", _S), ("src_ip", _S), ("dest_ip", _S), ("src_port", _I), ("dest_port", _I),
               ("protocol", _I)]
@@ -54,8 +58,9 @@ OUTPUT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in KEY_FIELDS + VERDI
 
 def _load(state: GroupState, unknown_blocked: bool) -> FlowState:
     if state.exists:
-        (s, app, sni, blk, rt, rd, syn, sa, fin, pk, by, f, l) = state.get
-        return FlowState(s, app, sni, blk, None if rt is None else (rt, rd), syn, sa, fin, pk, by, f, l)
+        (s, app, sni, blk, rt, rd, syn, sa, fin, pk, by, f, l, spans, bt, bd) = state.get
+        return FlowState(s, app, sni, blk, None if rt is None else (rt, rd), syn, sa, fin, pk, by, f, l,
+                         spans, None if bt is None else (bt, bd))
     return _fresh(unknown_blocked)
 
 
@@ -67,9 +72,15 @@ def _fresh(unknown_blocked: bool) -> FlowState:
 
 
 def _save(st: FlowState) -> tuple:
-    rt, rd = st.label_reason if st.label_reason else (None, None)
+    (rt, rd), (bt, bd) = st.label_reason or (None, None), st.block_reason or (None, None)
     return (st.state, st.app, st.sni, st.label_blk, rt, rd, st.syn, st.syn_ack, st.fin, st.packets, st.bytes,
-            st.first_ts, st.last_ts)
+            st.first_ts, st.last_ts, st.spans, bt, bd)
+
+
+def spans_reason(spans: str | None, version: int, app: str, sni: str):
+    """Why a label with these spans (as JSON) is blocked in a version of the rules; None if it isn't."""
+    kinds = [s["kind"] for s in json.loads(spans or "[]") if s["lo"] <= version < s["hi"]]
+    return None if not kinds else ("APP", app) if min(kinds) == APP_KIND else ("DOMAIN", sni)
 
 
 #: Rules of the micro-batch's task at hand: (task attempt, path) and the sets.
@@ -99,10 +110,11 @@ def _live_rules(path: str):
 
 
 def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: int | None = None,
-                  live_rules: str | None = None) -> Callable:
+                  live_rules: str | None = None, first_spans: str | None = None) -> Callable:
     """The per-flow function for ``applyInPandasWithState``. With ``live_rules``,
     each packet is checked against the rules that path holds when its batch runs,
-    and so is the label its flow got in an earlier batch."""
+    and so is the label its flow got in an earlier batch. With ``first_spans`` (those
+    of the initial label), against the rules of its own time."""
     idle_us = None if idle_timeout_s is None else idle_timeout_s * 1_000_000
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -128,7 +140,20 @@ def flow_state_fn(unknown_blocked: bool, idle_timeout_s: int | None, retain_s: i
                 if st.state != "BLOCKED":  # what is blocked keeps its reason
                     st.label_reason = now.reason("\0", -1, st.app, st.sni)
                     st.label_blk = st.label_reason is not None
+            if first_spans is not None:
+                version = int(r.version)
+                pkt["cand_reason"] = spans_reason(r.cand_spans, version, r.cand_app, r.cand_sni)
+                st.spans = first_spans if st.spans is None else st.spans
+                st.label_reason = spans_reason(st.spans, version, st.app, st.sni)
+                st.label_blk = st.label_reason is not None
             v = step_flags(st, pkt)
+            if first_spans is not None:
+                if v["assigned"]:
+                    st.spans = r.cand_spans
+                if v["drop_cause"] == "RULE":
+                    st.block_reason = v["reason"]
+                elif v["drop_cause"] == "STATE":
+                    v["reason"] = st.block_reason
             reason = v["reason"] or (None, None)
             out.append((*key, int(r.packet_no), int(r.ts_us), int(r.frame_length), v["state"], v["action"],
                         v["app_type"], v["sni"], v["drop_cause"], reason[0], reason[1], v["assigned"],
@@ -155,17 +180,36 @@ def labelled_stream(raw: DataFrame, rules: DataFrame) -> tuple[DataFrame, bool]:
     return df, rt.unknown_blocked
 
 
-def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None = None,
-                    retain_s: int | None = None, live_rules: str | None = None) -> DataFrame:
+def versioned_stream(raw: DataFrame, rules: DataFrame, changes: DataFrame) -> tuple[DataFrame, str]:
+    """Labelled rows of a stream with the version of the rules at each packet's time."""
+    rv = rule_versions(rules, changes)
+    df = versioned_packets(admit(decode(raw, keep_data=False)), rv)
+    const = const_reason(F.col("ip_hit"), F.col("port_hit"), F.col("src_ip"), F.col("dest_port"))
+    none = F.lit(None).cast("string")
+    df = df.select(*FLOW_KEY, "packet_no", "ts", "ts_us", "frame_length", "payload_length", "tcp_flags", "cand_app", "cand_sni", "cand_route",
+                   const["type"].alias("const_type"), const["detail"].alias("const_detail"), none.alias("cand_type"), none.alias("cand_detail"),
+                   "version", F.to_json("cand_spans").alias("cand_spans"))
+    return df, json.dumps([dict(zip(("lo", "hi", "kind"), s)) for s in rv.initial])
+
+
+def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None = None, retain_s: int | None = None,
+                    live_rules: str | None = None, rule_changes: DataFrame | None = None) -> DataFrame:
     """Streaming packet verdicts (J1): one output row per packet, append mode.
 
+    ``rule_changes`` (valid_from_us, op, rule_type, value): rules that are added to
+    ``rules`` or removed at those times of the capture, as in batch (J6).
+
     ``live_rules``: path of rules files that may change while the stream runs
     (J6); each task reads them anew, so an edit holds from the next batch on, for
     labels that flows already have as well. ``rules`` isn't used then."""
-    df, unknown_blocked = labelled_stream(raw, rules)
+    first_spans = None
+    if rule_changes is not None:
+        (df, first_spans), unknown_blocked = versioned_stream(raw, rules, rule_changes), False
+    else:
+        df, unknown_blocked = labelled_stream(raw, rules)
     timeout = GroupStateTimeout.NoTimeout if retain_s is None else GroupStateTimeout.ProcessingTimeTimeout
     return df.groupBy(*FLOW_KEY).applyInPandasWithState(
-        flow_state_fn(unknown_blocked, idle_timeout_s, retain_s, live_rules), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        flow_state_fn(unknown_blocked, idle_timeout_s, retain_s, live_rules, first_spans), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def on_verdicts(verdicts: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):

@@ -8,6 +8,7 @@ the window form the Spark side uses.
 
 from __future__ import annotations
 
+from netsift.plans.catalog import RULE_CHANGES
 from netsift.plans.fixture import FIXTURE_SQL, URL_HOST_RX
 from netsift.schema import HOST_KEYWORDS
 
@@ -93,8 +94,38 @@ pk_j AS (SELECT pk_p.* EXCLUDE (prev), CAST(sum(CASE WHEN coalesce(others, 0) >=
          FROM pk_p LEFT JOIN pk_o USING (packet_no))"""
 
 
-def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source: str = "pk") -> str:
-    """CTEs ``seq`` and ``walk``: the per-flow sequential state machine.
+def fixed_rules(app: str, sni: str) -> list[tuple[str, str, str]]:
+    """(kind, detail, predicate) of the fixture's rules, in the order they are checked."""
+    return [("IP", "src_ip", _in("src_ip", IP_RULES)), ("PORT", "CAST(dest_port AS VARCHAR)", _in("dest_port", PORT_RULES)),
+            ("APP", app, _in(app, APP_RULES)), ("DOMAIN", sni, domain_hit_sql(sni))]
+
+
+def changing_rules(app: str, sni: str) -> list[tuple[str, str, str]]:
+    """The same under RULE_CHANGES: each value with the seconds of the capture in which it is a rule."""
+    first = [("IP", v) for v in IP_RULES] + [("APP", v) for v in APP_RULES] + [("DOMAIN", v) for v in EXACT_DOMAINS] + [("DOMAIN", f"*.{r}") for r in PATTERN_RESTS]
+    spans = {rule: [[None, None]] for rule in first}
+    for s, op, kind, value in RULE_CHANGES:
+        mine = spans.setdefault((kind, value), [])
+        if op == "add" and not (mine and mine[-1][1] is None):
+            mine.append([s, None])
+        elif op == "remove" and mine and mine[-1][1] is None:
+            mine[-1][1] = s
+    out = {"IP": [], "PORT": [], "APP": [], "DOMAIN": []}
+    for (kind, value), times in spans.items():
+        same = {"IP": f"src_ip = '{value}'", "PORT": f"dest_port = {value}" if kind == "PORT" else "", "APP": f"{app} = '{value}'",
+                "DOMAIN": domain_hit_sql(sni, (), (value[2:],)) if value.startswith("*.") else f"{sni} = '{value}'"}[kind]
+        for lo, hi in times:
+            out[kind].append(f"({same}" + (f" AND rel_us >= {lo}000000" if lo is not None else "") + (f" AND rel_us < {hi}000000" if hi is not None else "") + ")")
+    detail = {"IP": "src_ip", "PORT": "CAST(dest_port AS VARCHAR)", "APP": app, "DOMAIN": sni}
+    return [(k, detail[k], "(" + (" OR ".join(p) or "FALSE") + ")") for k, p in out.items()]
+
+
+REL_US = ",\n    epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM fx) AS rel_us"
+
+
+def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source: str = "pk", changing: bool = False) -> str:
+    """CTEs ``seq`` and ``walk``: the per-flow sequential state machine. Under
+    changing rules a blocked flow keeps the reason it was blocked for.
 
     ``walk`` has one row per packet (pos >= 1) with the flow state after it.
     """
@@ -106,6 +137,12 @@ def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source
     S = f"({tcp} AND (n.tcp_flags & 2) <> 0)"
     Fn = f"({tcp} AND (n.tcp_flags & 1) <> 0)"
     R = f"({tcp} AND (n.tcp_flags & 4) <> 0)"
+    rules = (changing_rules if changing else fixed_rules)("app2", "sni2")
+    kept = "WHEN blocked_now THEN {} " if changing else ""
+    kind_of = " ".join(f"WHEN {hit} THEN '{kind}'" for kind, _, hit in rules)
+    detail_of = " ".join(f"WHEN {hit} THEN {detail}" for _, detail, hit in rules)
+    any_hit = " OR ".join(hit for _, _, hit in rules)
+    rel = "n.rel_us" if changing else "0 AS rel_us"
     return f"""
 seq AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY packet_no) AS pos FROM {source}),
 walk AS (
@@ -129,16 +166,9 @@ walk AS (
          flow_bytes, ts_us, frame_length, cand_app
   FROM (
     SELECT *,
-      CASE WHEN {_in('src_ip', IP_RULES)} THEN 'IP'
-           WHEN {_in('dest_port', PORT_RULES)} THEN 'PORT'
-           WHEN {_in('app2', APP_RULES)} THEN 'APP'
-           WHEN {domain_hit_sql('sni2')} THEN 'DOMAIN' END AS rtype,
-      CASE WHEN {_in('src_ip', IP_RULES)} THEN src_ip
-           WHEN {_in('dest_port', PORT_RULES)} THEN CAST(dest_port AS VARCHAR)
-           WHEN {_in('app2', APP_RULES)} THEN app2
-           WHEN {domain_hit_sql('sni2')} THEN sni2 END AS rdetail,
-      (NOT blocked_now AND ({_in('src_ip', IP_RULES)} OR {_in('dest_port', PORT_RULES)}
-        OR {_in('app2', APP_RULES)} OR {domain_hit_sql('sni2')})) AS rule_hit
+      CASE {kept.format('prev_rt')}{kind_of} END AS rtype,
+      CASE {kept.format('prev_rd')}{detail_of} END AS rdetail,
+      (NOT blocked_now AND ({any_hit})) AS rule_hit
     FROM (
       SELECT *,
         CASE WHEN assign THEN 'CLASSIFIED' ELSE s1 END AS s2,
@@ -154,7 +184,7 @@ walk AS (
             (s1 <> 'BLOCKED' AND s1 <> 'CLASSIFIED' AND payload_length > 0) AS inspect
           FROM (
             SELECT {wk}, n.pos, n.packet_no, n.payload_length, n.cand_route, n.cand_app, n.cand_sni,
-              w.app_type AS prev_app, w.sni AS prev_sni,
+              w.app_type AS prev_app, w.sni AS prev_sni, w.reason_type AS prev_rt, w.reason_detail AS prev_rd, {rel},
               w.syn OR ({S} AND NOT {A}) AS syn,
               w.sa OR ({S} AND {A}) AS sa,
               w.fin OR {Fn} AS fin,
@@ -186,9 +216,10 @@ _PAYLOAD_BLOB = """(CASE payload_kind
 K5 = "src_ip, dest_ip, src_port, dest_port, protocol"
 
 
-def with_walk(body: str, key_extra: str = "", key: str = K5, idle_s: int | None = None, max_flows: int | None = None) -> str:
+def with_walk(body: str, key_extra: str = "", key: str = K5, idle_s: int | None = None, max_flows: int | None = None,
+              changing: bool = False) -> str:
     source = "pk_j" if idle_s or max_flows else "pk"
-    return f"WITH RECURSIVE {packets_cte(key_extra, idle_s, max_flows)},{walk_cte(key, source)}\n{body}"
+    return f"WITH RECURSIVE {packets_cte(key_extra, idle_s, max_flows)},{walk_cte(key, source, changing)}\n{body}"
 
 
 def with_packets(body: str, key_extra: str = "") -> str:
@@ -331,6 +362,12 @@ def oracle() -> dict[str, str]:
     q["evicting_verdicts"] = with_walk(
         f"SELECT packet_no, {K5}, flow_instance, state, action, app_type, sni, drop_cause, pos AS flow_packets FROM v",
         key=K5 + ", flow_instance", max_flows=60)
+    q["versioned_rule_verdicts"] = with_walk(
+        f"SELECT packet_no, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v",
+        key_extra=REL_US, changing=True)
+    q["stream_versioned_rules"] = with_walk(
+        f"SELECT ts_us, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v",
+        key_extra=REL_US, changing=True)
     q["evicted_flows"] = f"WITH {packets_cte(max_flows=60)} SELECT {K5}, max(flow_instance) AS returns FROM pk_j GROUP BY ALL"
     q["merged_captures"] = q["app_breakdown"]  # each flow's protocol puts it in one of the two captures
     q["split_capture_scan"] = with_packets(
@@ -388,6 +425,14 @@ def oracle() -> dict[str, str]:
     q["rules_remove"] = (f"SELECT * FROM ({dr}) d WHERE NOT (d.rule_type = 'DOMAIN' AND (d.value = 'www.facebook.com' "
                          "OR d.value IN (SELECT regexp_extract(url, '" + URL_HOST_RX + "', 1) FROM pages "
                          "WHERE starts_with(url, 'https:'))))")
+    change = ", ".join(f"({s}, {op == 'add'}, '{k}', '{v}')" for s, op, k, v in RULE_CHANGES)
+    q["versioned_rule_spans"] = (
+        f"WITH c AS (SELECT * FROM (VALUES {change}) AS t(at_s, is_on, rule_type, value)), "
+        "n AS (SELECT at_s, row_number() OVER (ORDER BY at_s)::INTEGER AS version FROM (SELECT DISTINCT at_s FROM c)), "
+        f"e AS (SELECT rule_type, value, 0 AS version, TRUE AS is_on FROM ({dr}) UNION ALL SELECT rule_type, value, version, is_on FROM c JOIN n USING (at_s)), "
+        "t AS (SELECT *, coalesce(lag(is_on) OVER w, FALSE) AS was FROM e WINDOW w AS (PARTITION BY rule_type, value ORDER BY version)), "
+        "s AS (SELECT *, lead(version) OVER (PARTITION BY rule_type, value ORDER BY version) AS nxt FROM t WHERE is_on <> was) "
+        "SELECT rule_type, value, version AS lo, coalesce(nxt, (SELECT count(*) FROM n) + 1)::INTEGER AS hi FROM s WHERE is_on")
     q["rules_list"] = f"SELECT value, is_pattern FROM ({dr}) WHERE rule_type = 'DOMAIN'"
     q["rules_roundtrip"] = dr
     return q
