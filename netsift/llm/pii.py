@@ -24,7 +24,8 @@ ten digits are a phone number in one piece or parted after the area code, or
 by a dot or dash after the exchange.
 
 Defined results: a null text stays null, an empty one empty; values are found
-in whole texts; repeated rows give repeated rows.
+in whole texts, of any length, in time that grows with the length (runs of
+letters without @ and tables of numbers too); repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ LOCAL = (rf"\({_N}\)[ .-]?{_N}[ .-]?\d{{4}}(?!\d)|(?<!\d)(?<!\d[.-])(?:1[ .-])?{
          rf"|(?<![A-Za-z0-9_])(?<!\d[.-])1?{_N}{_N}\d{{4}}(?![A-Za-z0-9_]|[.-]\d)")
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d]|[./-]\d)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: From where a run of such characters begins, or a found value ended within it; possessive: a run is read once.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: Digit groups of 13 digits or more; possessive, as Java then takes long runs in a loop.
 RUN = rf"(?<!\d)(?<!\d\.)(?!\d+\.\d)\d(?:\d|[ -](?!\d+\.\d|{DATE}|{LOCAL})\d){{12,}}+"
 #: Single values with nothing beside them; FIND is what texts are searched for.
@@ -127,24 +129,43 @@ def _card(key: str, v: Column) -> Column:
 
 
 def _cards(key: str, run: Column) -> Column:
-    """A run of digit groups as parts: its cards, and the other groups as they are."""
+    """A run of digit groups as parts: its cards, and the other groups as they are.
+    Every group first knows how many groups the card that starts with it has; the
+    parts are those met from the first group on, which doubled jumps give."""
     def go(groups):  # each with the blank or dash behind it
-        def step(s, i):
-            def raw(n):
-                return F.array_join(F.slice(groups, i + 1, n), "")
-            sizes = F.sequence(F.least(F.size(groups) - i, F.lit(19)), F.lit(1), F.lit(-1))
-            n = F.get(F.filter(sizes, lambda n: _let(_digits(raw(n)), lambda d: (
-                F.length(d).between(13, 19) & ((n == F.size(groups)) | raw(n).rlike(r"^(?:\d{4,}[ -])*\d+[ -]?$")) & (_luhn_sum(d, 1) % 10 == 0)))), F.lit(0))
-
-            def card(n):
-                value = F.regexp_replace(raw(n), "[ -]$", "")
-                return F.struct(F.concat(s["out"], F.array(_let(value, lambda x: _part(
-                    x, _card(key, x), F.substr(raw(n), F.length(x) + 1))))).alias("out"), (i + n).alias("next"))
+        def raw(i, n):
+            return F.array_join(F.slice(groups, i + 1, n), "")
+
+        def passes(i, n):
+            return _let(_digits(raw(i, n)), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0))
+
+        def size_of(g, i):
+            # Groups of four digits or more but for the last: five of them hold at most 19 digits.
+            sizes = F.sequence(F.least(F.size(groups) - i, F.lit(5)), F.lit(1), F.lit(-1))
+            some = F.get(F.filter(sizes, lambda n: raw(i, n).rlike(r"^(?:\d{4,}[ -])*\d+[ -]?$") & passes(i, n)), F.lit(0))
+            whole = (i == 0) & (F.size(groups) <= 19) & passes(i, F.size(groups))
+            return F.when(whole, F.size(groups)).when(g.rlike(r"^\d{4}"), some)
+
+        def part(i, n):
+            def card(text):
+                value = F.regexp_replace(text, "[ -]$", "")
+                return _let(value, lambda x: _part(x, _card(key, x), F.substr(text, F.length(x) + 1)))
             group = F.get(groups, i)
-            one = F.struct(F.concat(s["out"], F.array(_part(group, group, F.lit("")))).alias("out"), (i + 1).alias("next"))
-            return F.when(i < s["next"], s).otherwise(_let(n, lambda n: F.when(n.isNull(), one).otherwise(card(n))))
-        start = F.struct(F.array().cast(PARTS).alias("out"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["out"])
+            return F.when(n.isNull(), _part(group, group, F.lit(""))).otherwise(_let(raw(i, n), card))
+
+        def chosen(sizes):
+            end = F.size(groups)
+            start = F.struct(F.transform(sizes, lambda n, i: F.least(i + F.coalesce(n, F.lit(1)), end)).alias("jump"),
+                             F.array(F.lit(0)).alias("met"))
+
+            def doubled(s, _):
+                far = lambda i: F.coalesce(F.get(s["jump"], i), end)
+                return F.struct(F.transform(s["jump"], far).alias("jump"),
+                                F.concat(s["met"], F.filter(F.transform(s["met"], far), lambda i: i < end)).alias("met"))
+            rounds = F.ceil(F.log2(end.cast("double"))).cast("int") + 1
+            met = F.aggregate(F.sequence(F.lit(1), rounds), start, doubled, lambda s: s["met"])
+            return F.transform(met, lambda i: part(i, F.get(sizes, i)))
+        return _let(F.transform(groups, size_of), chosen)
     return _let(F.regexp_extract_all(run, F.lit(r"(\d+[ -]?)"), 1), go)
 
 
