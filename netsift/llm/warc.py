@@ -2,7 +2,8 @@
 
 Writing: a record's text is built in SQL and the writer ends each with the two
 line ends that close a WARC record, so archives are plain (not compressed) WARC
-files on any store, under Spark's commit. Pages with equal payloads of at least
+files on any store, under Spark's commit. A response record is an HTTP message,
+whose body is the payload; a revisit names its profile and has no block. Pages with equal payloads of at least
 ``MIN_REVISIT`` bytes are written once, as the response with the smallest
 page_id; the others are revisits that refer to it.
 
@@ -16,7 +17,10 @@ range then reads its reachable records, payloads included.
 
 Defined results: null html is an empty payload; a null page_id or url leaves its
 header out (read as null); line ends in a url are written as %0D and %0A; equal
-page_ids with equal payloads: one is the response, the others revisit it. A file
+page_ids with equal payloads: one is the response, the others revisit it. A url
+of more than MAX_URL bytes leaves its header out; a record whose header has more
+than MAX_HEADER bytes isn't read. Payloads may hold anything, magics included: a
+candidate's header is read to its first line that isn't one. A file
 that is cut or damaged gives the records up to there. An empty folder or table
 gives no rows.
 """
@@ -36,6 +40,9 @@ MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 MIN_REVISIT = 100
 RANGE = 8 << 20
 HEAD = 1 << 16  # header bytes read at a time
+MAX_HEADER, MAX_URL = 1 << 20, 1 << 16
+HTTP = "application/http; msgtype=response"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 PATH = "file string, size long, no long, low long, high long"
 
@@ -62,14 +69,18 @@ def write_warc(pages: DataFrame, path: str) -> None:
     met = pages.join(again, "rid", "left")
     old = F.col("first").isNotNull()
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    url = F.when(F.octet_length(url) <= MAX_URL, url)
+    message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
+                       F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     text = F.concat(
         F.lit(MAGIC), _line("WARC-Type", F.when(old, "revisit").otherwise("response")), _line("WARC-Record-ID", _urn(F.col("rid"))),
         _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", url), _line("WARC-Page-ID", F.col("page_id")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(body, 256))),
         _line("WARC-Refers-To", F.when(old, _urn(F.col("first")))),
-        _line("Content-Type", F.when(~old, F.lit("text/html; charset=utf-8"))),
-        _line("Content-Length", F.when(old, 0).otherwise(F.octet_length(body))), F.lit("\r\n"),
-        F.when(old, F.lit("")).otherwise(F.coalesce("html", F.lit(""))))
+        _line("WARC-Profile", F.when(old, F.lit(PROFILE))),
+        _line("Content-Type", F.when(~old, F.lit(HTTP))),
+        _line("Content-Length", F.when(old, 0).otherwise(F.octet_length(message) + F.octet_length(body))), F.lit("\r\n"),
+        F.when(old, F.lit("")).otherwise(F.concat(message, F.coalesce("html", F.lit("")))))
     met.select(text.alias("value")).write.option("lineSep", END).text(path)
 
 
@@ -82,23 +93,33 @@ def _open(path: str):
     return store.open_input_file(name)
 
 
-def _header(data: bytes, at: int):
+def _header(data: bytearray, at: int):
     """(header fields, their end) of a record at ``at``; None if the header isn't
-    whole, False if it isn't a record's."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at + len(MAGIC):end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    whole, False if it isn't a record's. Read line by line: a line without a colon,
+    as another record's first one is, ends it."""
+    fields, pos, stop = {}, at + len(MAGIC), at + MAX_HEADER
+    while True:
+        end = data.find(b"\r\n", pos, stop)
+        if end < 0:
+            return False if len(data) >= stop else None
+        if end == pos:
+            break
+        name, colon, value = data[pos:end].partition(b":")
         if not colon:
             return False
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        pos = end + 2
     n = fields.get("content-length", "")
-    return (fields, end + 4) if n.isdecimal() and "warc-type" in fields else False
+    return (fields, pos + 2) if n.isdecimal() and "warc-type" in fields else False
 
 
-def _candidates(data: bytes, n: int, more):
+def _payload(fields: dict, block: bytes) -> bytes:
+    """A record's payload: the body of an HTTP message, else the whole block."""
+    head = block.find(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else -1
+    return block if head < 0 else block[head + 4:]
+
+
+def _candidates(data: bytearray, n: int, more):
     """(offset, successor) of each candidate that starts in the first ``n``
     bytes; ``more`` gives the bytes that follow ``data``."""
     magic = MAGIC.encode()
@@ -122,7 +143,7 @@ def _scan(batches):
         for file, size, no, low, high in zip(*(c.to_pylist() for c in batch.columns)):
             with _open(file) as f:
                 f.seek(low)
-                data = f.read(high - low + HEAD)
+                data = bytearray(f.read(high - low + HEAD))
                 found = [(low + a, low + s) for a, s in _candidates(data, high - low, lambda: f.read(HEAD))]
             exits = {}
             for at, to in reversed(found):  # a chain that meets no candidate within the range ends
@@ -176,7 +197,7 @@ def _records(batches):
             with _open(file) as f:
                 while at is not None and at < high:
                     f.seek(at)
-                    data, got = f.read(1 << 12), None
+                    data, got = bytearray(f.read(1 << 12)), None
                     while (got := _header(data, 0) if data.startswith(MAGIC.encode()) else False) is None:
                         rest = f.read(HEAD)
                         if not rest:
@@ -186,13 +207,13 @@ def _records(batches):
                     if not got:
                         break
                     n = int(got[0]["content-length"])
-                    data = data[got[1]:got[1] + n]
+                    data = bytes(data[got[1]:got[1] + n])
                     if len(data) < n:
                         f.seek(at + got[1] + len(data))
                         data += f.read(n - len(data))
                     if len(data) < n:
                         break  # the file ends inside this record
-                    out.append({"file": file, "offset": at, "header": list(got[0].items()), "payload": data})
+                    out.append({"file": file, "offset": at, "header": list(got[0].items()), "payload": _payload(got[0], data)})
                     held += n
                     at += got[1] + n + len(END)
                     if held >= 4 << 20:

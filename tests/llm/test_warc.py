@@ -48,6 +48,9 @@ def test_payloads_and_headers(spark, tmp_path):
     W.write_warc(table(spark, tmp_path, "pages", [(*r, 1, "x", 2) for r in rows], PAGES), str(tmp_path / "w"))
     got = W.read_warc(spark, str(tmp_path / "w"), 5000).where("header['warc-type'] = 'response'").collect()
     assert {bytes(r.payload) for r in got} == {(h or "").encode() for _, _, h in rows}
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "w").glob("part-*"))
+    assert raw.count(b"\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ") == len(got)
+    assert raw.count(b"WARC-Type: revisit") == raw.count(f"WARC-Profile: {W.PROFILE}".encode())
     assert any(r.header["warc-target-uri"] == "a%0D%0AWARC-Type: x" for r in got if "warc-target-uri" in r.header)
 
 
@@ -84,3 +87,18 @@ def test_empty(spark, tmp_path):
     assert W.report(table(spark, tmp_path, "pages", [], PAGES)).collect() == []
     os.mkdir(tmp_path / "none")
     assert W.read_warc(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_payloads_of_magics_in_linear_time(spark, tmp_path):
+    """Eight megabytes of first lines, and of whole headers, in a payload; a url longer than a header may be."""
+    import time
+    rows = [(1, "u", "WARC/1.0\r\n" * 800_000), (2, "u", "WARC/1.0\r\nA: b\r\n" * 400_000), (3, "u" * 3_000_000, FAKE * 1000), (4, "u", "x")]
+    df = table(spark, tmp_path, "pages", [(*r, 1, "x", 2) for r in rows], PAGES)
+    W.write_warc(df, str(tmp_path / "w"))
+    for size in (1 << 23, 1 << 20):
+        at = time.time()
+        got = sorted(map(tuple, W.read_pages(spark, str(tmp_path / "w"), size).collect()), key=repr)
+        assert got == brute(rows) and time.time() - at < 25
+    data = bytearray(rows[0][2].encode())
+    at = time.time()
+    assert list(W._candidates(data, len(data), lambda: b"")) == [] and time.time() - at < 5
