@@ -3,9 +3,9 @@
 Words are those of ``common.words``: runs of 0-9, a-z (A-Z lower-cased) and
 non-ASCII bytes. A word's 64-bit hash is a polynomial of random byte values, a
 shingle's is a mix of the hashes of ``k`` consecutive words; a text of fewer
-words, but not none, has one shingle of all its words. The bytes of an Arrow
-batch are hashed in pieces of bounded size, so memory doesn't follow the length
-of the longest text by more than its word hashes.
+words, but not none, has one shingle of all its words. Texts are hashed in pieces
+of bounded size, so memory doesn't follow the length of the longest text by more
+than its word hashes; a word that goes on over pieces is one word, of any length.
 """
 
 from __future__ import annotations
@@ -41,28 +41,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of the words of at most PIECE bytes."""
+def _piece_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial) of the words, or their parts, in at most PIECE bytes."""
     edge = np.diff(np.concatenate([[False], _IS_WORD[b], [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * _POW[:len(b)], dtype=np.uint64)])
-    return mix((total[end] - total[start]) * _INV[start] + (end - start).astype(np.uint64))
+    return start, end, (total[end] - total[start]) * _INV[start]
 
 
 def word_hashes(data: bytes | memoryview) -> np.ndarray:
     """Hashes of the words of one text, in order."""
     b = np.frombuffer(data, np.uint8)
-    if len(b) <= PIECE:
-        return _piece_hashes(b)
-    out, at = [], 0
-    while at < len(b):
-        end = min(len(b), at + PIECE)
-        if end < len(b):  # cut behind the piece's last separator; a word longer than a piece is cut into several
-            gap = np.flatnonzero(~_IS_WORD[b[at:end]])
-            end = at + int(gap[-1]) + 1 if len(gap) else end
-        out.append(_piece_hashes(b[at:end]))
-        at = end
-    return np.concatenate(out)
+    out, begun, length, power = [], np.zeros(1, np.uint64), 0, np.ones(1, np.uint64)  # the word that a piece ended in
+    for at in range(0, len(b), PIECE):
+        piece = b[at:at + PIECE]
+        start, end, sums = _piece_sums(piece)
+        sizes = (end - start).astype(np.uint64)
+        if length and not (len(start) and start[0] == 0):  # it had just ended
+            out.append(mix(begun + np.uint64(length)))
+            length = 0
+        if length:  # its next part
+            sums[:1], sizes[:1] = begun + sums[:1] * power, sizes[:1] + np.uint64(length)
+        if len(end) and end[-1] == len(piece) and at + PIECE < len(b):
+            goes_on = len(end) == 1 and length > 0
+            power = (power if goes_on else np.ones(1, np.uint64)) * _POW[end[-1] - start[-1]]
+            begun, length = sums[-1:], int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        else:
+            length = 0
+        out.append(mix(sums + sizes))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(words: np.ndarray, k: int = K) -> np.ndarray:

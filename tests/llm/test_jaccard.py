@@ -93,3 +93,31 @@ def test_bands_reach_the_recall():
     b = choose_bands(0.8, 0.9995, 4)
     assert 1 - (1 - 0.8**4) ** b >= 0.9995 > 1 - (1 - 0.8**4) ** (b - 1)
     assert Fraction(4, 5) == J.THRESHOLD
+
+
+def test_words_longer_than_a_piece(spark, tmp_path):
+    """A word of two megabytes is one word: texts of it and another word share no shingle."""
+    import numpy as np
+    from netsift.llm import shingles as S
+    long = "l" * 2_000_000
+    rows = [(1, long + " a"), (2, long + " b"), (3, long + " a"), (4, "x " + long), (5, "a " + long + " c d e"), (6, "a " + long + " c d e.")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in J.report(documents(spark, tmp_path, rows)).collect())
+    assert got == [(1, 1, 1), (2, 2, 0), (3, 1, 1), (4, 4, 0), (5, 5, 1), (6, 5, 1)]
+    rng = np.random.default_rng(3)
+    for _ in range(12):  # words cut by pieces anywhere, against words hashed alone
+        words = [bytes(rng.integers(97, 123, rng.choice([1, 5, 3 * S.PIECE, S.PIECE - 1, S.PIECE, S.PIECE + 1])).astype(np.uint8)) for _ in range(4)]
+        text = b" " * rng.integers(0, 3) + b" ".join(words) + b" " * rng.integers(0, 2)
+        alone = np.concatenate([_slow(S, w) for w in words])
+        assert (S.word_hashes(text) == S.mix(alone)).all()
+
+
+def _slow(S, w):
+    """A long word's polynomial by halves."""
+    import numpy as np
+    total, power = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(w), 1000):
+            part = np.frombuffer(w[at:at + 1000], np.uint8)
+            total = total + power * (S._BYTE[part] * S._POW[:len(part)]).sum(dtype=np.uint64)
+            power = power * S._POW[len(part)]
+    return np.array([total + np.uint64(len(w))], np.uint64)
