@@ -58,3 +58,52 @@ def test_grams_do_not_cross_texts():
     a, w = L.grams(["ab", None, "", "b  c", "1"])
     one = [L.grams([t])[0] for t in ("ab", "b  c")]
     assert (a == np.concatenate(one)).all() and w.tolist() == [0, 0, 3, 3]
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    """The grams of a text don't depend on where blocks end."""
+    import random
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcÄß  .,1\n") for _ in range(3000)) + "x" * 500 + " " * 200 + "yz"
+    whole, _ = L.grams([text])
+    for step in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(L, "TEXT_STEP", step)
+        assert (np.concatenate([g for g, _ in L.gram_blocks([text])]) == whole).all()
+
+
+def plain(rows):
+    """Sets and counts in plain Python: every gram with its share, no filter but the sets themselves."""
+    from collections import Counter
+
+    def of(t):
+        out, word = [], ""
+        for c in (t or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                out += [f" {word} "[i:i + 3] for i in range(len(word))]
+                word = ""
+        return out
+    counts = {}
+    for i, t, lang, *_ in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 and lang is not None and t is not None:
+            counts.setdefault(lang, Counter()).update(of(t))
+    kept = {lang: {g for g, n in c.items() if n / c.total() >= L.MIN_SHARE} for lang, c in counts.items()}
+    out = []
+    for i, t, *_ in rows:
+        g = of(t)
+        shares = sorted((-sum(x in k for x in g) / max(1, len(g)), lang) for lang, k in kept.items())
+        out.append((i, shares[0][1] if g and shares else "und", -shares[0][0] if g and shares else 0.0, shares))
+    return out
+
+
+def test_against_plain_sets(spark, tmp_path):
+    """Scores are the shares of known grams, but for the filter's corrected false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [tuple(r) for r in docs] + [(9001, "der die the", None), (None, "x", "en"), (9002, None, "fr"), (9003, "日本", None)]
+    got = {r.doc_id: r for r in L.report(documents(spark, tmp_path, rows)).collect()}
+    for i, lang, score, shares in plain(rows):
+        r = got[i]
+        assert abs(r.score - score) < 0.02, (i, r, score)
+        near = [name for s, name in shares if -s > score - 0.02]
+        assert r.lang_pred == lang or r.lang_pred in near
