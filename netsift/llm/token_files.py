@@ -131,13 +131,15 @@ def _blocks(symbols: np.ndarray, bits: np.ndarray, block_tokens: int):
     return run
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes ``docs`` (doc_id, text) as a token table at ``out``."""
+def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS,
+                 order: str | None = None) -> None:
+    """Writes ``docs`` (doc_id, text) as a token table at ``out``, in ascending order
+    of ``order``, a column, or else of doc_id."""
     spark = docs.sparkSession
-    dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-             .withColumn("h", F.xxhash64("text")))
-    dealt = (dealt.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h")
-             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                         F.col(order or "doc_id").alias("place")).withColumn("h", F.xxhash64("text")))
+    dealt = (dealt.repartitionByRange(F.col("place").asc_nulls_first(), "h")
+             .sortWithinPartitions(F.col("place").asc_nulls_first(), "h")
              .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
     ids = stored(dealt.mapInArrow(releasing(_tokenize(path, end_id)), "part int, seq long, doc_id long, ids binary"), "ids")
 
@@ -188,7 +190,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         "doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def report(docs: DataFrame, path: str) -> DataFrame:
+def report(docs: DataFrame, path: str, order: str | None = None) -> DataFrame:
     out = scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, out, path)
+    write_tokens(docs, out, path, order=order)
     return read_tokens(docs.sparkSession, out, with_ids=False)

@@ -42,14 +42,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert len(one) - len(clean) == 8
     n = Counter(r[3] or "" for r in clean)
     w = {s: c**mixing.POWER for s, c in n.items()}
-    pre, want, at = Pretokens(BPE), [], 0
-    for r in sorted(clean, key=lambda r: (r[0] is not None, r[0] or 0)):
+    pre, want = Pretokens(BPE), []
+    for r in clean:
         s = r[3] or ""
         ids = np.array([*pre.encode([r[1]])[0], 1], "<u4").tobytes()
-        for _ in range(draw(r[0], len(clean) * w[s] / sum(w.values()) / n[s])):
-            want.append((r[0], at, len(ids) // 4, zlib.crc32(ids)))
-            at += len(ids) // 4
-    assert got == want
+        want += [(r[0], len(ids) // 4, zlib.crc32(ids))] * draw(r[0], len(clean) * w[s] / sum(w.values()) / n[s])
+    assert sorted(((i, n, c) for i, _, n, c in got), key=repr) == sorted(want, key=repr)
+    at = 0
+    for _, start, size, _ in got:  # the files hold them one after the other
+        assert start == at
+        at += size
+    # In the shuffled order of the mixture: neither by id, nor copies side by side.
+    ids = [r[0] for r in got if r[0] is not None]
+    steps = sum(a <= b for a, b in zip(ids, ids[1:])) / len(ids)
+    twice = sum(a == b for a, b in zip(ids, ids[1:]))
+    assert 0.3 < steps < 0.7 and twice <= len(ids) / 10 and len(set(ids)) < len(ids)
 
 
 def test_all_but_the_last_stage_keep_the_columns(spark, tmp_path):
