@@ -7,7 +7,7 @@ near_duplicates        one document of each group of texts with a five-word
 decontamination        documents of which a twentieth of the words or more lie in
                        passages shared with the benchmark go; op 1
 mixing                 sources are repeated or thinned to target weights; op 6
-token_files            the mixture as Huffman-coded token files, read back; op 7
+token_files            the mixture, in its shuffled order, as Huffman-coded token files, read back; op 7
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netsift.llm import decontaminate, jaccard, langid, mixing, token_files
-from netsift.llm.common import prepare, stored, table
+from netsift.llm.common import prepare, stored, table, with_row_id
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return token_files.report(docs, public_tokenizers.path("word_bpe_49k.json"))
+    docs, place = with_row_id(docs)  # rows are stored in the order of the mixture
+    return token_files.report(docs, public_tokenizers.path("word_bpe_49k.json"), order=place)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
