@@ -388,13 +388,29 @@ def flow_sessions(packets: DataFrame, gap_seconds: int, key: list[str] | None =
                       "packets", "bytes")
 
 
-def visit_flows(flows: DataFrame, fn) -> None:
-    """Call ``fn(row)`` for every flow, on the executors holding it (K2).
-
-    Runs where the flow rows live (no collection to the driver); ``fn`` must
-    be serialisable and should write its effects to an external sink.
-    """
-    flows.foreach(fn)
+def visit_flows(flows: DataFrame, visitor) -> int:
+    """Call ``visitor(partition, batches)`` once for each partition of the flow table,
+    on the executor that holds it (K2); returns the number of flows visited.
+
+    ``batches`` are Arrow batches of the partition's flows. A lost or repeated task
+    calls the visitor again with the same partition number: what it does should be
+    keyed by that number, so that the later call replaces the earlier one. No flow
+    comes to the driver, only a count for each partition."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        seen = [0]
+
+        def counted():
+            for batch in batches:
+                seen[0] += batch.num_rows
+                yield batch
+        rest = counted()
+        visitor(TaskContext.get().partitionId(), rest)
+        for _ in rest:  # what the visitor left
+            pass
+        yield pa.RecordBatch.from_pydict({"flows": pa.array(seen, pa.int64())})
+    return flows.mapInArrow(run, "flows bigint").agg(F.sum("flows")).first()[0] or 0
 
 
 def heavy_flows(packets: DataFrame, min_packets: int, key: list[str] | None = None) -> DataFrame:

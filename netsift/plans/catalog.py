@@ -432,6 +432,65 @@ def stream_totals(spark, sf_dir):
     return running_totals(spark, out)
 
 
+def _event_time(spark, sf_dir, build) -> DataFrame:
+    """The rows that a stream in event time writes, over a restart after its first batch."""
+    src, out, ck = _rotated(spark, sf_dir), scratch_path(spark, "event-out"), scratch_path(spark, "event-ck")
+    for wait in (0, None):
+        packets = admit(decode(stream_captures(spark, src, CAPTURE_ID, 2), keep_data=False))
+        q = build(packets).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").start()
+        if wait is None:
+            q.processAllAvailable()
+        else:
+            while q.isActive and q.lastProgress is None:
+                q.awaitTermination(1)
+        q.stop()
+    return spark.read.parquet(out)
+
+
+def stream_window_totals(spark, sf_dir):
+    """Daily packet totals, streamed in event time with a day's delay."""
+    from netsift.streaming.windows import window_totals
+    return _event_time(spark, sf_dir, lambda p: window_totals(p, "1 day", "1 day")).drop("capture_id")
+
+
+def stream_flow_sessions(spark, sf_dir):
+    """Flow sessions, streamed in event time with an hour's delay."""
+    from netsift.streaming.windows import flow_sessions as sessions
+    return _event_time(spark, sf_dir, lambda p: sessions(p, 300, "1 hour")).drop("capture_id")
+
+
+def callback_block_events(spark, sf_dir):
+    """Block events that a per-batch callback wrote (K1)."""
+    from netsift.streaming.stateful import on_verdicts, replacing, stream_verdicts as verdict_stream
+    out, ck = scratch_path(spark, "callback-out"), scratch_path(spark, "callback-ck")
+    v = verdict_stream(_capture_stream(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT))
+    q = on_verdicts(v, replacing(out, lambda b: b.where(F.col("drop_cause") == "RULE").select("ts_us", *KEY5, "reason_type", "reason_detail")), ck)
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(out).drop("batch")
+
+
+def visited_flows(spark, sf_dir):
+    """Flows and packets of each state, as a visitor on the executors wrote them, a file for each partition (K2)."""
+    from netsift.sources.pcap import _fs_path
+    out = scratch_path(spark, "visited")
+
+    def visitor(partition, batches):
+        import collections
+        seen = collections.Counter()
+        for batch in batches:
+            for state, packets in zip(batch.column("state").to_pylist(), batch.column("packets_out").to_pylist()):
+                seen[state, "flows"] += 1
+                seen[state, "packets"] += packets
+        filesystem, base = _fs_path(out)
+        filesystem.create_dir(base, recursive=True)
+        with filesystem.open_output_stream(f"{base}/part-{partition:05d}.csv") as f:
+            f.write("".join(f"{s},{what},{n}\n" for (s, what), n in sorted(seen.items())).encode())
+    flowstate.visit_flows(inspection(spark, sf_dir).flows.select("state", "packets_out"), visitor)
+    wrote = spark.read.schema("state string, what string, n bigint").csv(out)
+    return wrote.groupBy("state").agg(*[F.sum(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("flows", "packets")])
+
+
 # --- flows by key ------------------------------------------------------------------
 
 def reverse_lookup(spark, sf_dir):
@@ -560,7 +619,8 @@ QUERIES = {
     "app_breakdown": app_breakdown, "top_domains": top_domains, "top_domains_pages": top_domains_pages, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "evicting_verdicts": evicting_verdicts, "evicted_flows": evicted_flows,
     "versioned_rule_verdicts": versioned_rule_verdicts, "versioned_rule_spans": versioned_rule_spans,
-    "stream_versioned_rules": stream_versioned_rules, "merged_captures": merged_captures,
+    "stream_versioned_rules": stream_versioned_rules, "stream_window_totals": stream_window_totals,
+    "stream_flow_sessions": stream_flow_sessions, "callback_block_events": callback_block_events, "visited_flows": visited_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
     "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,
     "reverse_lookup": reverse_lookup,

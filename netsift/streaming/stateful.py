@@ -213,10 +213,20 @@ def stream_verdicts(raw: DataFrame, rules: DataFrame, idle_timeout_s: int | None
 
 
 def on_verdicts(verdicts: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str):
-    """Per-batch callback over the verdict stream (K1); returns the started query."""
+    """Per-batch callback over the verdict stream (K1); returns the started query.
+
+    ``fn(batch, batch_id)`` may be called again for a batch after a failure: what it
+    does should be keyed by ``batch_id``, as ``replacing`` does for tables."""
     return verdicts.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).start()
 
 
+def replacing(path: str, of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A callback that writes ``of(batch)`` as the batch's own part of a table: a repeated batch replaces it."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        of(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
 def stream_totals(raw: DataFrame, out_path: str, checkpoint: str, trigger_available_now: bool = True):
     """Per-batch packet totals appended to ``out_path`` (J5); returns the started query.
 

@@ -409,6 +409,16 @@ def oracle() -> dict[str, str]:
         "AND CURRENT ROW) AS sid FROM g) "
         f"SELECT {K5}, min(ts_us) AS first_seen_us, max(ts_us) + 300000000 AS session_end_us, count(*) AS packets, "
         f"CAST(sum(frame_length) AS BIGINT) AS bytes FROM s GROUP BY {K5}, sid")
+    q["stream_flow_sessions"] = (f"WITH s AS ({q['flow_sessions']}) SELECT * FROM s WHERE session_end_us <= "
+                                 "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)")
+    q["stream_window_totals"] = with_packets(
+        ", d AS (SELECT *, ts_us // 86400000000 * 86400000000 AS window_start_us FROM pk) "
+        "SELECT window_start_us, window_start_us + 86400000000 AS window_end_us, count(*) AS packets, CAST(sum(frame_length) AS BIGINT) AS bytes, "
+        "count_if(protocol = 6) AS tcp_packets, count_if(protocol = 17) AS udp_packets FROM d "
+        "GROUP BY window_start_us HAVING window_start_us + 86400000000 <= (SELECT max(ts_us) // 1000 * 1000 - 86400000000 FROM pk)")
+    q["callback_block_events"] = with_walk(f"SELECT ts_us, {K5}, reason_type, reason_detail FROM v WHERE drop_cause = 'RULE'")
+    q["visited_flows"] = with_walk(
+        f", {_final()}\nSELECT state, count(*) AS flows, CAST(sum(packets_out) AS BIGINT) AS packets FROM f GROUP BY state")
     dr = with_packets(
         ", ev AS (SELECT * FROM events), pg AS (SELECT page_id, regexp_extract(url, '" + URL_HOST_RX + "', 1) AS h "
         "FROM pages), dr0 AS (" + _rules_values(FIXTURE_RULE_ROWS) + " UNION "
