@@ -3,7 +3,7 @@
 Vectors are searched by largest inner product; the graph works on Euclidean
 distance after the usual reduction (one more component makes all norms equal).
 A shard has few enough vectors that the near neighbours of all its nodes come
-from blocked products; the links kept of them are the diverse ones (a neighbour
+from exact blocked products, not from inserting nodes one by one; the links kept of them are the diverse ones (a neighbour
 that is nearer to one already kept is left out), and links go both ways.
 Searching walks down the layers and then widens a beam on the lowest, for all
 queries at once.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LINKS, NEAR, SCALE = 24, 48, 16
+LINKS, NEAR, SCALE = 32, 64, 16
 BLOCK = 512
 
 
@@ -152,6 +152,5 @@ def _linked(points: np.ndarray, links: int) -> np.ndarray:
     slot = size[dst] + np.arange(len(dst)) - first
     ok = slot < links
     out[dst[ok], slot[ok]] = src[ok]
-    # A ring through all nodes keeps the graph whole.
-    out[:, -1] = np.roll(np.arange(n), -1)
-    return out
+    # A ring through all nodes keeps the graph whole; it is a column of its own and costs no link.
+    return np.concatenate([out, np.roll(np.arange(n, dtype=np.int32), -1)[:, None]], axis=1)

@@ -3,6 +3,7 @@ import pytest
 from small import table
 
 from netsift.llm import neighbours as N
+from netsift.llm.hnsw import Graph
 
 SCHEMA = "vec_id long, embedding array<float>, label int, h string, v int, ids int"
 
@@ -87,6 +88,22 @@ def test_a_full_shard_and_bounded_query_blocks(spark, tmp_path, monkeypatch):
     assert recall(got, want) > 0.95
 
 
+@pytest.mark.parametrize("dim", [64, 128])
+def test_a_full_shard_without_structure(dim):
+    """Gaussian vectors, the hardest case: nothing is much nearer than the rest."""
+    m = np.random.default_rng(5).normal(size=(N.SHARD, dim)).astype(np.float32)
+    q = np.arange(0, N.SHARD, 64)
+    score = m[q].astype(np.float64) @ m.T.astype(np.float64)
+    score[np.arange(len(q)), q] = -np.inf
+    found = Graph(m).search(m[q], N.BEAM)
+    hit = 0
+    for me, want, nodes in zip(q, np.argsort(-score, axis=1)[:, :20], found):
+        nodes = nodes[(nodes >= 0) & (nodes != me)]
+        best = nodes[np.argsort(-(m[nodes].astype(np.float64) @ m[me].astype(np.float64)))[:20]]
+        hit += len(np.intersect1d(best, want))
+    assert hit >= 0.93 * 20 * len(q)
+
+
 def test_empty(spark, tmp_path):
     assert N.report(write(spark, tmp_path, [])).collect() == []
     assert N.report(write(spark, tmp_path / "one", [(0, [1.0, 2.0])])).collect() == []
