@@ -6,7 +6,7 @@ A shard has few enough vectors that the near neighbours of all its nodes come
 from exact blocked products, not from inserting nodes one by one; the links kept of them are the diverse ones (a neighbour
 that is nearer to one already kept is left out), and links go both ways.
 Searching walks down the layers and then widens a beam on the lowest, for all
-queries at once.
+queries at once, each until its own best nodes have settled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 LINKS, NEAR, SCALE = 32, 64, 16
+#: Nodes opened in a round, and the rounds without a new node among a query's best after which its beam has settled.
+OPEN, SETTLED = 8, 15
 BLOCK = 512
 
 
@@ -38,8 +40,9 @@ class Graph:
         graph.points, graph.layers = _points(vectors), layers
         return graph
 
-    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
-        """The ``beam`` nodes found nearest to each query, -1 padded, not sorted exactly."""
+    def search(self, queries: np.ndarray, beam: int, k: int) -> np.ndarray:
+        """Up to ``beam`` nodes found near each query, -1 padded, not sorted exactly.
+        A query is done when its beam is used up or its ``k`` best have settled."""
         q = np.concatenate([queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)], axis=1)
         nodes, _ = self.layers[-1]
         at = np.zeros(len(q), np.int64)
@@ -48,7 +51,7 @@ class Graph:
             at = self._descend(q, nodes, near, at)
             below = self.layers[layer - 1][0]
             at = np.searchsorted(below, nodes[at])
-        return self._beam(q, self.layers[0][1], at, beam)
+        return self._beam(q, self.layers[0][1], at, beam, k)
 
     def _descend(self, q, nodes, near, at):
         best = np.einsum("ij,ij->i", q, self.points[nodes[at]])
@@ -66,9 +69,10 @@ class Graph:
             todo = moved
         return at
 
-    def _beam(self, q, near, start, beam):
+    def _beam(self, q, near, start, beam, k):
         n, rows = len(self.points), np.arange(len(q))
         beam = min(beam, n)
+        k, wide = min(k, beam), min(OPEN, beam)
         ids = np.full((len(q), beam), -1, np.int64)
         score = np.full((len(q), beam), -np.inf, np.float32)
         opened = np.ones((len(q), beam), bool)
@@ -76,12 +80,13 @@ class Graph:
         ids[:, 0], opened[:, 0] = start, False
         score[:, 0] = np.einsum("ij,ij->i", q, self.points[start])
         seen[rows, start] = True
+        kth, still = np.full(len(q), -np.inf, np.float32), np.zeros(len(q), np.int64)
         live = rows
         while len(live):
             waiting = np.where(opened[live], -np.inf, score[live])
-            pick = np.argpartition(-waiting, min(3, beam - 1), axis=1)[:, :min(4, beam)]  # up to four of the nearest not yet opened
+            pick = np.argpartition(-waiting, wide - 1, axis=1)[:, :wide]  # the nearest not yet opened
             take = np.isfinite(np.take_along_axis(waiting, pick, 1))
-            go = take.any(axis=1)
+            go = take.any(axis=1) & (still[live] < SETTLED)
             live, pick, take = live[go], pick[go], take[go]
             if not len(live):
                 break
@@ -96,10 +101,13 @@ class Graph:
             found = np.full(options.shape, -np.inf, np.float32)
             found[r, c] = np.einsum("ij,ij->i", q[live[r]], self.points[options[r, c]])
             every = np.concatenate([score[live], found], axis=1)
-            keep = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+            keep = np.argpartition(-every, (k - 1, beam - 1), axis=1)[:, :beam]
             score[live] = np.take_along_axis(every, keep, 1)
             ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(new, options, -1)], axis=1), keep, 1)
             opened[live] = np.take_along_axis(np.concatenate([opened[live], ~new], axis=1), keep, 1)
+            now = score[live, k - 1]
+            still[live] = np.where(np.isfinite(now) & (now <= kth[live]), still[live] + 1, 0)
+            kth[live] = now
         return np.where(np.isfinite(score), ids, -1)
 
 

@@ -79,7 +79,7 @@ def _search(k: int, beam: int):
     def answers(graph, vec, ids, size, q_ids, q):
         start = np.cumsum(size) - size
         for a in range(0, len(q), QUERY_BLOCK):
-            for me, one, nodes in zip(q_ids[a:a + QUERY_BLOCK], q[a:a + QUERY_BLOCK], graph.search(q[a:a + QUERY_BLOCK], max(beam, k + 1))):
+            for me, one, nodes in zip(q_ids[a:a + QUERY_BLOCK], q[a:a + QUERY_BLOCK], graph.search(q[a:a + QUERY_BLOCK], max(beam, k + 1), k + 1)):
                 nodes = nodes[nodes >= 0]
                 found, n = _taken(ids, start[nodes], size[nodes])
                 score = np.repeat(vec[nodes] @ one, n)
