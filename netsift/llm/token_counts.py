@@ -4,8 +4,9 @@ First tier: the lengths (in tokens) of the most frequent pre-tokens, one table
 of at most ``FREQUENT`` entries that is broadcast. It comes from counts over all
 documents: each task sends its ``PER_TASK`` most frequent pre-tokens only, so no
 pre-token is ever shuffled by itself. Second tier: a worker's cache of the rest,
-bounded too; what neither holds is encoded by the library. Either tier only
-saves time: counts are the library's whatever they hold.
+bounded too; what neither holds is encoded by the library. Neither tier keeps a
+pre-token above ``KEPT`` characters, so both are bounded in bytes. Either tier
+only saves time: counts are the library's whatever they hold.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
 and null ids are counted like any other row.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from netsift.llm.common import releasing
 from netsift.llm.pretokens import Cache, Pretokens, steps
 
-FREQUENT, PER_TASK = 1 << 16, 1 << 14
+FREQUENT, PER_TASK, KEPT = 1 << 16, 1 << 14, 64
 LIMIT = 2048
 _CACHES: dict[str, Cache] = {}  # per worker process
 
@@ -35,7 +36,13 @@ class Tiers(dict):
         self.rest = rest
 
     def __missing__(self, word: str) -> int:
-        return self.rest[word]
+        return self.rest[word] if len(word) <= KEPT else len(self.rest.pre.ids(word))
+
+
+def _short(words: list[str] | None) -> list[str]:
+    if not words or max(map(len, words)) <= KEPT:
+        return words or []
+    return [w for w in words if len(w) <= KEPT]
 
 
 def frequent_pretokens(docs: DataFrame, path: str) -> list[str]:
@@ -43,9 +50,9 @@ def frequent_pretokens(docs: DataFrame, path: str) -> list[str]:
         pre, seen = Pretokens.load(path), Counter()
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                seen.update(pre.cut(t or "") or ())
-            if len(seen) > 20 * PER_TASK:  # a summary of bounded size: the rarest go
-                seen = Counter(dict(seen.most_common(5 * PER_TASK)))
+                seen.update(_short(pre.cut(t or "")))
+                if len(seen) > 20 * PER_TASK:  # a summary of bounded size: the rarest go
+                    seen = Counter(dict(seen.most_common(5 * PER_TASK)))
         top = seen.most_common(PER_TASK)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 

@@ -37,6 +37,21 @@ def test_counts_are_the_library_s(spark, tmp_path, name):
     assert got == sorted(want, key=repr)
 
 
+def test_neither_tier_keeps_long_pretokens(spark, tmp_path):
+    """They count as the library counts them, and only short ones are remembered."""
+    rnd = random.Random(3)
+    long = ["".join(rnd.choice("acgt") for _ in range(n)) for n in (64, 65, 300, 50_000)]
+    texts = [" ".join([w, "cat", w]) for w in long] * 3
+    df = documents(spark, tmp_path, list(enumerate(texts)))
+    held = C.frequent_pretokens(df, BPE)
+    assert set(held) == {"cat", long[0]}
+    tiers = C.Tiers({}, C.Cache(Pretokens.load(BPE), len))
+    assert [tiers[w] for w in long] == [len(x) for x in library("word_bpe_49k.json", long)]
+    assert list(tiers.rest) == long[:1]
+    got = {r.doc_id: r.n_tokens for r in C.report(df, BPE).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(x) for x in library("word_bpe_49k.json", texts)]
+
+
 def test_pieces_join_to_the_library_s_ids():
     pre, texts = Pretokens(BPE), [t or "" for t in odd_texts()]
     cut = 0
