@@ -17,6 +17,7 @@ from netsift.functions.names import ntz_micros
 from netsift.session import cache_key, file_signature, materialized
 
 CAPTURE_ID = "events"
+QUIC_CAPTURE_ID = "events-quic"
 
 # Portable SQL over ``events`` (runs unchanged in Spark and DuckDB).
 FIXTURE_SQL = """
@@ -100,7 +101,9 @@ def _payload_hex(kind: Column, host: Column) -> Column:
     labels = F.transform(F.split(host, r"\."),
                          lambda lab: F.concat(hex_u8(F.octet_length(F.encode(lab, "UTF-8"))), _ascii_hex(lab)))
     dns = F.concat(F.lit("000101000001000000000000"), F.array_join(labels, ""), F.lit("00"), F.lit("00010001"))
-    return (F.when(kind == "tls", tls).when(kind == "http", http).when(kind == "dns", dns)
+    # An Initial with its ClientHello in the clear: long header, version 1, 8-byte connection id, no source id.
+    quic = F.concat(F.lit("c30000000108"), F.substring(F.md5(name), 1, 16), F.lit("00" * 4), tls)
+    return (F.when(kind == "tls", tls).when(kind == "quic", quic).when(kind == "http", http).when(kind == "dns", dns)
             .when(kind == "opaque", F.lit("00" * 8)).otherwise(F.lit("")))
 
 
@@ -153,6 +156,23 @@ def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, build, "fixture-frames", key)
 
 
+def quic_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture capture with each TLS ClientHello inside a QUIC Initial over
+    UDP instead (stored like :func:`fixture_frames`); other packets are the same."""
+    events_path = f"{sf_dir}/events.parquet"
+    key = cache_key(events_path, file_signature(spark, events_path), FIXTURE_SQL, ENCODER_VERSION, "quic")
+    parts = max(spark.sparkContext.defaultParallelism, 1)
+    tls = F.col("payload_kind") == "tls"
+
+    def build() -> DataFrame:
+        pk = synthetic_packets(spark, sf_dir).withColumns({
+            "protocol": F.when(tls, 17).otherwise(F.col("protocol")),
+            "payload_kind": F.when(tls, "quic").otherwise(F.col("payload_kind"))})
+        return encode_frames(pk, QUIC_CAPTURE_ID).repartitionByRange(parts, "packet_no")
+
+    return materialized(spark, build, "quic-frames", key)
+
+
 # Host of a page URL, the same expression on both engines.
 URL_HOST_RX = "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 PAGES_CAPTURE_ID = "pages"

@@ -8,7 +8,7 @@ the window form the Spark side uses.
 
 from __future__ import annotations
 
-from netsift.plans.catalog import RULE_CHANGES
+from netsift.plans.catalog import FILE_PACKETS, RULE_CHANGES
 from netsift.plans.fixture import FIXTURE_SQL, URL_HOST_RX
 from netsift.schema import HOST_KEYWORDS
 
@@ -307,6 +307,7 @@ def oracle() -> dict[str, str]:
     q["packet_candidates"] = with_packets(
         "SELECT packet_no, cand_app, cand_sni, cand_route FROM pk WHERE cand_route IS NOT NULL")
     q["tls_sni"] = with_packets("SELECT packet_no, host AS sni FROM pk WHERE payload_kind = 'tls'")
+    q["quic_sni"] = with_packets("SELECT packet_no, host AS sni FROM pk WHERE payload_kind = 'tls'")
     q["http_host"] = with_packets("SELECT packet_no, host FROM pk WHERE payload_kind = 'http'")
     q["dns_name"] = with_packets("SELECT packet_no, host AS name FROM pk WHERE payload_kind = 'dns'")
     q["blocked_by_ip"] = with_packets(
@@ -391,6 +392,11 @@ def oracle() -> dict[str, str]:
     q["rules_clear"] = ("SELECT rule_type, CAST(0 AS BIGINT) AS rule_count "
                         "FROM (VALUES ('IP'), ('APP'), ('DOMAIN'), ('PORT')) AS t(rule_type)")
     q["forwarded_packets"] = with_walk("SELECT packet_no, frame_length FROM v WHERE action = 'FORWARD'")
+    # One file for each chunk; the magic is a little-endian file's first four bytes read big-endian, d4c3b2a1.
+    q["capture_headers"] = with_walk(
+        "SELECT 3569595041 AS magic, 2 AS version_major, 4 AS version_minor, 0 AS thiszone, 0 AS sigfigs, "
+        "65535 AS snaplen, 1 AS link_type, 'little' AS byte_order, NULL AS error "
+        f"FROM (SELECT DISTINCT packet_no // {FILE_PACKETS} FROM v WHERE action = 'FORWARD')")
     q["capture_roundtrip"] = with_walk(
         f"SELECT v.ts_us, v.src_ip, v.dest_ip, v.src_port, v.dest_port, v.protocol, "
         "CASE WHEN v.protocol = 6 THEN pk.tcp_flags END AS tcp_flags, v.frame_length "

@@ -89,6 +89,18 @@ def test_quic_scan():
     payload = b"\xc0" + b"\x00" * 20 + tls_hello(b"q.example")
     assert hosts.quic_sni_of(payload) == "q.example"
     assert hosts.quic_sni_of(b"\x40" + payload[1:]) is None
+    assert hosts.quic_sni_of(b"\xc0\x16\x03\x01\x00\x05\x01" + payload[7:]) == "q.example"   # a false start before it
+    assert hosts.quic_sni_of(payload[:-9]) is None                                        # too little is left
+    assert hosts.quic_sni_of(b"\xc0" + b"\x16\x03\x01\x00\x00\x01" * 10_000) is None
+
+
+def test_cut_extensions():
+    hello = tls_hello(b"a.co", extra_ext=b"\x00\x0b\x00\x02\x01\x00")
+    assert hosts.tls_sni_of(hello) == "a.co"
+    for cut in range(len(hello)):                     # the record's length no longer fits
+        assert hosts.tls_sni_of(hello[:cut]) is None
+    short = hello[:3] + b"\x00\x00" + hello[5:]       # a record that claims nothing: the payload's end counts
+    assert [hosts.tls_sni_of(short[:len(short) - n]) for n in (0, 1)] == ["a.co", None]
 
 
 def test_address_forms(spark):

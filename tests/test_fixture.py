@@ -72,7 +72,7 @@ def test_adaptive_hot_flow_switch(spark):
         sorted(map(tuple, cold.verdicts.select(*cols).collect()))
 
 
-def test_one_flow_with_half_of_all_packets(spark):
+def test_one_flow_with_half_of_all_packets(spark, tmp_path):
     """The hot flow is split over chunks; verdicts equal those of the single sort."""
     from pyspark.sql import functions as F
 
@@ -82,7 +82,9 @@ def test_one_flow_with_half_of_all_packets(spark):
     hot = F.col("packet_no") % 2 == 0
     same = {"src_ip": "10.9.9.9", "dest_ip": "93.184.0.1", "src_port": 40000, "dest_port": 443, "protocol": 6}
     pk = synthetic_packets(spark, SF001)
-    raw = encode_frames(pk.withColumns({c: F.when(hot, v).otherwise(F.col(c)) for c, v in same.items()}))
+    frames = encode_frames(pk.withColumns({c: F.when(hot, v).otherwise(F.col(c)) for c, v in same.items()}))
+    frames.write.parquet(str(tmp_path / "frames"))  # as captures are: the plans begin with a scan
+    raw = spark.read.parquet(str(tmp_path / "frames"))
     rules = rules_from_text(spark, FIXTURE_RULES_TEXT)
     one, split = Inspection(raw, rules), Inspection(raw, rules, hot_flow_threshold=100, hot_flow_chunk=64)
     assert split.heavy.count() == 1
