@@ -412,6 +412,23 @@ def stream_verdicts(spark, sf_dir):
         "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "reason_type", "reason_detail")
 
 
+def stream_forwarded(spark, sf_dir):
+    """Forwarded packets written by the streaming capture sink (A4), over a restart in
+    mid-stream, scanned back and decoded."""
+    from netsift.sources.pcap import write_capture_stream
+    from netsift.streaming.stateful import stream_forwarded as forwarded
+    src, out, ck = _rotated(spark, sf_dir), scratch_path(spark, "stream-capture"), scratch_path(spark, "stream-ck")
+    for wait in (0, None):
+        q = write_capture_stream(forwarded(stream_captures(spark, src, CAPTURE_ID, 2), rules_from_text(spark, FIXTURE_RULES_TEXT)), out, ck)
+        if wait is None:
+            q.processAllAvailable()
+        else:
+            while q.isActive and q.lastProgress is None:
+                q.awaitTermination(1)
+        q.stop()
+    return admit(decode(read_captures(spark, out))).select("ts_us", *KEY5, "tcp_flags", "frame_length")
+
+
 def stream_versioned_rules(spark, sf_dir):
     """Streamed verdicts under rules that change while the capture runs (J6), over a restart."""
     return _stream_verdicts(spark, sf_dir, rule_changes=rule_changes(spark, sf_dir)).select(
@@ -624,7 +641,7 @@ QUERIES = {
     "stream_versioned_rules": stream_versioned_rules, "stream_window_totals": stream_window_totals,
     "stream_flow_sessions": stream_flow_sessions, "callback_block_events": callback_block_events, "visited_flows": visited_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
-    "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_totals": stream_totals,
+    "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_forwarded": stream_forwarded, "stream_totals": stream_totals,
     "reverse_lookup": reverse_lookup,
     "bidirectional_flows": bidirectional_flows, "flow_sessions": flow_sessions,
     "rule_counts": rule_counts, "rules_add": rules_add, "rules_remove": rules_remove, "rules_list": rules_list,

@@ -38,7 +38,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage,
+)
 
 from netsift.schema import (
     CAPTURES, PCAP_GLOBAL_HEADER_LEN, PCAP_MAGIC, PCAP_MAGIC_SWAPPED, PCAP_MAX_RECORD_LEN,
@@ -49,6 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 OUT_SNAPLEN, OUT_LINKTYPE = 65535, 1
+_GLOBAL_HEADER = struct.pack("<IHHiIII", PCAP_MAGIC, 2, 4, 0, 0, OUT_SNAPLEN, OUT_LINKTYPE)
 
 
 def _fs_path(path: str):
@@ -248,7 +251,7 @@ class PcapWriter(DataSourceWriter):
                     name = f"{_safe_name(cap)}-{label}-{self.job}.pcap"
                     tmp = f"{base}/_temporary-{self.job}/{attempt}-{part:05d}-{name}"
                     out = filesystem.open_output_stream(tmp)
-                    out.write(struct.pack("<IHHiIII", PCAP_MAGIC, 2, 4, 0, 0, OUT_SNAPLEN, OUT_LINKTYPE))
+                    out.write(_GLOBAL_HEADER)
                     moves.append((tmp, f"{base}/{name}"))
                 data = bytes(r["data"])
                 out.write(rec.pack(int(r["ts_sec"]), int(r["ts_usec"]), len(data), len(data)))
@@ -285,6 +288,69 @@ class PcapWriter(DataSourceWriter):
             filesystem.delete_dir(tmp)
 
 
+class PcapStreamWriter(DataSourceStreamWriter):
+    """Streaming sink: the files of a micro-batch appear when it commits, under names
+    that carry its number, and the batch is noted under ``_batches``.
+
+    A batch that Spark repeats after a failure is left as it is if it was noted;
+    otherwise what it had moved before goes first. So each packet is there once
+    over restarts. A folder belongs to one checkpoint, as the numbers are its own.
+    Files hold each flow's packets in order; flows follow one another."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+
+    def write(self, rows) -> WrittenFiles:
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        filesystem, base = _fs_path(self.path)
+        tmp = f"{base}/_temporary-stream-{uuid.uuid4().hex[:12]}"
+        moves, out, current = [], None, None
+        try:
+            for r in rows:
+                if out is None or r["capture_id"] != current:
+                    if out is not None:
+                        out.close()
+                    current = r["capture_id"]
+                    name = f"{_safe_name(current)}-part-{ctx.partitionId():05d}-{len(moves):05d}"
+                    if not moves:
+                        filesystem.create_dir(tmp, recursive=True)
+                    out = filesystem.open_output_stream(f"{tmp}/{name}")
+                    out.write(_GLOBAL_HEADER)
+                    moves.append((f"{tmp}/{name}", name))
+                data = bytes(r["data"])
+                out.write(struct.pack("<IIII", int(r["ts_sec"]), int(r["ts_usec"]), len(data), len(data)) + data)
+        finally:
+            if out is not None:
+                out.close()
+        return WrittenFiles(moves)
+
+    def commit(self, messages, batchId: int) -> None:
+        from pyarrow import fs as pafs
+        filesystem, base = _fs_path(self.path)
+        filesystem.create_dir(f"{base}/_batches", recursive=True)
+        noted, ending = f"{base}/_batches/{batchId:012d}", f"-batch-{batchId:012d}.pcap"
+        if filesystem.get_file_info(noted).type == pafs.FileType.NotFound:
+            for f in filesystem.get_file_info(pafs.FileSelector(base)):
+                if f.type == pafs.FileType.File and f.base_name.endswith(ending):
+                    filesystem.delete_file(f.path)
+            for tmp, name in (move for m in messages if m is not None for move in m.moves):
+                filesystem.move(tmp, f"{base}/{name}{ending}")
+            with filesystem.open_output_stream(noted):
+                pass
+        self._drop_temporary(filesystem, base)
+
+    def abort(self, messages, batchId: int) -> None:
+        self._drop_temporary(*_fs_path(self.path))
+
+    def _drop_temporary(self, filesystem, base: str) -> None:
+        """Also what lost tasks and killed runs have left: batches follow one another."""
+        from pyarrow import fs as pafs
+        for f in filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            if f.type == pafs.FileType.Directory and f.base_name.startswith("_temporary-stream-"):
+                filesystem.delete_dir(f.path)
+
+
 def _safe_name(capture_id: str) -> str:
     """The base name of a capture, with a hash of the whole id."""
     name = capture_id.rstrip("/").split("/")[-1]
@@ -308,6 +374,9 @@ class PcapDataSource(DataSource):
     def writer(self, schema, overwrite: bool):
         return PcapWriter(self.options, overwrite)
 
+    def streamWriter(self, schema, overwrite: bool):
+        return PcapStreamWriter(self.options)
+
 
 def register(spark: SparkSession) -> None:
     """Make ``format("pcap")`` available in this session."""
@@ -415,6 +484,14 @@ def write_captures(frames, path: str, partitioned: bool = False, chunk_packets:
      .write.format("pcap").mode(mode).save(path))
 
 
+def write_capture_stream(frames, path: str, checkpoint: str, **options):
+    """Start writing a stream of ``(capture_id, packet_no, ts_sec, ts_usec, data)`` rows as
+    capture files (A4), each packet once over restarts; returns the query."""
+    register(frames.sparkSession)
+    return (frames.select("capture_id", "packet_no", "ts_sec", "ts_usec", "data").writeStream.format("pcap")
+            .option("path", path).option("checkpointLocation", checkpoint).options(**options).outputMode("append").start())
+
+
 def order_by_number(spark: SparkSession, path: str) -> None:
     """Stamp the files under ``path`` with times in the order of their numbers, a second
     apart, so that a file stream takes parts of a capture that many tasks wrote at once

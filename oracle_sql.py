@@ -401,6 +401,7 @@ def oracle() -> dict[str, str]:
         f"SELECT v.ts_us, v.src_ip, v.dest_ip, v.src_port, v.dest_port, v.protocol, "
         "CASE WHEN v.protocol = 6 THEN pk.tcp_flags END AS tcp_flags, v.frame_length "
         "FROM v JOIN pk USING (packet_no) WHERE v.action = 'FORWARD'")
+    q["stream_forwarded"] = q["capture_roundtrip"]
     q["reverse_lookup"] = with_walk(
         f", {_final()}\nSELECT dest_ip AS src_ip, src_ip AS dest_ip, dest_port AS src_port, src_port AS dest_port, "
         "protocol, 'reverse' AS match, app_type, packets_out FROM f UNION ALL "

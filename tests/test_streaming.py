@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from frames import eth, ipv4, pcap_file, tcp
 from netsift.operators.decode import admit, decode
 from netsift.operators.flowstate import visit_flows
-from netsift.sources.pcap import stream_captures
+from netsift.sources.pcap import PcapStreamWriter, WrittenFiles, list_captures, read_captures, stream_captures, write_capture_stream
 from netsift.sources.rules import rules_from_text
 from netsift.streaming.stateful import replacing, stream_verdicts
 from netsift.streaming.windows import window_totals
@@ -83,3 +83,39 @@ def test_visitor_sees_each_flow_once(spark):
     assert visit_flows(flows, visitor) == 1000
     assert sorted(int(x) for n in os.listdir(d) for x in open(f"{d}/{n}").read().split()) == list(range(1000))
     assert visit_flows(flows.limit(0), lambda p, b: None) == 0 and visit_flows(flows, lambda p, b: None) == 1000
+
+
+def test_capture_sink_writes_each_packet_once(spark):
+    """Batches that are repeated, and ones that were half moved, leave each packet once."""
+    d = tempfile.mkdtemp(prefix="sink-", dir="/tmp")
+    src, out, ck = (os.path.join(d, x) for x in ("in", "out", "ck"))
+    os.mkdir(src)
+    frames = [eth(ipv4(tcp(bytes([n]) * n))) for n in range(30)]
+    for n in range(3):
+        _put(src, f"m{n}.pcap", [(t, frames[t]) for t in range(10 * n, 10 * n + 10)])
+        q = write_capture_stream(stream_captures(spark, src, "a"), out, ck)
+        q.processAllAvailable()
+        q.stop()
+        if n == 1:  # died before Spark noted the batch, which is in the folder already
+            for log in (f"{ck}/commits/1", f"{ck}/commits/.1.crc"):
+                if os.path.exists(log):
+                    os.remove(log)
+    got = sorted((r.ts_sec, bytes(r.data)) for r in read_captures(spark, out).collect())
+    assert got == list(enumerate(frames))
+    assert not [x for x in os.listdir(out) if x.startswith("_temporary")]
+
+    def written(name, tmp="_temporary-stream-x"):
+        os.makedirs(f"{out}/{tmp}", exist_ok=True)
+        _put(f"{out}/{tmp}", name, [(99, frames[1])])
+        return WrittenFiles([(f"{out}/{tmp}/{name}", name)])
+
+    sink, before = PcapStreamWriter({"path": out}), set(list_captures(out))
+    sink.commit([written("p0"), None], 1)                       # noted already: nothing changes
+    assert set(list_captures(out)) == before and not os.path.exists(f"{out}/_temporary-stream-x")
+    _put(out, "p7-batch-000000000007.pcap", [(98, frames[2])])  # moved, then killed before the note
+    sink.commit([written("p0"), written("p1")], 7)
+    assert {os.path.basename(f) for f in set(list_captures(out)) - before} == {f"p{n}-batch-000000000007.pcap" for n in (0, 1)}
+    sink.commit([], 8)
+    written("p2")
+    sink.abort([], 9)
+    assert len(list_captures(out)) == len(before) + 2 and not os.path.exists(f"{out}/_temporary-stream-x")
