@@ -1,7 +1,7 @@
-"""Removal of repeated substrings, by induction from a sample of suffixes.
+"""Removal of repeated substrings, from a sample of their places.
 
 A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere
-else, in its own text or another's. Only a sample of the suffixes is sorted:
+else, in its own text or another's. Only a sample of the suffixes is compared:
 
 1. Sample. In each window of LENGTH bytes the smallest hash of a ``GRAM``-byte
    string marks one suffix (the leftmost of equals): equal windows mark it at the
@@ -11,13 +11,13 @@ else, in its own text or another's. Only a sample of the suffixes is sorted:
 2. Grouping by Spark's external (spilling, partitioned) aggregation. A gram that
    occurs once clears its run: its windows are nowhere else. A context that
    occurs twice condemns its run as a whole.
-3. Induction, for grams with several contexts only: the windows of each distinct
+3. For grams with several contexts only: the windows of each distinct
    context get their names, and those that two contexts share are repeated.
-4. Spans of a text are merged and cut out.
+4. Spans of a text are merged, in a sorted and spilling window, and cut out.
 
-That is induced sorting with equality classes in place of ranks (to depth LENGTH
-nothing else is asked), and with Spark's shuffle files as the queues on disk; see
-the README for why not one queue tuple per byte. Names are 64-bit hashes.
+This is a winnowing sample with grouping by hash, not external induced sorting: no
+suffix is sorted and there are no common-prefix values. The README says why, with
+figures. Names are 64-bit hashes.
 
 Defined results: a null or empty text has no bytes, nothing removed, and the hash
 of no bytes; texts shorter than LENGTH lose nothing; repeated rows are texts of
@@ -31,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.llm.common import releasing, stored, with_row_id
@@ -123,7 +123,8 @@ def _pack(held: list, buckets: int):
     flag[~lead] = FOUND
     keep = lead | alone
     name, rid, at, flag = name[keep], rid[keep], at[keep], flag[keep]
-    bucket = (mix(np.where(flag == FOUND, rid.view(np.uint64), name)) % np.uint64(buckets)).astype(np.int64)
+    place = mix(rid.view(np.uint64)) + (at >> 16).astype(np.uint64)  # a long text's are dealt over buckets too
+    bucket = (mix(np.where(flag == FOUND, place, name)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, name, rid, at, flag = (x[order] for x in (bucket, name, rid, at, flag))
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -168,7 +169,7 @@ def _shared(key, t):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rid, spans) of the texts of ``docs`` (rid, text; a scan) that lose bytes:
-    ``spans`` are the merged (start, end) byte ranges, in order."""
+    ``spans`` are the merged (start, end) byte ranges, in order and apart."""
     runs = docs.select("rid", "text").mapInArrow(releasing(_sample(length, gram)), "rid long, first long, last long, gram long, context long")
     often = (runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"))
              .where(F.col("n") > 1).select("gram", (F.col("c0") != F.col("c1")).alias("mixed")))
@@ -190,18 +191,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         releasing(_windows(length, buckets)), PACK)
     found = stored(packed.groupBy("bucket").applyInArrow(_shared, "rid long, at long"), "repeat-windows").select(
         "rid", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
-    return (whole.unionByName(copied).unionByName(found).groupBy("rid")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    return _joined(whole.unionByName(copied).unionByName(found)).groupBy("rid").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _joined(spans: DataFrame) -> DataFrame:
+    """(rid, start, end) of the spans with those that overlap or touch made one: what is
+    collected of a text is its removed runs, not the windows that gave them."""
+    by = Window.partitionBy("rid").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    parted = spans.withColumn("new", (F.coalesce(reach < F.col("start"), F.lit(True))).cast("int"))
+    return parted.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def _cut(batches):
@@ -209,7 +210,7 @@ def _cut(batches):
         spans, kept, n = [], [], []
         for t, s in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist()):
             t = bytes(t or b"")
-            s = _merged([(x["start"], x["end"]) for x in s or []])
+            s = [(x["start"], x["end"]) for x in s or []]
             edge = [0, *(y for x in s for y in x), len(t)]
             kept.append(b"".join(t[a:b] for a, b in zip(edge[::2], edge[1::2])))
             n.append(len(t))

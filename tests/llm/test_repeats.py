@@ -70,5 +70,17 @@ def test_kept_bytes(spark, tmp_path):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_long_near_copies(spark, tmp_path):
+    """Most windows of mixed grams are repeated; only the runs they make are collected."""
+    rnd = random.Random(8)
+    one = "".join(rnd.choice("acgt") for _ in range(150_000))
+    two = list(one)
+    for i in range(150, len(two), 400):
+        two[i] = "N"
+    docs = [(1, one), (2, "".join(two)), (3, one[70_000:70_300])]
+    got = R.report(documents(spark, tmp_path, docs)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(docs)
+
+
 def test_empty(spark, tmp_path):
     assert R.report(documents(spark, tmp_path, [])).collect() == []
