@@ -228,7 +228,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
     spans = stored(repeated_spans(docs, length), "repeat-spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(
+    # One plan at every size: a broadcast of few spans would hold only for small tables.
+    return docs.join(spans.hint("merge"), "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(
         releasing(_cut), f"rid long, doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
 
 
