@@ -42,10 +42,10 @@ class _Scan:
     result is exact.
     """
 
-    def __init__(self, key: list[str], chunk_size: int | None):
-        self.key, self.chunk = key, chunk_size
+    def __init__(self, key: list[str], chunk_size: int | None, order: tuple[str, ...] = ("packet_no",)):
+        self.key, self.chunk, self.order = key, chunk_size, order
         part = key + (["_chunk"] if chunk_size else [])
-        self.w = Window.partitionBy(*part).orderBy("packet_no")
+        self.w = Window.partitionBy(*part).orderBy(*order)
         self.run = self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.before = self.w.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -65,6 +65,8 @@ class _Scan:
             return F.last(e, ignorenulls=True).over(self.before)
         if op == "lag":
             return F.lag(e, 1).over(self.w)
+        if op == "lead":
+            return F.lead(e, 1).over(self.w)
         if op == "is_last":
             return F.lead(F.col("packet_no"), 1).over(self.w).isNull()
         raise ValueError(op)
@@ -82,7 +84,7 @@ class _Scan:
         path = scratch_path(df.sparkSession, "flow-layer")
         df.write.parquet(path)
         df = df.sparkSession.read.schema(df.schema).parquet(path)
-        totals = []
+        totals, place = [], F.struct(*self.order)
         for n, (op, _) in specs.items():
             v = F.col(f"_e_{n}")
             if op == "sum":
@@ -90,9 +92,9 @@ class _Scan:
             elif op == "max":
                 totals.append(F.max(v).alias(f"_t_{n}"))
             elif op in ("last", "last_before"):
-                totals.append(F.max_by(v, F.when(v.isNotNull(), F.col("packet_no"))).alias(f"_t_{n}"))
-            elif op == "lag":
-                totals.append(F.max_by(v, F.col("packet_no")).alias(f"_t_{n}"))
+                totals.append(F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_t_{n}"))
+            elif op in ("lag", "lead"):
+                totals.append((F.max_by if op == "lag" else F.min_by)(v, place).alias(f"_t_{n}"))
         chunks = df.groupBy(*ck).agg(F.count(F.lit(1)).alias("_rows"), *totals)
         wc = Window.partitionBy(*key).orderBy("_chunk")
         prior = wc.rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +109,8 @@ class _Scan:
                 prefix.append(F.last(t, ignorenulls=True).over(prior).alias(f"_p_{n}"))
             elif op == "lag":
                 prefix.append(F.lag(t, 1).over(wc).alias(f"_p_{n}"))
+            elif op == "lead":
+                prefix.append(F.lead(t, 1).over(wc).alias(f"_p_{n}"))
             elif op == "is_last":
                 prefix.append(F.lead(F.col("_chunk"), 1).over(wc).isNull().alias(f"_p_{n}"))
         joined = df.join(chunks.select(*ck, *prefix), ck, "left")
@@ -117,7 +121,7 @@ class _Scan:
                 out.append((F.coalesce(pv, F.lit(0)) + lv).alias(n))
             elif op == "max":
                 out.append(F.greatest(pv, lv).alias(n))
-            elif op in ("last", "last_before", "lag"):
+            elif op in ("last", "last_before", "lag", "lead"):
                 out.append(F.coalesce(lv, pv).alias(n))
             elif op == "is_last":
                 out.append((lv & pv).alias(n))
@@ -130,6 +134,29 @@ def _label(app: Column, sni: Column, route: Column, blk: Column, reason: Column)
                     blk.alias("blk"), reason.alias("reason"))
 
 
+def with_closes(rows: DataFrame, closes: DataFrame, key: list[str] | None = None, chunk_size: int | None = None) -> DataFrame:
+    """Closes by key, each at its place among the packets (G8). ``closes`` has the flow
+    key and ``packet_no``: the call is made before the packet of that number (which need
+    not be one of the flow's). Adds ``close_before`` (calls lie between the flow's packet
+    before this row and this one; before its first packet a flow isn't there to be closed)
+    and ``close_after`` (calls lie between this row and the flow's next packet, or its end).
+
+    Calls without a number, or for flows that don't occur, change nothing; repeated ones
+    count once. The calls go through the exchange and the sort that the state machine
+    needs anyway, as rows between the packets, and are dropped there."""
+    key = list(key or FLOW_KEY)
+    sc = _Scan(key, chunk_size, ("packet_no", "_is_packet"))
+    calls = closes.where(F.col("packet_no").isNotNull()).select(
+        *[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in (*key, "packet_no")], F.lit(0).alias("_is_packet"))
+    both = sc.prepare(rows.withColumn("_is_packet", F.lit(1)).unionByName(calls, allowMissingColumns=True))
+    is_call = F.col("_is_packet") == 0
+    both = sc.apply(both, {"_call_before": ("lag", is_call), "_call_after": ("lead", is_call), "_prior": ("sum", F.col("_is_packet").cast("bigint"))})
+    no = F.lit(False)
+    return both.where(~is_call).select(
+        *rows.columns, (F.coalesce("_call_before", no) & (F.col("_prior") > 1)).alias("close_before"),
+        F.coalesce("_call_after", no).alias("close_after"))
+
+
 def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None = None,
                     chunk_size: int | None = None) -> DataFrame:
     """Verdict of every packet (G1-G6, G9): state, action, label, reason.
@@ -141,7 +168,9 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
     blocked), ``assigned`` (label assigned here), ``rule_block``,
     ``inspected``, ``sni_extraction``, ``classification_hit``,
     ``flow_packets``/``flow_bytes`` (running counters), ``syn_seen``,
-    ``syn_ack_seen``, ``fin_seen``, ``last_in_flow``.
+    ``syn_ack_seen``, ``fin_seen``, ``last_in_flow``; ``close_after`` where ``pk``
+    has been through ``with_closes``. A flow that was closed is CLOSED when its next
+    packet comes, also if it was blocked: that packet is inspected and checked anew.
 
     Default plan: one exchange on the flow key, one sort, stacked windows.
     With ``chunk_size`` a flow is split into chunks of that many packet
@@ -182,7 +211,7 @@ def packet_verdicts(pk: DataFrame, unknown_blocked: bool, key: list[str] | None
 
 def epochs(pk: DataFrame, sc: _Scan) -> DataFrame:
     """Packets with their flow's running values and the epoch they are in: a flow's
-    closing packets open epochs, and the first candidate of an epoch (``_eff``) is the
+    closing packets, and the first ones after closes by key, open epochs, and the first candidate of an epoch (``_eff``) is the
     only one of it that can label the flow."""
     tcp = F.col("protocol") == 6
     flags = F.col("tcp_flags")
@@ -207,6 +236,8 @@ def epochs(pk: DataFrame, sc: _Scan) -> DataFrame:
     df = df.withColumn("flow_packets", F.col("_rn"))
     # Layer 2: closes open epochs; candidates counted from the epoch start.
     close = F.col("_R") | (F.col("fin_seen") & F.col("_A"))
+    if "close_before" in df.columns:
+        close = close | (F.col("close_before") & (F.col("_rn") > 1))
     df = df.withColumn("_close", close).withColumn("_start", close | (F.col("_rn") == 1))
     est_flag = F.col("syn_seen") & F.col("syn_ack_seen") & F.col("_A")
     cands_before = F.col("_ccount") - F.col("_hc").cast("bigint")
@@ -260,10 +291,17 @@ def verdict_rows(df: DataFrame, sc: _Scan, reason: Column) -> DataFrame:
         F.coalesce(hit, no).alias("classification_hit"),
         F.col("_hc").alias("has_candidate"),
         "flow_packets", "flow_bytes", "syn_seen", "syn_ack_seen", "fin_seen", "last_in_flow",
-        F.col("_first_ts_us").alias("first_ts_us"),
+        F.col("_first_ts_us").alias("first_ts_us"), *[c for c in ("close_after",) if c in df.columns],
     )
 
 
+def state_left(verdicts: DataFrame) -> Column:
+    """The state in which a packet leaves its flow until the next one comes."""
+    if "close_after" in verdicts.columns:
+        return F.when(F.col("close_after"), "CLOSED").otherwise(F.col("state"))
+    return F.col("state")
+
+
 def final_flows(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Flow table (T6): counters (F4) and the state after the last packet.
 
@@ -273,7 +311,7 @@ def final_flows(verdicts: DataFrame, key: list[str] | None = None) -> DataFrame:
     first and last packet in capture order.
     """
     key = list(key or FLOW_KEY)
-    last = verdicts.where(F.col("last_in_flow"))
+    last = verdicts.withColumn("state", state_left(verdicts)).where(F.col("last_in_flow"))
     return last.select(
         *key, F.col("flow_packets").alias("packets_out"), F.col("flow_bytes").cast("bigint").alias("bytes_out"),
         F.lit(0).cast("bigint").alias("packets_in"), F.lit(0).cast("bigint").alias("bytes_in"),
@@ -291,7 +329,8 @@ def flow_counters(packets: DataFrame, key: list[str] | None = None) -> DataFrame
 
 
 def close_flows(flows: DataFrame, closes: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Explicit close by key (G8): listed flows get state CLOSED."""
+    """Explicit close by key at the end of a run (G8): listed flows get state CLOSED.
+    ``with_closes`` is for closes in the course of it."""
     key = list(key or FLOW_KEY)
     marked = closes.select(*key).distinct().withColumn("_closed", F.lit(True))
     joined = flows.join(marked, key, "left")

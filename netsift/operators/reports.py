@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.names import domain_label, percent
+from netsift.operators.flowstate import state_left
 from netsift.schema import FLOW_KEY, TOP_DOMAINS_N
 
 
@@ -55,7 +56,7 @@ def flow_stats(verdicts: DataFrame) -> DataFrame:
     active when its last packet leaves it in a state other than CLOSED.
     """
     return verdicts.agg(
-        F.count_if(F.col("last_in_flow") & (F.col("state") != "CLOSED")).alias("active_flows"),
+        F.count_if(F.col("last_in_flow") & (state_left(verdicts) != "CLOSED")).alias("active_flows"),
         F.count_if(F.col("flow_packets") == 1).alias("total_seen"),
         F.count_if("assigned").alias("classified"),
         F.count_if("rule_block").alias("blocked"),

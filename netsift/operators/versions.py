@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.operators.candidates import with_candidates
-from netsift.operators.flowstate import INIT_APP, INIT_SNI, _Scan, epochs, verdict_rows
+from netsift.operators.flowstate import INIT_APP, INIT_SNI, _Scan, epochs, verdict_rows, with_closes
 from netsift.operators.rules import MAX_BROADCAST_RULES, _fits, const_reason
 from netsift.schema import FLOW_KEY
 from netsift.session import scratch_path
@@ -163,12 +163,15 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def versioned_verdicts(packets: DataFrame, rules: DataFrame, changes: DataFrame, key: list[str] | None = None,
-                       chunk_size: int | None = None) -> DataFrame:
+                       chunk_size: int | None = None, closes: DataFrame | None = None) -> DataFrame:
     """``packet_verdicts`` under rules that change. A dropped packet's reason is the one
-    its flow was blocked for. ``chunk_size`` as there (flows of very many packets)."""
+    its flow was blocked for. ``chunk_size`` as there (flows of very many packets);
+    ``closes`` as in ``with_closes``."""
     key = list(key or FLOW_KEY)
     rv, sc = rule_versions(rules, changes), _Scan(key, chunk_size)
     rows = versioned_packets(packets, rv).select(*key, *[c for c in NARROW if c not in key])
+    if closes is not None:
+        rows = with_closes(rows, closes, key, chunk_size)
     df = _stored(epochs(rows, sc), "rule-epochs")
     # What an epoch with a candidate tells: the versions of its packets before the candidate, and the candidate's spans.
     early = (F.col("_ccount") - F.col("_epoch_base")) == 0

@@ -232,6 +232,34 @@ def closed_override(spark, sf_dir):
     return flowstate.close_flows(f, closes).select(*KEY5, "state")
 
 
+def operator_closes(spark, sf_dir) -> DataFrame:
+    """An operator's close calls: every flow in the middle of its packet numbers, and those to port 80 after their last."""
+    seen = _packets(spark, sf_dir).groupBy(*FLOW_KEY).agg(F.min("packet_no").alias("lo"), F.max("packet_no").alias("hi"))
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("bigint") + 1
+    calls = F.when(F.col("dest_port") == 80, F.array(middle, F.col("hi") + 1)).otherwise(F.array(middle))
+    return seen.select(*FLOW_KEY, F.explode(calls).alias("packet_no"))
+
+
+def _closed_in_time(spark, sf_dir) -> Inspection:
+    key = (spark.sparkContext.applicationId, sf_dir, "closes")
+    if key not in _CACHE:
+        _CACHE[key] = Inspection(fixture_frames(spark, sf_dir), rules_from_text(spark, FIXTURE_RULES_TEXT),
+                                 closes=operator_closes(spark, sf_dir))
+    return _CACHE[key]
+
+
+def closed_verdicts(spark, sf_dir):
+    """Verdicts with flows closed by key while the capture runs: their next packets are inspected anew."""
+    return _closed_in_time(spark, sf_dir).verdicts.select(
+        "packet_no", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "rule_block",
+        F.col("block_reason.type").alias("reason_type"), F.col("block_reason.detail").alias("reason_detail"))
+
+
+def closed_flows(spark, sf_dir):
+    """The flow table with those closes, a call after a flow's last packet included."""
+    return _closed_in_time(spark, sf_dir).flows.select(*KEY5, "state", "app_type", "sni", "packets_out", "bytes_out")
+
+
 def flow_totals(spark, sf_dir):
     return inspection(spark, sf_dir).flow_stats()
 
@@ -634,7 +662,8 @@ QUERIES = {
     "blocked_by_ip": blocked_by_ip, "blocked_by_port": blocked_by_port, "blocked_by_app": blocked_by_app,
     "blocked_by_domain": blocked_by_domain, "rule_verdict": rule_verdict,
     "packet_verdicts": packet_verdicts, "split_flow_verdicts": split_flow_verdicts, "tcp_states": tcp_states, "block_events": block_events,
-    "final_flows": final_flows, "closed_override": closed_override, "flow_totals": flow_totals,
+    "final_flows": final_flows, "closed_override": closed_override,
+    "closed_verdicts": closed_verdicts, "closed_flows": closed_flows, "flow_totals": flow_totals,
     "app_breakdown": app_breakdown, "top_domains": top_domains, "top_domains_pages": top_domains_pages, "inspection_metrics": inspection_metrics,
     "recent_flows": recent_flows, "idle_split_flows": idle_split_flows, "evicting_verdicts": evicting_verdicts, "evicted_flows": evicted_flows,
     "versioned_rule_verdicts": versioned_rule_verdicts, "versioned_rule_spans": versioned_rule_spans,

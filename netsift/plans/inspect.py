@@ -19,7 +19,7 @@ from netsift.operators import reports
 from netsift.operators.candidates import check_candidates, with_candidates
 from netsift.operators.decode import admit, decode
 from netsift.operators.eviction import CHUNK_PACKETS, with_table_instances
-from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_idle_instances
+from netsift.operators.flowstate import final_flows, heavy_flows, packet_verdicts, with_closes, with_idle_instances
 from netsift.operators.rules import RuleTables, mark_ip_port, rule_tables
 from netsift.operators.versions import versioned_verdicts
 from netsift.schema import FLOW_KEY
@@ -27,6 +27,8 @@ from netsift.session import scratch_path
 
 # Packet numbers per chunk when the adaptive switch picks the hot-flow plan.
 DEFAULT_HOT_CHUNK = 1 << 20
+# Packets from which a flow is split, unless told otherwise: narrow rows that one task sorts with ease.
+HOT_FLOW_PACKETS = 1 << 22
 
 # Columns that cross the flow exchange.
 _NARROW = ("packet_no", "ts", "ts_us", "frame_length", "payload_length", "tcp_flags", "has_tcp", "has_udp",
@@ -44,7 +46,9 @@ class Inspection:
     hot_flow_chunk: int | None = None
     # Adaptive split: count packets per flow first; flows with more packets than
     # this take the hot-flow plan (chunks of ``hot_flow_chunk`` or
-    # DEFAULT_HOT_CHUNK packet numbers), all others the single sort.
+    # DEFAULT_HOT_CHUNK packet numbers), all others the single sort. On by default
+    # (HOT_FLOW_PACKETS) unless ``hot_flow_chunk`` splits every flow or rules change;
+    # 0 saves the counting pass where no flow is that large.
     hot_flow_threshold: int | None = None
     # A flow table of at most this many flows for each capture: the flow that was
     # seen longest ago makes room, and starts anew when it comes back (H4).
@@ -55,12 +59,23 @@ class Inspection:
     # value); ``rules`` are those of the beginning.
     rule_changes: DataFrame | None = None
 
+    # Flows closed by key in the course of the capture (G8): rows (flow key, packet_no),
+    # each before the packet of that number. A closed flow's next packet is inspected anew.
+    closes: DataFrame | None = None
+
     def __post_init__(self):
         if self.max_flows and self.idle_timeout_s:
             raise ValueError("a bounded flow table and an idle timeout can't be combined")
         if self.rule_changes is not None and (self.max_flows or self.idle_timeout_s or self.hot_flow_threshold):
             raise ValueError("changing rules go with whole flows, in one plan")
 
+    @property
+    def split_above(self) -> int | None:
+        """Flows of more packets than this are split; None: all are treated alike."""
+        if self.hot_flow_threshold is not None:
+            return self.hot_flow_threshold or None
+        return None if self.hot_flow_chunk or self.rule_changes is not None else HOT_FLOW_PACKETS
+
     @cached_property
     def tables(self) -> RuleTables:
         return rule_tables(self.rules)
@@ -88,30 +103,34 @@ class Inspection:
 
     @cached_property
     def heavy(self) -> DataFrame | None:
-        """Stored keys of the flows above ``hot_flow_threshold`` (at most the
-        packets divided by it), or None without any."""
-        if self.hot_flow_threshold is None:
+        """Stored keys of the flows above the threshold (at most the packets divided by
+        it), or None without any."""
+        if self.split_above is None:
             return None
         key = list(FLOW_KEY)
         path = scratch_path(self.raw.sparkSession, "heavy-flows")
-        heavy_flows(self.packets, self.hot_flow_threshold, key).select(*key).write.parquet(path)
+        heavy_flows(self.packets, self.split_above, key).select(*key).write.parquet(path)
         keys = self.raw.sparkSession.read.parquet(path)
         return None if keys.isEmpty() else keys
 
     @cached_property
     def verdicts(self) -> DataFrame:
         if self.rule_changes is not None:
-            return versioned_verdicts(self.packets, self.rules, self.rule_changes, self.key, self.hot_flow_chunk)
-        rows, unknown, key = self.labelled, self.tables.unknown_blocked, self.key
-        if self.hot_flow_threshold is None:
-            return packet_verdicts(rows, unknown, key, self.hot_flow_chunk)
+            return versioned_verdicts(self.packets, self.rules, self.rule_changes, self.key, self.hot_flow_chunk, self.closes)
+        rows = self.labelled
+        if self.split_above is None:
+            return self._verdicts(rows, self.hot_flow_chunk)
         if self.heavy is None:
-            return packet_verdicts(rows, unknown, key)
-        light = packet_verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_anti"), unknown, key)
-        hot = packet_verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_semi"), unknown, key,
-                              self.hot_flow_chunk or DEFAULT_HOT_CHUNK)
+            return self._verdicts(rows, None)
+        light = self._verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_anti"), None)
+        hot = self._verdicts(rows.join(self.heavy, list(FLOW_KEY), "left_semi"), self.hot_flow_chunk or DEFAULT_HOT_CHUNK)
         return light.unionByName(hot)
 
+    def _verdicts(self, rows: DataFrame, chunk: int | None) -> DataFrame:
+        if self.closes is not None:
+            rows = with_closes(rows, self.closes, chunk_size=chunk)
+        return packet_verdicts(rows, self.tables.unknown_blocked, self.key, chunk)
+
     @cached_property
     def flows(self) -> DataFrame:
         return final_flows(self.verdicts, self.key)

@@ -123,7 +123,8 @@ def changing_rules(app: str, sni: str) -> list[tuple[str, str, str]]:
 REL_US = ",\n    epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM fx) AS rel_us"
 
 
-def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source: str = "pk", changing: bool = False) -> str:
+def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source: str = "pk", changing: bool = False,
+             closes: bool = False) -> str:
     """CTEs ``seq`` and ``walk``: the per-flow sequential state machine. Under
     changing rules a blocked flow keeps the reason it was blocked for.
 
@@ -143,6 +144,7 @@ def walk_cte(key: str = "src_ip, dest_ip, src_port, dest_port, protocol", source
     detail_of = " ".join(f"WHEN {hit} THEN {detail}" for _, detail, hit in rules)
     any_hit = " OR ".join(hit for _, _, hit in rules)
     rel = "n.rel_us" if changing else "0 AS rel_us"
+    state = "(CASE WHEN n.pos > 1 AND n.called THEN 'CLOSED' ELSE w.state END)" if closes else "w.state"
     return f"""
 seq AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY packet_no) AS pos FROM {source}),
 walk AS (
@@ -189,9 +191,9 @@ walk AS (
               w.sa OR ({S} AND {A}) AS sa,
               w.fin OR {Fn} AS fin,
               CASE WHEN {R} OR ((w.fin OR {Fn}) AND {A}) THEN 'CLOSED'
-                   WHEN {tcp} AND w.state = 'NEW' AND (w.syn OR ({S} AND NOT {A})) AND (w.sa OR ({S} AND {A})) AND {A}
+                   WHEN {tcp} AND {state} = 'NEW' AND (w.syn OR ({S} AND NOT {A})) AND (w.sa OR ({S} AND {A})) AND {A}
                      THEN 'ESTABLISHED'
-                   ELSE w.state END AS s1,
+                   ELSE {state} END AS s1,
               w.flow_bytes + n.frame_length AS flow_bytes, n.ts_us, n.frame_length
             FROM walk w JOIN seq n ON {on} AND n.pos = w.pos + 1
           ) a
@@ -217,15 +219,27 @@ K5 = "src_ip, dest_ip, src_port, dest_port, protocol"
 
 
 def with_walk(body: str, key_extra: str = "", key: str = K5, idle_s: int | None = None, max_flows: int | None = None,
-              changing: bool = False) -> str:
-    source = "pk_j" if idle_s or max_flows else "pk"
-    return f"WITH RECURSIVE {packets_cte(key_extra, idle_s, max_flows)},{walk_cte(key, source, changing)}\n{body}"
+              changing: bool = False, closes: bool = False) -> str:
+    source = "pk_c" if closes else "pk_j" if idle_s or max_flows else "pk"
+    return (f"WITH RECURSIVE {packets_cte(key_extra, idle_s, max_flows)}{CLOSES if closes else ''},"
+            f"{walk_cte(key, source, changing, closes)}\n{body}")
 
 
 def with_packets(body: str, key_extra: str = "") -> str:
     return f"WITH {packets_cte(key_extra)}\n{body}"
 
 
+#: The operator's close calls, and whether any lies between a packet and the one before it in its flow.
+CLOSES = f""",
+span AS (SELECT {K5}, min(packet_no) AS lo, max(packet_no) AS hi FROM pk GROUP BY ALL),
+calls AS (SELECT {K5}, (lo + hi) // 2 + 1 AS call_no FROM span
+          UNION ALL SELECT {K5}, hi + 1 FROM span WHERE dest_port = 80),
+pk_l AS (SELECT *, lag(packet_no) OVER (PARTITION BY {K5} ORDER BY packet_no) AS prev FROM pk),
+pk_c AS (SELECT p.* EXCLUDE (prev), EXISTS (SELECT 1 FROM calls c WHERE c.src_ip = p.src_ip AND c.dest_ip = p.dest_ip
+           AND c.src_port = p.src_port AND c.dest_port = p.dest_port AND c.protocol = p.protocol
+           AND c.call_no > p.prev AND c.call_no <= p.packet_no) AS called FROM pk_l p)"""
+
+
 LAST_ROW = "row_number() OVER (PARTITION BY {k} ORDER BY pos DESC) = 1"
 
 
@@ -337,6 +351,11 @@ def oracle() -> dict[str, str]:
     q["final_flows"] = with_walk(f", {_final()}\nSELECT {K5}, state, app_type, sni, packets_out, bytes_out FROM f")
     q["closed_override"] = with_walk(
         f", {_final()}\nSELECT {K5}, CASE WHEN protocol = 17 THEN 'CLOSED' ELSE state END AS state FROM f")
+    q["closed_verdicts"] = with_walk(
+        f"SELECT packet_no, {K5}, state, action, app_type, sni, drop_cause, rule_block, reason_type, reason_detail FROM v", closes=True)
+    q["closed_flows"] = with_walk(
+        f", {_final()}\nSELECT {K5}, CASE WHEN dest_port = 80 OR last_called THEN 'CLOSED' ELSE state END AS state, app_type, sni, "
+        f"packets_out, bytes_out FROM f JOIN (SELECT {K5}, (lo + hi) // 2 + 1 > hi AS last_called FROM span) USING ({K5})", closes=True)
     q["flow_totals"] = with_walk(
         f", {_final()}\nSELECT (SELECT count_if(state <> 'CLOSED') FROM f) AS active_flows, "
         "(SELECT count(*) FROM f) AS total_seen, count_if(assigned) AS classified, "
