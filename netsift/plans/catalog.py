@@ -416,6 +416,47 @@ def _capture_stream(spark, sf_dir, max_files: int = 3):
     return stream_captures(spark, _rotated(spark, sf_dir), CAPTURE_ID, max_files)
 
 
+def _copy_grown(spark, files: list[tuple[str, str, int]]) -> None:
+    """Copies (file, target, bytes): as much of each capture file as its writer has got to, by a task for each."""
+    def copy(batches):
+        from netsift.sources.pcap import _fs_path
+        for batch in batches:
+            for file, target, size in zip(*(c.to_pylist() for c in batch.columns)):
+                (source, p), (sink, t) = _fs_path(file), _fs_path(target)
+                with source.open_input_stream(p) as f, sink.open_output_stream(t) as out:
+                    while size > 0 and (piece := f.read(min(size, 1 << 20))):
+                        out.write(piece)
+                        size -= len(piece)
+            yield batch
+    rows = spark.createDataFrame(files, "file string, target string, size bigint").repartition(len(files))
+    rows.mapInArrow(copy, rows.schema).count()
+
+
+def stream_growing_verdicts(spark, sf_dir):
+    """Verdicts of a capture that is still being written (A8): its files up to the middle
+    one, which is cut within a record; then, over a restart, the rest."""
+    from netsift.session import _fs
+    from netsift.sources.growing import follow_captures
+    from netsift.sources.pcap import _file_number, sized_captures
+    from netsift.streaming.stateful import stream_verdicts as verdict_stream
+    src, out, ck = scratch_path(spark, "growing-in"), scratch_path(spark, "growing-out"), scratch_path(spark, "growing-ck")
+    filesystem, p = _fs(spark, src)
+    filesystem.mkdirs(p)
+    files = sorted(sized_captures(_rotated(spark, sf_dir)), key=lambda f: _file_number(f[0]))
+    files = [(f, f"{src}/{f.rsplit('/', 1)[-1]}", size) for f, size in files]
+    half = len(files) // 2
+    cut = [(f, t, size if n < half else size // 2 + 1) for n, (f, t, size) in enumerate(files[:half + 1])]
+    for written in (cut, files[half:]):
+        if written:
+            _copy_grown(spark, written)
+        v = verdict_stream(follow_captures(spark, src, CAPTURE_ID), rules_from_text(spark, FIXTURE_RULES_TEXT))
+        q = v.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    return spark.read.parquet(out).select(
+        "ts_us", *KEY5, "state", "action", "app_type", "sni", "drop_cause", "reason_type", "reason_detail")
+
+
 def _stream_verdicts(spark, sf_dir, idle_timeout_s=None, rule_changes=None):
     """Verdicts of the streaming operator; the query is stopped after its first
     batches and started again from its checkpoint."""
@@ -670,7 +711,7 @@ QUERIES = {
     "stream_versioned_rules": stream_versioned_rules, "stream_window_totals": stream_window_totals,
     "stream_flow_sessions": stream_flow_sessions, "callback_block_events": callback_block_events, "visited_flows": visited_flows, "merged_captures": merged_captures,
     "forwarded_packets": forwarded_packets, "capture_roundtrip": capture_roundtrip,
-    "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_forwarded": stream_forwarded, "stream_totals": stream_totals,
+    "capture_headers": capture_headers, "stream_verdicts": stream_verdicts, "stream_forwarded": stream_forwarded, "stream_growing_verdicts": stream_growing_verdicts, "stream_totals": stream_totals,
     "reverse_lookup": reverse_lookup,
     "bidirectional_flows": bidirectional_flows, "flow_sessions": flow_sessions,
     "rule_counts": rule_counts, "rules_add": rules_add, "rules_remove": rules_remove, "rules_list": rules_list,

@@ -341,6 +341,7 @@ def oracle() -> dict[str, str]:
         f"SELECT packet_no, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v")
     q["stream_verdicts"] = with_walk(
         f"SELECT ts_us, {K5}, state, action, app_type, sni, drop_cause, reason_type, reason_detail FROM v")
+    q["stream_growing_verdicts"] = q["stream_verdicts"]
     q["stream_totals"] = q["packet_totals"]
     q["tcp_states"] = with_walk("SELECT state, count(*) AS packets FROM v GROUP BY state")
     q["split_flow_verdicts"] = with_walk(
