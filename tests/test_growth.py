@@ -75,3 +75,20 @@ def test_decoding_is_compiled(spark):
     import __spark_entry__ as entry
     entry.queries()["tls_sni"](spark, SF001)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_index_keeps_few_chains(spark, monkeypatch):
+    """Frames of zeros could hold a record at every byte; only places that chains lead to are stored."""
+    from netsift.sources import record_index
+    d = tempfile.mkdtemp(prefix="chains-", dir="/tmp")
+    with open(f"{d}/m1.pcap", "wb") as f:
+        f.write(pcap_file([(n, bytes(500)) for n in range(400)]))
+    kept, stored = {}, record_index._stored
+
+    def counting(df, name):
+        kept[name] = (out := stored(df, name)).count()
+        return out
+    monkeypatch.setattr(record_index, "_stored", counting)
+    got = record_index.record_ranges(spark, [(f"{d}/m1.pcap", os.path.getsize(f"{d}/m1.pcap"))], 4096).collect()
+    assert sum(r.records for r in got) == 400 and sorted(r.first_no for r in got)[0] == 0
+    assert kept["chains"] < os.path.getsize(f"{d}/m1.pcap") // 20
